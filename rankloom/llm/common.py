@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most_bytes: int = 4 << 20,
     """Parts of a batch of bounded text volume (a single longer text stands alone)."""
     import numpy as np
 
-    sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(np.asarray(sizes).tolist()):
         if i > start and (total + n > most_bytes or i - start >= most_rows):
