@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_counts, topk, winnowing
+from . import bpe, language_id, minhash, packing, quality, token_counts, topk, toxicity, winnowing
 from .common import table
 
 
@@ -14,6 +14,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(language_id.bucket("doc_id", 4) == 2, F.lit(False)))
+    model = language_id.fit(docs.where("not held_out").select("doc_id", "text", "lang"), vocabulary)
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model, vocabulary)
+
+
+def labelled(spark: SparkSession, sf_dir: str, label: str, fold: Column) -> tuple[DataFrame, DataFrame]:
+    """All documents with held_out, and the labelled ones that may be learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(fold, F.lit(False)))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label")).where("label is not null").dropDuplicates(["doc_id"])
+    return docs, docs.where("not held_out").join(labels, "doc_id").select("doc_id", "text", "label")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, known = labelled(spark, sf_dir, "toxic", language_id.bucket("doc_id", 5) == 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, known))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, known = labelled(spark, sf_dir, "quality", language_id.bucket("doc_id", 3) == 1)
+    return quality.score(docs, quality.fit(known)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -32,7 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op5_token_counts": op5_token_counts, "op6_winnowing": op6_winnowing, "op9_topk": op9_topk, "op10_bpe": op10_bpe}
+    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op4_language_id": op4_language_id, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op5_token_counts": op5_token_counts, "op6_winnowing": op6_winnowing, "op9_topk": op9_topk, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
