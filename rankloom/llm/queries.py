@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, minhash, packing, quality, token_counts, topk, toxicity, winnowing
+from . import bpe, language_id, minhash, packing, quality, suffix_dedup, token_counts, topk, toxicity, winnowing
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(language_id.bucket("doc_id", 4) == 2, F.lit(False)))
@@ -61,7 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op4_language_id": op4_language_id, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op5_token_counts": op5_token_counts, "op6_winnowing": op6_winnowing, "op9_topk": op9_topk, "op10_bpe": op10_bpe}
+    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op5_token_counts": op5_token_counts, "op6_winnowing": op6_winnowing, "op9_topk": op9_topk, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
