@@ -1 +1,6 @@
+"""Registered queries by topic."""
 
+from rankloom.plans import profile  # noqa: F401
+from rankloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
