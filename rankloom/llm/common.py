@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankloom.session import materialise, scratch, shared_dir, ship, shuffle_partitions
 
-__all__ = ["docs_of", "in_arrow", "materialise", "scratch", "shared_dir", "ship", "shuffle_partitions", "slices", "table", "unit_hash"]
+__all__ = ["docs_of", "in_arrow", "labelled_sample", "materialise", "scratch", "shared_dir", "ship", "shuffle_partitions", "slices", "table", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +53,16 @@ def slices(batch: pa.RecordBatch, text: str = "text", most_bytes: int = 4 << 20,
 def unit_hash(*cols, seed: str = ""):
     """A uniform number in [0, 1) that depends only on the given values."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, seed: str) -> tuple[DataFrame, dict[int, float]]:
+    """doc_id, text, label (0/1) of about `sample` documents of each label, and the share of each label that was taken.
+
+    The choice is made on (doc_id, label) alone, by a hash of the id; what is then joined to the texts has a size bound
+    by `sample`, so the texts aren't shuffled.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    sizes = {int(r["label"]): r["count"] for r in known.groupBy("label").count().collect()}
+    rate = {y: min(1.0, sample / max(1, sizes.get(y, 0))) for y in (0, 1)}
+    chosen = known.where(unit_hash("doc_id", seed=seed) < F.when(F.col("label") == 1, rate[1]).otherwise(rate[0]))
+    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"), rate

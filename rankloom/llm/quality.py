@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, ship, slices, unit_hash
+from .common import in_arrow, labelled_sample, slices
 
 #: Byte classes that are counted by line.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "bar", "bang", "sign", "high")
@@ -135,19 +135,13 @@ def calibrated(values: np.ndarray, good: np.ndarray, weight: np.ndarray) -> np.n
     return beta
 
 
-def fit(labelled: DataFrame, sample: int = 2500) -> tuple[np.ndarray, float, np.ndarray] | None:
-    """A model from labelled (doc_id, text, label 0/1), or None without labels.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """A model from labels (doc_id, label 0/1) of docs (doc_id, text), or None without labels.
 
     `sample`: labelled documents wanted of each label, chosen by a hash of their ids; it bounds what the driver holds:
     the lines' features, not the texts.
     """
-    ship(labelled.sparkSession)
-    rows = labelled.where("label in (0, 1) and text is not null").select("doc_id", "text", "label")
-    sizes = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
-    if not sizes:
-        return None
-    rate = {y: min(1.0, sample / max(1, sizes.get(y, 0))) for y in (0, 1)}
-    chosen = rows.where(unit_hash("doc_id", "text", seed="quality") < F.when(F.col("label") == 1, rate[1]).otherwise(rate[0]))
+    chosen, rate = labelled_sample(docs, labels, sample, "quality")
 
     def featured(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, size, lines = line_features(batch.column("text").to_pylist())

@@ -30,22 +30,22 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model, vocabulary)
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, fold: Column) -> tuple[DataFrame, DataFrame]:
-    """All documents with held_out, and the labelled ones that may be learned from."""
+def folded(spark: SparkSession, sf_dir: str, label: str, fold: Column) -> tuple[DataFrame, DataFrame]:
+    """All documents with held_out, and the labels that may be learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(fold, F.lit(False)))
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label")).where("label is not null").dropDuplicates(["doc_id"])
-    return docs, docs.where("not held_out").join(labels, "doc_id").select("doc_id", "text", "label")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
+    return docs, labels.where(~F.coalesce(fold, F.lit(True)))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, known = labelled(spark, sf_dir, "toxic", language_id.bucket("doc_id", 5) == 0)
-    scored = toxicity.score(docs, toxicity.fit(docs, known))
+    docs, labels = folded(spark, sf_dir, "toxic", language_id.bucket("doc_id", 5) == 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, known = labelled(spark, sf_dir, "quality", language_id.bucket("doc_id", 3) == 1)
-    return quality.score(docs, quality.fit(known)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    docs, labels = folded(spark, sf_dir, "quality", language_id.bucket("doc_id", 3) == 1)
+    return quality.score(docs, quality.fit(docs, labels)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

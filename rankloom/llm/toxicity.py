@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, ship, slices, unit_hash
+from .common import in_arrow, labelled_sample, ship, slices
 
 WORD = re.compile(r"\w+")
 PREFIX = 5
@@ -126,18 +126,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.vote(found) + self.shift, -30, 30))))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, sample: int = 3000, features: int = 6000, least_z: float = 4.0, k: int = 15) -> Model:
-    """A model from labelled (doc_id, text, label 0/1); docs: all documents, for the document frequencies.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int = 6000, least_z: float = 4.0, k: int = 15) -> Model:
+    """A model from labels (doc_id, label 0/1) of docs (doc_id, text); the document frequencies are those of all docs.
 
     `sample`: labelled documents wanted of each label, chosen by a hash of their ids; it bounds the index and what the
     driver holds. `features`: most features, those with the largest association with the label (z of at least
     `least_z`). Rows with a null text or label teach nothing; without labelled rows every score is 0.
     """
-    ship(docs.sparkSession)
-    rows = labelled.where("label in (0, 1) and text is not null").select("doc_id", "text", "label")
-    sizes = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
-    rate = {y: min(1.0, sample / max(1, sizes.get(y, 0))) for y in (0, 1)}
-    chosen = rows.where(unit_hash("doc_id", "text", seed="toxicity") < F.when(F.col("label") == 1, rate[1]).otherwise(rate[0]))
+    chosen, rate = labelled_sample(docs, labels, sample, "toxicity")
     counts_type = pa.list_(pa.struct([("f", pa.string()), ("n", pa.int32())]))
 
     def featured(batch: pa.RecordBatch) -> pa.RecordBatch:
