@@ -85,6 +85,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     # One document stands for each content that the cache lacks; a copy group of any size is one row after the map side.
     missing = keys.groupBy("content_digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id")).join(stored, "content_digest", "left_anti")
     texts = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(missing, ["doc_id", "content_digest"], "left_semi")
-    in_arrow(texts.select("content_digest", "text"), count_batch(tokenizer_path, name), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    counted = in_arrow(texts.select("content_digest", "text"), count_batch(tokenizer_path, name), CACHE_SCHEMA)
+    counted.dropDuplicates(["content_digest"]).write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path, name)
     return keys.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
