@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators import evaluation, fusion, ranking, similarity, split
+from rankloom.operators import evaluation, fusion, ranking, similarity, split, stats
 from rankloom.plans.base import Base
+from rankloom.plans.profile import POOL, pool
 from rankloom.plans.registry import query
+from rankloom.plans.scorers import UCOS
 from rankloom.sources import io
 
 r6 = lambda c: F.round(c, 6)
@@ -162,3 +164,45 @@ def pair_lift(b: Base) -> DataFrame:
     pop = train.groupBy("i").agg(F.count(F.lit(1)).alias("pi"))
     pairs = similarity.co_occurrence(train).join(pop, "i").join(pop.select(F.col("i").alias("j"), F.col("pi").alias("pj")), "j")
     return pairs.select("i", "j", r6(F.col("s") / F.sqrt((F.col("pi") + 1) * (F.col("pj") + 1))).alias("lift"))
+
+
+UNIT = "(CAST('0x' || substr(md5('{s}' || u || ':' || i), 1, 15) AS BIGINT) + 1) / 1152921504606846977.0::DOUBLE"
+GRID = POOL + f""", pick AS (SELECT alpha, u, i, pop, k, row_number() OVER (PARTITION BY alpha, u ORDER BY round(-ln({UNIT.format(s='g:')}) / pow(pop + 1, alpha), 9), i) AS r
+    FROM pool JOIN sizes USING (u) CROSS JOIN (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS alpha)),
+  both AS (SELECT alpha, pop, 0 AS label FROM pick WHERE r <= k UNION ALL SELECT alpha, coalesce(ipop.pop, 0), 1 FROM held LEFT JOIN ipop USING (i) CROSS JOIN (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS alpha))""".replace("both AS", "mixed AS")
+
+
+@query("n10_generator_grid", GRID + " SELECT alpha, round(max(abs(a / na - m / nb)), 6) AS ks FROM (SELECT DISTINCT alpha, pop, CAST(count_if(label = 1) OVER (PARTITION BY alpha ORDER BY pop) AS DOUBLE) AS a, count_if(label = 0) OVER (PARTITION BY alpha ORDER BY pop) AS m, count_if(label = 1) OVER (PARTITION BY alpha) AS na, count_if(label = 0) OVER (PARTITION BY alpha) AS nb FROM mixed) GROUP BY alpha")
+def generator_grid(b: Base) -> DataFrame:
+    """alpha, ks: how far the popularity of negatives drawn by popularity ^ alpha is from that of the held-out items."""
+    sizes, rows = pool(b)
+    train, _ = b.split()
+    pops = train.groupBy("i").agg(F.count(F.lit(1)).alias("pop"))
+    held = split.hold_out(b.interactions()).join(pops, "i", "left").select(F.coalesce("pop", F.lit(0)).alias("pop"), F.lit(1).alias("label"))
+    out = None
+    for alpha in (0.0, 0.5, 1.0):
+        drawn = split.weighted_negatives(sizes, rows, "g:", F.pow(F.col("pop") + 1, F.lit(alpha))).join(rows, ["u", "i"]).select("pop", F.lit(0).alias("label"))
+        one = stats.ks(held.unionByName(drawn), "pop", F.col("label") == 1).select(F.lit(alpha).alias("alpha"), r6(F.col("ks")).alias("ks"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("k05_neighbour_consensus", UCOS + """, nb AS (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY round(sim, 9) DESC, v) AS r FROM us)
+  SELECT c.id, count(t.u) AS holders, round(count(t.u) / 10, 6) AS rate FROM cand c JOIN nb ON nb.u = c.u AND nb.r <= 10 LEFT JOIN train t ON t.u = nb.v AND t.i = c.i GROUP BY c.id""")
+def neighbour_consensus(b: Base) -> DataFrame:
+    """id, holders, rate: how many of the user's ten nearest users hold the item."""
+    train, cand = b.split()
+    w = Window.partitionBy("i").orderBy(F.desc(F.round("sim", 9)), "j")
+    near = similarity.user_cosine(train).withColumn("r", F.row_number().over(w)).where("r <= 10").select(F.col("i").alias("u"), F.col("j").alias("v"))
+    held = train.select(F.col("u").alias("v"), "i", F.lit(1).alias("has"))
+    rows = cand.select("id", "u", "i").join(near, "u").join(held, ["v", "i"], "left")
+    return rows.groupBy("id").agg(F.count("has").alias("holders"), r6(F.count("has") / 10).alias("rate"))
+
+
+@query("n13_training_pairs", """, pc AS (SELECT u, i, 0.5 + 0.5 * (rank() OVER (PARTITION BY u ORDER BY hours) + (count(*) OVER (PARTITION BY u, hours) - 1) / 2) / count(*) OVER (PARTITION BY u) AS w, row_number() OVER (PARTITION BY u ORDER BY md5('t:' || u || ':' || i), i) AS r FROM train)
+  SELECT u, i, round(w, 6) AS w FROM pc WHERE r <= 20""")
+def training_pairs(b: Base) -> DataFrame:
+    """u, i, w: at most 20 positives of each user, by hash, with a confidence from the rank of their hours."""
+    share = ranking.average_rank("hours") / F.count(F.lit(1)).over(ranking.by_user())
+    r = F.row_number().over(Window.partitionBy("u").orderBy(split.hash_key("t:", "u", "i"), "i"))
+    return b.split()[0].select("u", "i", r6(0.5 + 0.5 * share).alias("w"), r.alias("r")).where("r <= 20").drop("r")
