@@ -30,8 +30,8 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: Elements that a call of the signature loop holds at a time.
 CHUNK = 49_152
-#: Members of a tile, and bytes of the signature that tiles compare.
-TILE, SHORT = 2048, 64
+#: Members of a tile; how far below the bound a signature's estimate may be, 4.7 of its deviations.
+TILE, SLACK = 2048, 0.13
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     Null and empty texts, and white space alone, have no shingles and no links. Copies are one class and never expanded
     into pairs. Rows that share a doc_id are one document with the links of each of its texts. A null doc_id stands in
     no component: its component_id is null and it is kept. An empty table gives an empty result; other columns are
-    ignored. A pair of exactly the wanted similarity shares no band with probability 1.3e-6 and is then not found.
+    ignored. A pair of exactly the wanted similarity shares no band with probability 1.3e-6, or has an estimate below
+    the bound by more than SLACK with about the same, and is then not found.
     """
     texts = docs_of(docs)
     ship(docs.sparkSession)
@@ -279,12 +280,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     known = materialise(in_arrow(texts.where("doc_id is not null"), pack_batch, "doc_id long, data binary").join(met.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "bucket-texts")
     sides = {s: marks.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("short").alias(f"short_{s}")) for s in "ab"}
     data = {s: known.select(F.col("doc_id").alias(s), F.col("data").alias(f"data_{s}")) for s in "ab"}
-    # Over all functions the estimate's deviation is under 0.028, over SHORT of them under 0.055.
-    wanted = percent / 100
+    least = percent / 100 - SLACK
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.distinct().join(sides["a"], "a").join(sides["b"], "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        likely = in_arrow(both.select("a", "b", "short_a", "short_b"), likely_batch(wanted - 0.16), LINKS)
+        likely = in_arrow(both.select("a", "b", "short_a", "short_b"), likely_batch(least), LINKS)
         full = likely.join(data["a"], "a").join(data["b"], "b")
         return materialise(in_arrow(full.select("a", "b", "data_a", "data_b"), confirm_batch(percent, words), LINKS), "links")
 
@@ -294,8 +294,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     spans = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("key", F.ceil(F.col("members") / tile).cast("int").alias("blocks"))
     rest = grouped.join(spans, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = rest.select("node", "component", "block", (F.col("block") != F.col("other")).alias("crossed"), F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
-    tiles = tiles.join(marks.select("node", "n", F.substring("short", 1, SHORT).alias("short")), "node").repartition("tile").sortWithinPartitions("tile", "node")
-    more = confirmed(materialise(tiles.mapInArrow(tile_partition(percent, wanted - 0.3), LINKS).distinct(), "tile-pairs"))
+    tiles = tiles.join(marks.select("node", "n", "short"), "node").repartition("tile").sortWithinPartitions("tile", "node")
+    more = confirmed(materialise(tiles.mapInArrow(tile_partition(percent, least), LINKS).distinct(), "tile-pairs"))
     groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_class = classes.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("of_class"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
