@@ -2,14 +2,16 @@
 
 Strings of `length` bytes that are equal must meet in one place before a transform can show that they are. So each
 start of such a string is tied to an anchor, the smallest hash of the 24-grams inside it (the rightmost of equal ones):
-equal strings have equal anchors. Anchors whose hash occurs once in the corpus are done with. The others go, with the
-bytes that their strings cover, to the task of their hash; there the suffixes of many contexts are sorted as far as
-needed, and a breadth-first backward extension on their transform finds the common prefixes of neighbours by increasing
-value and stops at `length`: neighbours without a value share a string. Of each such group the first in the corpus
-stays, the others are marked.
-
-A group of equal contexts shrinks to one in every batch before it is shuffled; contexts of one hash that are too many
-for a task are resolved by the hashes of their strings in a distributed aggregation.
+equal strings have equal anchors. An anchor's context are the bytes that its strings cover. Anchors meet by their hash,
+with a digest of the context. Where one hash has equal contexts only, the first in the corpus stays and the others are
+marked whole. Where it has several, one document's bytes for each go to the task of the hash; there the suffixes of many
+contexts are sorted as far as needed, and a breadth-first backward extension on their transform finds the common
+prefixes of neighbours by increasing value and stops at `length`: neighbours without a value share a string. Of each
+such group the first in the corpus stays, the others are marked.
+
+Equal contexts of one batch shrink to their first before they are shuffled, and groups are read as sorted streams.
+Contexts of one hash that are too many for a task's memory are resolved by the digests of their strings in a distributed
+aggregation. Texts cross the network compressed.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +31,15 @@ from .minhash import POWERS, U64, mix
 
 GRAM = 24
 #: Bytes of a document that are anchored at a time, and of contexts that are sorted at a time.
-SEGMENT, BLOCK = 1 << 22, 1 << 20
+SEGMENT, BLOCK = 1 << 22, 1 << 18
 #: Bytes of distinct contexts of one hash that a task holds.
 MOST = 1 << 23
 NO_ID = -(1 << 63)
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first start and number of starts of each anchor of a text."""
-    out: list[tuple[np.ndarray, ...]] = []
+def anchors(data: bytes, length: int) -> np.ndarray:
+    """Rows of (hash, context's digest, first start, number of starts), one for each anchor of a text."""
+    out: list[np.ndarray] = []
     window = length - GRAM + 1
     for base in range(0, len(data) - length + 1, SEGMENT):
         signs = np.frombuffer(data, np.uint8, min(SEGMENT + length - 1, len(data) - base), base)
@@ -54,52 +58,102 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         at = (U64(0xFFFFFF) - (least & U64(0xFFFFFF))).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         count = np.diff(np.concatenate((first, [len(at)])))
-        out.append(((h[at[first]] >> U64(16)).astype(np.int64), first + base, count))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out))
+        whole = mix((sums[first + count + length - 1] - sums[first]) * down[first] + count.astype(U64) * U64(0xD6E8FEB86659FD93))
+        out.append(np.stack([(h[at[first]] >> U64(16)).astype(np.int64), (whole >> U64(16)).astype(np.int64), first + base, count], 1))
+    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+
+
+ANCHORS = "key long, h long, c long, doc_id long, first long, n int"
+MARKS = "h long, doc_id long, first long, n int"
+CONTEXTS = f"{MARKS}, context binary"
+
+
+def arrow(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = columns or [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
 def anchor_batch(length: int):
+    """The anchors of a batch, to be dealt by `key`: the hash, or for later ones of equal contexts, which are marks
+    already and have no hash, a hash of their place."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, found = [], []
+        found = []
         for part in slices(batch):
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                found.append(anchors(text.encode(), length))
-                ids.append(np.full(len(found[-1][0]), doc_id, np.int64))
-        h, first, count = (np.concatenate(x) for x in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate(ids)), pa.array(first), pa.array(count.astype(np.int32))], ["h", "doc_id", "first", "n"])
+                rows = anchors(text.encode(), length)
+                found.append(np.column_stack([rows, np.full(len(rows), doc_id, np.int64)]))
+        h, c, first, n, doc_id = np.concatenate(found).T
+        order = np.lexsort((first, doc_id, c, h))
+        h, c, first, n, doc_id = (x[order] for x in (h, c, first, n, doc_id))
+        again = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (doc_id[1:] == doc_id[:-1]) & (first[1:] == first[:-1])))
+        h, c, first, n, doc_id = (x[~again] for x in (h, c, first, n, doc_id))  # repeated rows stand at one place
+        same = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))
+        key = np.where(same, (mix(doc_id.astype(U64) * U64(31) + first.astype(U64)) >> U64(16)).astype(np.int64), h)
+        out = pa.RecordBatch.from_arrays([pa.array(key), pa.array(h, mask=same), pa.array(c, mask=same), pa.array(doc_id), pa.array(first), pa.array(n.astype(np.int32))], ["key", "h", "c", "doc_id", "first", "n"])
+        return out
 
     return run
 
 
-MARKS = "h long, doc_id long, first long, n int, context binary"
-
-
-def rows_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["h", "doc_id", "first", "n", "context"])
+def settle_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From anchors in the order of (h, c, doc_id, first): marks (h null), and the first of each context where a hash
+    has several (with h). Works on neighbours only, so memory doesn't grow with a hash's rows."""
+    last: dict[str, np.ndarray] | None = None  # the last first-of-context row, not yet given out
+    given = False  # whether the present hash is known to have several contexts
+    columns = ("doc_id", "first", "n")
+    for batch in batches:
+        marked = batch.filter(pc.is_null(batch.column("h")))
+        if marked.num_rows:
+            yield pa.RecordBatch.from_arrays([marked.column(x) for x in ("h", *columns)], ["h", *columns])
+        rest = batch.filter(pc.is_valid(batch.column("h")))
+        if not rest.num_rows:
+            continue
+        now = {x: rest.column(x).to_numpy() for x in ("h", "c", *columns)}
+        if last is not None:
+            now = {x: np.concatenate((last[x], now[x])) for x in now}
+        again = np.concatenate(([False], np.all([now[x][1:] == now[x][:-1] for x in ("h", "c", "doc_id", "first")], axis=0)))
+        now = {x: v[~again] for x, v in now.items()}
+        h, c = now["h"], now["c"]
+        new_h = np.concatenate(([True], h[1:] != h[:-1]))
+        new_c = new_h | np.concatenate(([True], c[1:] != c[:-1]))
+        group = np.cumsum(new_h) - 1
+        several = np.bincount(group, new_c)[group] > 1
+        if given:
+            several |= group == 0
+        fresh = np.ones(len(h), bool)
+        if last is not None:
+            fresh[0] = not given  # given out before, if its hash was known to have several contexts
+        # The last context goes on in the next batch; its first row is held for comparison.
+        tail = int(np.flatnonzero(new_c)[-1])
+        wanted = new_c & several & fresh
+        keep = ~new_c | wanted
+        out_h = pa.array(h[keep], mask=~new_c[keep])
+        held_given = bool(several[tail])
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([out_h, *[pa.array(now[x][keep]) for x in columns]], ["h", *columns])
+        last, given = {x: now[x][tail : tail + 1] for x in now}, held_given
+
+
+def pack_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts as compressed bytes, the other columns as they are."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    data = pa.array([squeeze(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+    others = [n for n in batch.schema.names if n != "text"]
+    return pa.RecordBatch.from_arrays([*[batch.column(n) for n in others], data], [*others, "data"])
 
 
 def context_batch(length: int):
-    """Contexts of the repeated anchors of a batch; of equal ones the first, the others as marks (without a context)."""
+    """The bytes of the wanted contexts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for part in slices(batch, most_bytes=32 << 20, most_rows=1 << 20):
-            rows = []
-            for doc_id, text, starts in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("starts").to_pylist()):
-                data = text.encode()
-                rows += [(doc_id, s["first"], s["n"], s["h"], data[s["first"] : s["first"] + s["n"] + length - 1]) for s in starts]
-            rows.sort(key=lambda r: r[:2])
-            seen: dict[tuple[int, bytes], tuple[int, int]] = {}
-            for doc_id, first, n, h, context in rows:
-                there = seen.setdefault((h, context), (doc_id, first))
-                if there == (doc_id, first):
-                    out.append((h, doc_id, first, n, context))
-                else:
-                    out.append((h, doc_id, first, n, None))
-        return rows_of(out)
+        out, open_up = [], zstandard.ZstdDecompressor().decompress
+        for doc_id, packed, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "starts"))):
+            data = open_up(packed)
+            out += [(s["h"], doc_id, s["first"], s["n"], data[s["first"] : s["first"] + s["n"] + length - 1]) for s in starts]
+        return arrow(list(zip(*out)), CONTEXTS)
 
     return run
 
@@ -113,7 +167,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << U64(9)) | padded[i : i + n].astype(U64)
     known = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         step = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([1], (step[1:] != step[:-1]).astype(np.int64))))
@@ -133,7 +187,7 @@ def shared_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     """
     n = len(text)
     last = text[order - 1]  # the transform; before the first sign stands the last, the end sign
-    by_byte = np.argsort(last, kind="stable")
+    by_byte = np.argsort(last.astype(np.uint16), kind="stable")
     jump = np.empty(n, np.int64)
     jump[by_byte] = np.arange(n)
     is_open = np.ones(n + 1, bool)
@@ -229,11 +283,11 @@ def resolve_partition(length: int):
                         out += [(h, *c) for c in own]
                         own, seen = [], set()
                 if len(out) >= 20_000:
-                    yield rows_of(out)
+                    yield arrow(list(zip(*out)), CONTEXTS)
                     out = []
         close_hash()
         close_block()
-        yield rows_of(out)
+        yield arrow(list(zip(*out)), CONTEXTS)
 
     return run
 
@@ -245,7 +299,7 @@ def digest_batch(length: int):
         out = []
         for doc_id, first, n, context in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "n", "context"))):
             out += [(hashlib.blake2b(context[i : i + length], digest_size=16).digest(), doc_id, first + i) for i in range(n)]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64()))], ["digest", "doc_id", "first"])
+        return arrow(list(zip(*out)), "digest binary, doc_id long, first long")
 
     return run
 
@@ -253,8 +307,9 @@ def digest_batch(length: int):
 def cut_batch(length: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, removed, spans, kept = [], [], [], []
-        for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
-            data, parts, end, runs = text.encode(), [], 0, 0
+        open_up = zstandard.ZstdDecompressor().decompress
+        for packed, marks in zip(batch.column("data").to_pylist(), batch.column("marks").to_pylist()):
+            data, parts, end, runs = open_up(packed), [], 0, 0
             reach = -1  # where the present run ends; -1 before the first
             for first, n in sorted((m["first"], m["n"]) for m in marks or []):
                 if first > reach:
@@ -268,7 +323,7 @@ def cut_batch(length: int):
             removed.append(len(data) - len(whole))
             spans.append(runs)
             kept.append(whole)
-        carried = [c for c in batch.schema.names if c not in ("text", "marks")]
+        carried = [c for c in batch.schema.names if c not in ("data", "marks")]
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)], pa.array(kept, pa.binary())], [*carried, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
@@ -279,24 +334,26 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: bool = False) ->
     struct of the other columns.
 
     Null and empty texts and those of under `length` bytes lose nothing. Rows that share a doc_id stand at one place of
-    the corpus: equal strings at equal starts in them are not earlier than each other. A null doc_id comes before all
-    others. An empty table gives an empty result; other columns are ignored.
+    the corpus: equal strings at equal starts in them are not earlier than each other, and what is marked in one is cut
+    from all. A null doc_id comes before all others. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows if not carry else docs.select(*[F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias(c) if c == "doc_id" else F.coalesce(c, F.lit("")).alias(c) for c in ("doc_id", "text")], F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
-    found = in_arrow(rows.where(F.octet_length("text") >= length), anchor_batch(length), "h long, doc_id long, first long, n int")
-    repeated = found.groupBy("h").count().where("count > 1").select("h")
-    starts = found.join(repeated, "h", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "n")).alias("starts"))
-    marks = materialise(in_arrow(rows.join(starts, "doc_id"), context_batch(length), MARKS), "contexts")
-    dealt = marks.where("context is not null").repartition("h").sortWithinPartitions("h", "doc_id", "first")
-    resolved = materialise(dealt.mapInArrow(resolve_partition(length), MARKS), "resolved")
+    found = in_arrow(rows.where(F.octet_length("text") >= length), anchor_batch(length), ANCHORS)
+    dealt = found.repartition("key").drop("key").sortWithinPartitions("h", "c", "doc_id", "first")
+    settled = materialise(dealt.mapInArrow(settle_partition, MARKS), "anchors")
+    starts = settled.where("h is not null").groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "n")).alias("starts"))
+    contexts = in_arrow(in_arrow(rows, pack_batch, "doc_id long, data binary").join(starts, "doc_id"), context_batch(length), CONTEXTS)
+    met = contexts.repartition("h").sortWithinPartitions("h", "doc_id", "first")
+    resolved = materialise(met.mapInArrow(resolve_partition(length), CONTEXTS), "resolved")
     strings = in_arrow(resolved.where("context is not null"), digest_batch(length), "digest binary, doc_id long, first long")
     earliest = strings.groupBy("digest").agg(F.min(F.struct("doc_id", "first")).alias("least"))
     later = strings.join(earliest, "digest").where(F.struct("doc_id", "first") > F.col("least")).select("doc_id", "first", F.lit(1).alias("n"))
-    known = marks.where("context is null").select("doc_id", "first", "n").unionByName(resolved.where("context is null").select("doc_id", "first", "n")).unionByName(later)
+    known = settled.where("h is null").select("doc_id", "first", "n").unionByName(resolved.where("context is null").select("doc_id", "first", "n")).unionByName(later)
     of_doc = known.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
     other = f"row {whole.schema['row'].dataType.simpleString()}, " if carry else ""
-    out = in_arrow(whole.join(of_doc, "doc_id", "left"), cut_batch(length), f"doc_id long, {other}n_bytes long, n_removed long, n_spans long, kept binary")
+    packed = in_arrow(whole, pack_batch, f"doc_id long, {other}data binary")
+    out = in_arrow(packed.join(of_doc, "doc_id", "left"), cut_batch(length), f"doc_id long, {other}n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
