@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded, hash-chosen sample of labelled documents. Its features (words, and the first five signs of
-longer words) are those of the sample that tell the labels apart; their document frequencies are counted over all
-documents. For a document every block of examples has an upper bound from the block's largest weights; the blocks with
-the highest bounds are scored first, and then all whose bound reaches the k-th best score, so the k nearest are exact.
+The index holds a bounded, hash-chosen sample of labelled documents with all their features (words, and the first five
+signs of longer words); the document frequencies of these are counted over all documents. For a document every block of
+examples has an upper bound from the block's largest weights; the blocks with the highest bounds are scored first, and
+then all whose bound reaches the k-th best score, so the k nearest are exact. Features that no example has can't add to
+a product and stand outside a document's length, which is the same for all its neighbours.
 Their votes, weighted by the square of the cosine, are brought to a probability by a logistic curve fitted to the
 examples, each judged without itself.
 """
@@ -35,10 +36,15 @@ def counted(text: str) -> dict[str, int]:
     return out
 
 
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin[i], begin[i] + 1, ... of all i, size[i] of each."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Index:
-    """Examples as unit vectors in a block-max inverted index."""
+    """Examples as unit vectors in a block-max inverted index; examples are dicts, or (feature numbers, counts)."""
 
-    def __init__(self, features: list[str], idf: np.ndarray, examples: list[dict[str, int]], block: int = 64):
+    def __init__(self, features: list[str], idf: np.ndarray, examples: list, block: int = 64):
         self.numbers = {f: i for i, f in enumerate(features)}
         self.idf, self.size, self.block = idf, len(examples), block
         self.blocks = max(1, -(-len(examples) // block))
@@ -47,47 +53,66 @@ class Index:
         owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
         weight = np.concatenate([r[1] for r in rows] or [np.zeros(0)])
         order = np.lexsort((owner, feature))
-        self.owner, self.weight, feature = owner[order], weight[order], feature[order]
-        #: Where the postings of (feature, block) begin; the next entry is where they end.
-        cell = feature * self.blocks + self.owner // block
-        self.begin = np.searchsorted(cell, np.arange(len(features) * self.blocks + 1))
-        self.most = np.zeros(len(features) * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(features), self.blocks)
-
-    def vector(self, features: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        self.owner, self.weight = owner[order], weight[order]
+        #: Only the (feature, block) with postings: where those begin, the block and the largest weight.
+        cells, begin = np.unique(feature[order] * self.blocks + self.owner // block, return_index=True)
+        self.begin = np.append(begin, len(order)).astype(np.int64)
+        self.place = (cells % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
+        #: Where the cells of a feature begin; the next entry is where they end.
+        self.first = np.searchsorted(cells, np.arange(len(features) + 1) * self.blocks)
+
+    def vector(self, features) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers in order and TF-IDF weights, of length 1."""
-        known = sorted((self.numbers[f], n) for f, n in features.items() if f in self.numbers)
-        at = np.array([i for i, _ in known], np.int64)
-        w = (1.0 + np.log([n for _, n in known])) * self.idf[at] if known else np.zeros(0)
+        if isinstance(features, dict):
+            known = sorted((self.numbers[f], n) for f, n in features.items() if f in self.numbers)
+            features = np.array([i for i, _ in known], np.int64), np.array([n for _, n in known], np.float64)
+        at, n = features
+        w = (1.0 + np.log(n)) * self.idf[at]
         return at, w / max(np.sqrt((w * w).sum()), 1e-300)
 
-    def scored(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray, into: np.ndarray) -> None:
-        """Add the cosines of the examples in these blocks."""
-        cells = (at[:, None] * self.blocks + blocks[None, :]).ravel()
-        begin, size = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
-        total = int(size.sum())
-        if total:
-            where = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(total)
-            into += np.bincount(self.owner[where], self.weight[where] * np.repeat(np.repeat(w, len(blocks)), size), len(into))
+    def scored(self, cells: np.ndarray, w: np.ndarray, into: np.ndarray) -> None:
+        """Add the products of these cells' postings with the weights w of their features."""
+        self.added(self.begin[cells], self.begin[cells + 1], w, into)
 
-    def nearest(self, features: dict[str, int], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def added(self, begin: np.ndarray, end: np.ndarray, w: np.ndarray, into: np.ndarray) -> None:
+        """Add the products of the postings from begin to end with the weights w."""
+        size = end - begin
+        where = ranges(begin, size)
+        if len(where):
+            into += np.bincount(self.owner[where], self.weight[where] * np.repeat(w, size), len(into))
+
+    def nearest(self, features, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine above 0; ties go to the smaller number."""
-        at, w = self.vector(features)
+        at, weights = self.vector(features)
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
-        bounds = w @ self.most[at]
+        size = self.first[at + 1] - self.first[at]
+        cells, w = ranges(self.first[at], size), np.repeat(weights, size)
+        place = self.place[cells]
+        bounds = np.bincount(place, w * self.most[cells], self.blocks)
         order = np.argsort(-bounds, kind="stable")
         scores = np.zeros(self.size)
         first = max(1, -(-2 * (k + 1) // self.block))
-        self.scored(at, w, order[:first], scores)
+        chosen = np.zeros(self.blocks, bool)
+        chosen[order[:first]] = True
+        now = chosen[place]
+        self.scored(cells[now], w[now], scores)
         if without >= 0:
             scores[without] = 0.0
         edge = np.partition(scores, -k)[-k] if self.size > k else 0.0
         rest = order[first:]
         rest = rest[(bounds[rest] >= edge * (1 - 1e-12)) & (bounds[rest] > 0)]
         if len(rest):
-            self.scored(at, w, rest, scores)
+            if 2 * len(rest) > self.blocks:
+                # Nearly all: whole lists of postings take less time than their cells.
+                scores[:] = 0.0
+                self.added(self.begin[self.first[at]], self.begin[self.first[at + 1]], weights, scores)
+            else:
+                chosen[:] = False
+                chosen[rest] = True
+                now = chosen[place]
+                self.scored(cells[now], w[now], scores)
             if without >= 0:
                 scores[without] = 0.0
         best = np.argsort(-scores, kind="stable")[:k]
@@ -126,12 +151,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.vote(found) + self.shift, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int = 6000, least_z: float = 4.0, k: int = 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, k: int = 15) -> Model:
     """A model from labels (doc_id, label 0/1) of docs (doc_id, text); the document frequencies are those of all docs.
 
     `sample`: labelled documents wanted of each label, chosen by a hash of their ids; it bounds the index and what the
-    driver holds. `features`: most features, those with the largest association with the label (z of at least
-    `least_z`). Rows with a null text or label teach nothing; without labelled rows every score is 0.
+    driver holds. Every feature of these documents is in the index. Rows with a null text or label teach nothing; without
+    labelled rows every score is 0.
     """
     chosen, rate = labelled_sample(docs, labels, sample, "toxicity")
     counts_type = pa.list_(pa.struct([("f", pa.string()), ("n", pa.int32())]))
@@ -141,27 +166,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int =
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array(found, counts_type)], ["doc_id", "label", "features"])
 
     examples = in_arrow(chosen, featured, "doc_id long, label int, features array<struct<f: string, n: int>>").cache()
-    totals = {int(r["label"]): r["count"] for r in examples.groupBy("label").count().collect()}
-    n = sum(totals.values())
-    if not n:
+    names = sorted(examples.select(F.explode("features.f").alias("f")).distinct().toArrow().column("f").to_pylist())
+    if not examples.count():
         return Model(Index([], np.zeros(0), []), np.zeros(0), [], np.zeros(0), k)
-    share = totals.get(1, 0) / n
-    both = examples.select("label", F.explode("features.f").alias("f")).groupBy("f").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("all")).where("all >= 3")
-    z = F.abs(F.col("yes") - F.col("all") * share) / F.sqrt(F.col("all") * max(share * (1 - share), 1e-9))
-    names = [r["f"] for r in both.withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "f").limit(features).collect()]
     idf = inverse_frequencies(docs, names)
-    wanted = frozenset(names)
+    number = {f: i for i, f in enumerate(names)}
 
-    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[x for x in row if x["f"] in wanted] for row in batch.column("features").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, counts_type)], ["doc_id", "label", "features"])
+    def numbered(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sorted((number[x["f"]], x["n"]) for x in row) for row in batch.column("features").to_pylist()]
+        at, n = ([[x[j] for x in row] for row in found] for j in (0, 1))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], ["doc_id", "label", "at", "n"])
 
-    held = in_arrow(examples, kept, "doc_id long, label int, features array<struct<f: string, n: int>>").orderBy("doc_id", F.to_json("features")).collect()
+    held = in_arrow(examples, numbered, "doc_id long, label int, at array<int>, n array<int>").orderBy("doc_id", "at", "n").toArrow()
     examples.unpersist()
-    vectors = [{x["f"]: x["n"] for x in r["features"]} for r in held]
-    labels = np.array([float(r["label"]) for r in held])
+    vectors = [(np.asarray(a.values, np.int64), np.asarray(n.values, np.float64)) for a, n in zip(held.column("at"), held.column("n"))]
+    labels = np.asarray(held.column("label"), np.float64)
     weights = np.where(labels == 1, 1 / rate[1], 1 / rate[0])
-    model = Model(Index(names, idf, vectors), labels, [r["doc_id"] for r in held], weights / weights.min(), k)
+    model = Model(Index(names, idf, vectors), labels, held.column("doc_id").to_pylist(), weights / weights.min(), k)
     model.calibrate(np.array([model.vote(model.index.nearest(v, k, without=i)) for i, v in enumerate(vectors)]))
     return model
 

@@ -271,6 +271,16 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in toxicity.score(tests, nothing).collect()} == {0.0}
 
 
+def test_toxicity_keeps_rare_and_neutral_features(spark):
+    rows = [(i, f"vile rare{i}" if i % 2 else f"mild lone{i}", i % 2) for i in range(60)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(train, train.select("doc_id", "label"))
+    assert set(model.index.numbers) == {f for _, t, _ in rows for f in toxicity.counted(t)}
+    tests = spark.createDataFrame([(1, "lone4"), (2, "Rare7 unseen"), (3, "unseen")], "doc_id long, text string")
+    found = {r.doc_id: [e.doc_id for e in r.evidence] for r in toxicity.score(tests, model).collect()}
+    assert found == {1: [4], 2: [7], 3: []}
+
+
 def test_block_max_search_is_exact():
     r = random.Random(3)
     names = [f"f{i}" for i in range(80)]
