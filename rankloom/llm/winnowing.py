@@ -1,9 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is read as pieces of at most four signs, cut within runs of signs that aren't white space, from each run's start.
-k-gram hashes of the pieces are made by doubling (1, 2, 4 pieces ...), each window of w k-grams keeps its smallest hash,
-the rightmost of equal ones, and the kept hashes with their positions are the fingerprint. Any run of w + k - 1 pieces
-that two texts share, from the start of a word, leaves a common hash.
+A text is read without its white space. A k-gram of 4 k signs begins at every sign (code point); each window of 4 w
+neighbouring k-grams keeps its smallest hash, the rightmost of equal ones, and the kept hashes with their positions are
+the fingerprint. Any run of 4 (w + k) - 1 signs that two texts share, at any place, leaves a common hash.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import docs_of, shuffle_partitions
 
+#: Signs that k and window count in.
+UNIT = 4
 #: A hash and a position share a long: 32 bits of hash, then 31 bits that fall with the position.
 LOW = (1 << 31) - 1
 
@@ -31,16 +32,17 @@ def _doubled(rows: DataFrame, columns: list[str], length: int, join) -> DataFram
 
 def with_keys(rows: DataFrame, texts: dict[str, str], k: int = 4, window: int = 8) -> DataFrame:
     """Adds array<long> columns, texts naming each one's text column: (hash << 31) + (2^31 - 1 - position) for each kept
-    k-gram, in order of first choice."""
-    out = list(texts)
-    rows = rows.withColumns({c: F.regexp_extract_all(F.col(t), F.lit(r"\S{1,4}"), F.lit(0)) for c, t in texts.items()})
-    rows = rows.withColumns({c: F.transform(c, lambda p: F.xxhash64(p)) for c in out})
-    # zip_with pads with null, which xxhash64 skips and least ignores: the tails are cut off after it.
-    rows = _doubled(rows, out, k, lambda a, b: F.xxhash64(a, b))
-    rows = rows.withColumns({c: F.slice(c, 1, F.greatest(F.size(c) - (k - 1), F.lit(1))) for c in out})
-    rows = rows.withColumns({c: F.transform(c, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(F.lit(LOW) - i)) for c in out})
-    rows = _doubled(rows, out, window, lambda a, b: F.least(a, b))
-    return rows.withColumns({c: F.array_distinct(F.slice(c, 1, F.greatest(F.size(c) - (window - 1), F.lit(1)))) for c in out})
+    k-gram, in order of first choice. k and window are powers of two, in units of four signs."""
+    out, signs, reach = list(texts), UNIT * k, UNIT * window
+    rows = rows.withColumns({c: F.regexp_replace(t, r"(?U)\s+", "") for c, t in texts.items()})
+    # An empty match moves on by half a surrogate pair, where no gram begins: such a half is in Cs. The last gram or, of a
+    # short text, the only one is all that is left.
+    gram = rf"(?s)(?=(\P{{Cs}}.{{{signs - 1}}}))"
+    rows = rows.withColumns({c: F.when(F.char_length(c) > signs, F.regexp_extract_all(F.col(c), F.lit(gram), F.lit(1))).when(F.char_length(c) > 0, F.array(F.col(c))).otherwise(F.array().cast("array<string>")) for c in out})
+    rows = rows.withColumns({c: F.transform(c, lambda p, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(p), 32), 31).bitwiseOR(F.lit(LOW) - i)) for c in out})
+    # zip_with pads with null, which least ignores: the tails are cut off after it.
+    rows = _doubled(rows, out, reach, lambda a, b: F.least(a, b))
+    return rows.withColumns({c: F.array_distinct(F.slice(c, 1, F.greatest(F.size(c) - (reach - 1), F.lit(1)))) for c in out})
 
 
 def fingerprint_text(keys: Column) -> Column:
@@ -95,9 +97,9 @@ def fingerprints(docs: DataFrame, k: int = 4, window: int = 8) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, k: int = 4, window: int = 8) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    Null and empty texts: no signs, an empty fingerprint, an empty edited text. A text with fewer pieces than k has one
-    k-gram of all its pieces. A lone row is its own next. Repeated rows follow each other; an empty table gives an
-    empty result; other columns are ignored. Positions are numbers of pieces and go up to 2^31 - 1.
+    Null and empty texts: no signs, an empty fingerprint, an empty edited text. A text with fewer signs than a k-gram
+    is one k-gram. A lone row is its own next. Repeated rows follow each other; an empty table gives an
+    empty result; other columns are ignored. Positions are numbers of signs that are not white space and go up to 2^31 - 1.
     """
     rows = with_next(docs_of(docs), ["text", "own"], lambda x: with_keys(x, {"own": "text"}, k, window))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))

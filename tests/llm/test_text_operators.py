@@ -256,6 +256,18 @@ def test_winnowing_keeps_the_rightmost_smallest(spark):
     assert len(hashes) == 1 and all(1 <= b - a <= 4 for a, b in zip(places, places[1:])) and places[0] >= 2
 
 
+def test_winnowing_finds_shifted_passages_in_text_without_spaces(spark):
+    r = random.Random(8)
+    text = "".join(chr(r.choice([0x4E00, 0x1F300]) + r.randrange(300)) for _ in range(400))
+    rows = [(shift, "甲" * shift + text) for shift in range(6)] + [(6, text[:150] + " \n\u3000" + text[150:])]
+    keys = winnowing.with_keys(spark.createDataFrame(rows, "doc_id long, t string"), {"own": "t"}).collect()
+    sets = {x.doc_id: {h >> 31 for h in x.own} for x in keys}
+    assert all(len(sets[0] & sets[i]) > 0.9 * len(sets[0]) for i in range(1, 7)) and sets[6] == sets[0]
+    run = text[200:247]
+    both = winnowing.with_keys(spark.createDataFrame([(run + text[:90],), ("xyz" + run + text[300:],)], "t string"), {"own": "t"}).collect()
+    assert {h >> 31 for h in both[0].own} & {h >> 31 for h in both[1].own}
+
+
 def test_toxicity(spark, docs, none):
     bad = ["vile", "nasty", "awful"]
     rows = [(i, " ".join(rng.sample(WORDS, 8) + ([rng.choice(bad)] * 3 if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(240)]
