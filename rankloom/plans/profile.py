@@ -221,6 +221,16 @@ def graph_nodes(b: Base) -> DataFrame:
     return graph.components(edges).agg(F.count(F.lit(1)).alias("nodes"))
 
 
+@query("a21_component_sizes")
+def component_sizes(b: Base) -> DataFrame:
+    """The size histogram of the components of all interactions, and beside each row their number, the largest and its
+    share of the nodes. Without SQL; tested against union-find."""
+    edges = b.interactions().select((F.col("u") * 2).alias("a"), (F.col("i") * 2 + 1).alias("b"))
+    sizes = graph.component_sizes(graph.components(edges))
+    totals = sizes.agg(F.sum("n").alias("components"), F.max("size").alias("largest"), r6(F.max("size") / F.sum(F.col("size") * F.col("n"))).alias("largest_share"))
+    return sizes.crossJoin(F.broadcast(totals))
+
+
 @query("a22_model_agreement", "SELECT CAST((p1 = label)::INT + (p2 = label)::INT + (p3 = label)::INT AS INT) AS right_models, count(*) AS n FROM preds GROUP BY 1")
 def model_agreement(b: Base) -> DataFrame:
     rows = b.scored()

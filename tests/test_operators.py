@@ -1,6 +1,7 @@
 """Small cases whose answers can be worked out by hand."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,27 @@ def test_components(spark):
     assert dict(graph.components(edges).collect()) == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
 
 
+def test_component_sizes_of_all_interactions(spark):
+    import __spark_entry__ as entry
+    from rankloom.plans.base import Base
+
+    labels = graph.components(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (7, 6)], "a long, b long"))
+    assert {(r["size"], r.n) for r in graph.component_sizes(labels).collect()} == {(4, 1), (2, 2)}
+    data, above = "/root/testdata/sf0.001", {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for r in Base(spark, data).interactions().select("u", "i").collect():
+        above[top(("u", r.u))] = top(("i", r.i))
+    sizes = Counter(Counter(map(top, list(above))).values())
+    rows = entry.queries()["a21_component_sizes"](spark, data).collect()
+    assert {r["size"]: r.n for r in rows} == sizes
+    assert {(r.components, r.largest, r.largest_share) for r in rows} == {(sum(sizes.values()), max(sizes), round(max(sizes) / len(above), 6))}
+
+
 def test_bootstrap_interval_holds_the_mean(spark):
     rows = spark.createDataFrame([(k, k // 4, k % 2, int(k % 3 == 0)) for k in range(400)], "id long, u long, label int, pred int")
     r = resampling.user_bootstrap(rows, 100).first()
