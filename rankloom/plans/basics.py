@@ -22,6 +22,13 @@ def selected_texts(b: Base) -> DataFrame:
     return b.table("documents").join(wanted, "doc_id", "left_semi").select("doc_id", F.left("text", F.lit(80)).alias("head"))
 
 
+@query("s05_whole_texts", "SELECT d.doc_id, length(d.text) AS n, sha256(d.text) AS digest FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", frames=False)
+def whole_texts(b: Base) -> DataFrame:
+    """The digest stands for the text, every sign of which is read."""
+    wanted = b.table("labels").where("quality = 1").select("doc_id")
+    return b.table("documents").join(wanted, "doc_id", "left_semi").select("doc_id", F.char_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
 @query("s06_score_scan", "SELECT id AS \"ID\", u AS \"userID\", i AS \"gameID\", s1 AS m_score_pop, s2 AS m_score_day FROM base")
 def score_scan(b: Base) -> DataFrame:
     rows = b.scored().select(F.col("id").alias("ID"), F.col("u").alias("userID"), F.col("i").alias("gameID"), F.col("s1").alias("score_pop"), F.col("s2").alias("score_day"), "label")
@@ -140,6 +147,11 @@ def mixed_sort(b: Base) -> DataFrame:
     return b.scored().select("u", "id", "s1").orderBy("u", F.desc("s1"), "id").limit(500)
 
 
+@query("k01_whole_sort", "SELECT u, id, s1 FROM base ORDER BY u, s1 DESC, id")
+def whole_sort(b: Base) -> DataFrame:
+    return b.scored().select("u", "id", "s1").orderBy("u", F.desc("s1"), "id")
+
+
 @query("k08_group_largest", "SELECT i, u, hours FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY hours DESC, u) AS r FROM inter) WHERE r <= 3")
 def group_largest(b: Base) -> DataFrame:
     w = Window.partitionBy("i").orderBy(F.desc("hours"), "u")

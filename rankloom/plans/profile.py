@@ -313,6 +313,13 @@ def clean_text(b: Base) -> DataFrame:
     return rows.select("doc_id", F.char_length("c").cast("long").alias("n"), F.left("c", F.lit(60)).alias("head"))
 
 
+@query("f05_whole_clean_text", "SELECT doc_id, length(c) AS n, sha256(c) AS digest FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS c FROM documents)", frames=False)
+def whole_clean_text(b: Base) -> DataFrame:
+    """The digest is that of the whole cleaned text."""
+    rows = b.table("documents").select("doc_id", T.collapsed("text").alias("c"))
+    return rows.select("doc_id", F.char_length("c").cast("long").alias("n"), F.sha2("c", 256).alias("digest"))
+
+
 STOP = "', '".join(T.STOP_WORDS)
 
 

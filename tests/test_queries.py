@@ -34,6 +34,18 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["s05_whole_texts", "f05_whole_clean_text"])
+def test_whole_texts_equal_sql(spark, duck, name):
+    test_query_equals_sql(spark, duck, name)
+
+
+def test_whole_sort_keeps_every_row_in_order(spark, duck):
+    df = entry.queries()["k01_whole_sort"](spark, DATA)
+    found = [(r.u, r.id, round(r.s1, 6)) for r in df.collect()]
+    assert found == [(u, i, round(s, 6)) for u, i, s in duck.sql(entry.oracle_sql()["k01_whole_sort"]).fetchall()]
+    assert len(found) == len(duck.sql(entry.oracle_sql()["n08_split_candidates"]).fetchall())
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 100
