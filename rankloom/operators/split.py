@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.session import materialise
+
 
 def hash_key(seed: str, *cols: str) -> Column:
     """md5 of seed and keys joined by ':' as hexadecimal text: an order that every engine shares."""
@@ -46,6 +48,27 @@ def proposed_negatives(sizes: DataFrame, items: DataFrame, seen: DataFrame, seed
     return fresh.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("j"))).where("r <= k").select("u", "i")
 
 
+def whole_negatives(sizes: DataFrame, items: DataFrame, seen: DataFrame, seed: str, tries: int = 6) -> DataFrame:
+    """u, i: as proposed_negatives, but every user gets k unseen items, or all of them if there are fewer.
+
+    Users still short of k draw eight times as many numbers, which begin with the same ones, in two more rounds. For
+    those short after that, unseen items are rare among the numbers: theirs are listed and fill up in hash order.
+    """
+    done, short = None, sizes.select("u", "k")
+    for factor in (1, 8, 64):
+        rows = materialise(proposed_negatives(short, items, seen, seed, tries * factor), "negatives")
+        counted = short.join(rows.groupBy("u").agg(F.count(F.lit(1)).alias("had")), "u", "left").select("u", "k", F.coalesce("had", F.lit(0)).alias("had"))
+        left = materialise(counted.where("had < k"), "short")
+        full = rows.join(left, "u", "left_anti")
+        done = full if done is None else done.unionByName(full)
+        if left.isEmpty():
+            return done
+        short = left.select("u", "k")
+    rest = left.crossJoin(items.select("i").distinct()).join(seen.select("u", "i"), ["u", "i"], "left_anti").join(rows, ["u", "i"], "left_anti")
+    rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(hash_key(seed, "u", "i"), "i"))).where("r <= k - had")
+    return done.unionByName(rows.join(left, "u", "left_semi")).unionByName(rest.select("u", "i"))
+
+
 def weighted_negatives(sizes: DataFrame, pool: DataFrame, seed: str, weight: Column) -> DataFrame:
     """u, i: k items for each user from a pool of (u, i, ...), drawn by weight without replacement.
 

@@ -33,7 +33,7 @@ def recent_hold_out(b: Base) -> DataFrame:
 @query("n03_uniform_negatives", "SELECT u, i FROM negs")
 def uniform_negatives(b: Base) -> DataFrame:
     inter = b.interactions()
-    return split.proposed_negatives(split.hold_out_sizes(inter), b.table("part").select(F.col("p_partkey").alias("i")), inter, "42n:")
+    return split.whole_negatives(split.hold_out_sizes(inter), b.table("part").select(F.col("p_partkey").alias("i")), inter, "42n:")
 
 
 #: A pool of unseen items: 40 draws for each held-out item, the items' popularity beside them.

@@ -112,6 +112,19 @@ def test_split_has_no_leak(spark):
     assert (checks.n_rows, checks.positives, checks.ids, checks.overlap, checks.uneven_users, checks.cold_users) == (20, 10, 20, 0, 0, 0)
 
 
+def test_every_user_gets_all_negatives(spark):
+    items = spark.createDataFrame([(1000 * i,) for i in range(100)], "i long")
+    seen = {1: 95, 2: 97, 3: 10, 4: 100}
+    inter = spark.createDataFrame([(u, 1000 * i) for u, n in seen.items() for i in range(n)], "u long, i long")
+    sizes = spark.createDataFrame([(u, 5) for u in seen], "u long, k long")
+    rows = [(r.u, r.i) for r in split.whole_negatives(sizes, items, inter, "n:").collect()]
+    assert len(rows) == len(set(rows)) and not any(i < 1000 * seen[u] for u, i in rows)
+    assert Counter(u for u, _ in rows) == {1: 5, 2: 3, 3: 5}
+    dense = spark.createDataFrame([(i,) for i in range(200)], "i long")
+    plain, whole = (sorted(map(tuple, f(sizes, dense, inter, "n:").collect())) for f in (split.proposed_negatives, split.whole_negatives))
+    assert plain == whole and len(whole) == 20
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8)], "a long, b long")
     assert dict(graph.components(edges).collect()) == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
