@@ -3,9 +3,11 @@
 Signatures follow SuperMinHash: an element gives all hash functions values at once, r_j + j at the j-th place of a
 permutation of its own, and stops as soon as no function can still fall. Documents with equal sets are one class. A
 class meets others in the buckets of its bands. In a bucket each member is first held against its smallest member, and
-what is linked becomes one component. In buckets that still span components, every two members of different components
-are compared by their signatures, in tiles of bounded size, and likely ones on their full sets. No member of a bucket is
-dropped and no pair within a component is ever made.
+what is linked becomes one component. Buckets that still span components are dealt in tiles of bounded size. A first
+pass over the tiles keeps the members whose signature comes near that of another component's member; their texts then
+join them, and a second pass counts the shared shingles of every two of different components by an inverted index of the
+tile, joins what is linked by union-find and gives out only the links that merged two components. No member of a bucket
+is dropped, no table of pairs is ever made, and rows follow members.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: Elements that a call of the signature loop holds at a time.
 CHUNK = 49_152
-#: Members of a tile; how far below the bound a signature's estimate may be, 4.7 of its deviations.
-TILE, SLACK = 2048, 0.13
+#: Members of a tile's block, and shingles of its sets; how far below the bound a signature's estimate may be, 5.8 of its
+#: deviations.
+TILE, VOLUME, SLACK = 2048, 4_000_000, 0.16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -177,51 +180,120 @@ def bucket_partition(batches):
         last, lone = (int(key[-1]), int(pivot[-1])), not several[-1]
 
 
-def tile_partition(percent: int, least: float):
-    """From tiles in the order of (tile, node): pairs (a, b) of different components that may be similar enough."""
+TILES = "tile long, node long, component long, block int, crossed boolean"
 
-    def pairs(tile: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        node, component, n, block = (tile[c] for c in ("node", "component", "n", "block"))
-        short = np.frombuffer(b"".join(tile["short"]), np.uint8).reshape(len(node), -1)
-        names, which, count = np.unique(component, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return None
+
+def by_tile(each):
+    """A partition function that calls each with the rows of one tile after another; the tiles come in order."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tiles = batch.column("tile").to_numpy()
+            cuts = [0, *(np.flatnonzero(tiles[1:] != tiles[:-1]) + 1).tolist(), len(tiles)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and held[0].column("tile")[0].as_py() != tiles[a]:
+                    yield each(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield each(pa.Table.from_batches(held))
+
+    return run
+
+
+def near_partition(percent: int, least: float):
+    """From tiles in order: the members that may be similar enough to one of another component."""
+
+    def near(tile: pa.Table) -> pa.RecordBatch:
+        component, n, block = (tile.column(c).to_numpy() for c in ("component", "n", "block"))
+        crossed = tile.column("crossed")[0].as_py()
+        short = np.frombuffer(b"".join(tile.column("short").to_pylist()), np.uint8).reshape(len(n), -1)
+        _, which, count = np.unique(component, return_inverse=True, return_counts=True)
+        found = np.zeros(len(n), bool)
         # Pairs within the largest component aren't wanted: the others are held against all.
         few = np.flatnonzero(which != count.argmax())
-        out: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(0, len(few), 64):
             i = few[k : k + 64]
             fits = (which[i][:, None] != which[None, :]) & (100 * np.minimum(n[i][:, None], n[None, :]) >= percent * np.maximum(n[i][:, None], n[None, :]))
-            if tile["crossed"][0]:
+            if crossed:
                 fits &= block[i][:, None] != block[None, :]
             x, y = np.nonzero(fits)
             for m in range(0, len(x), 1 << 16):
                 p, q = i[x[m : m + (1 << 16)]], y[m : m + (1 << 16)]
-                near = (short[p] == short[q]).mean(axis=1) >= least
-                out.append((node[p[near]], node[q[near]]))
-        a, b = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+                likely = (short[p] == short[q]).mean(axis=1) >= least
+                found[p[likely]] = found[q[likely]] = True
+        node = tile.column("node").to_numpy()
+        at = np.flatnonzero(found)
+        at = at[np.unique(node[at], return_index=True)[1]]
+        kept = tile.select(["tile", "node", "component", "block", "crossed"]).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], kept.column_names)
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
+    return by_tile(near)
 
-        def close() -> pa.RecordBatch | None:
-            t = pa.Table.from_batches(held)
-            tile = {c: t.column(c).to_numpy() for c in ("node", "component", "n", "block")} | {"crossed": t.column("crossed").to_pylist()} | {"short": t.column("short").to_pylist()}
-            held.clear()
-            return pairs(tile)
 
-        for batch in batches:
-            tiles = batch.column("tile").to_numpy()
-            cuts = [0, *(np.flatnonzero(tiles[1:] != tiles[:-1]) + 1).tolist(), len(tiles)]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and held[0].column("tile")[0].as_py() != tiles[a] and (out := close()) is not None:
-                    yield out
-                held.append(batch.slice(a, b - a))
-        if held and (out := close()) is not None:
-            yield out
+def linked_pairs(node: np.ndarray, component: np.ndarray, group: np.ndarray | None, weight: np.ndarray, set_of, percent: int, volume: int):
+    """Links (node, node) that merge components, of all pairs with the wanted similarity; only of two groups if given.
 
-    return run
+    set_of(i) gives the sorted shingles of row i. Rows are indexed in parts of about `volume` by their weights; each
+    row's shingles are looked up in a part's index, which counts what it shares with every row of the part.
+    """
+    root = np.unique(component, return_inverse=True)[1]
+    first = np.flatnonzero(group == group.min()) if group is not None else np.arange(len(node))
+    others = np.flatnonzero(group != group.min()) if group is not None else first
+    part = np.cumsum(weight[first]) // volume
+    for p in np.unique(part):
+        rows = first[part == p]
+        sets = [set_of(i) for i in rows]
+        sizes = np.array([len(s) for s in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(rows)), sizes)[order]
+        begin = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        keys, end = values[begin], np.append(begin[1:], len(values))
+        for i in others:
+            apart = root[rows] != root[i]
+            if not apart.any():
+                continue
+            own = set_of(i)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            at = at[keys[at] == own]
+            size = end[at] - begin[at]
+            where = np.repeat(begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            both = np.bincount(owner[where], minlength=len(rows))
+            for j in rows[apart & (100 * both >= percent * (len(own) + sizes - both))].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    yield int(node[i]), int(node[j])
+
+
+def verify_partition(percent: int, words: int, volume: int):
+    """From tiles in order, with texts: the links between components, confirmed on full sets."""
+
+    def links(tile: pa.Table) -> pa.RecordBatch:
+        node, component, block = (tile.column(c).to_numpy() for c in ("node", "component", "block"))
+        data, open_up = tile.column("data").to_pylist(), zstandard.ZstdDecompressor().decompress
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def set_of(i: int) -> np.ndarray:
+            nonlocal held
+            if (found := known.get(i)) is not None:
+                return found
+            if held > volume:
+                known.clear()
+                held = 0
+            found = known[i] = shingles(open_up(data[i]).decode(), words)
+            held += len(found)
+            return found
+
+        bytes_of = np.array([zstandard.get_frame_parameters(d).content_size for d in data])
+        out = list(linked_pairs(node, component, block if tile.column("crossed")[0].as_py() else None, bytes_of / 6, set_of, percent, volume))
+        return pa.RecordBatch.from_arrays([pa.array([max(x) for x in out], pa.int64()), pa.array([min(x) for x in out], pa.int64())], ["a", "b"])
+
+    return by_tile(links)
 
 
 def likely_batch(least: float):
@@ -235,9 +307,10 @@ def likely_batch(least: float):
 
 
 def pack_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Texts as compressed bytes."""
+    """Texts as compressed bytes, the other columns as they are."""
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([squeeze(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "data"])
+    others = [c for c in batch.schema.names if c != "text"]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array([squeeze(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], [*others, "data"])
 
 
 def confirm_batch(percent: int, words: int):
@@ -258,47 +331,56 @@ def confirm_batch(percent: int, words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, volume: int = VOLUME) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Null and empty texts, and white space alone, have no shingles and no links. Copies are one class and never expanded
-    into pairs. Rows that share a doc_id are one document with the links of each of its texts. A null doc_id stands in
-    no component: its component_id is null and it is kept. An empty table gives an empty result; other columns are
-    ignored. A pair of exactly the wanted similarity shares no band with probability 1.3e-6, or has an estimate below
-    the bound by more than SLACK with about the same, and is then not found.
+    into pairs. Rows that share a doc_id are one document with the links of each of its texts: they have one
+    component_id and are kept or not together. A null doc_id stands in no component: its component_id is null and it is
+    kept. An empty table gives an empty result; other columns are ignored. A pair of exactly the wanted similarity
+    shares no band with probability 1.3e-6 and is then not found; the signatures' filter misses one with less than 1e-8.
     """
     texts = docs_of(docs)
     ship(docs.sparkSession)
     signed = materialise(in_arrow(texts, sign_batch(bands, rows, words), "doc_id long, n_shingles long, digest binary, bands array<long>, short binary"), "signed")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    nodes = signed.where("n_shingles > 0").join(classes, ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "short")
+    full = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest")
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    # An id with several texts is linked with the class of each.
+    several = full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    own = full.join(several, "doc_id", "left_semi").distinct().join(classes.withColumnRenamed("doc_id", "b"), "digest").select(F.col("doc_id").alias("a"), "b")
+    nodes = signed.where("n_shingles > 0").join(classes, ["digest", "doc_id"], "left_semi").withColumnRenamed("doc_id", "node").withColumnRenamed("n_shingles", "n")
     dealt = nodes.select("node", F.explode("bands").alias("key")).repartition("key").sortWithinPartitions("key", "node")
     held = materialise(dealt.mapInArrow(bucket_partition, "key long, node long, pivot long"), "buckets")
     met = held.select("node").distinct()
-    # Only of documents that share a bucket are signatures and texts wanted again.
-    marks = materialise(nodes.select("node", "n", "short").join(met, "node", "left_semi").dropDuplicates(["node"]), "signatures")
-    known = materialise(in_arrow(texts.where("doc_id is not null"), pack_batch, "doc_id long, data binary").join(met.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "bucket-texts")
+    # Only of documents that share a bucket are signatures and texts wanted again; an id may have several of each.
+    marks = materialise(nodes.select("node", "digest", "n", "short").join(met, "node", "left_semi").dropDuplicates(["node", "digest"]), "signatures")
+    packed = in_arrow(texts.where("doc_id is not null"), pack_batch, "doc_id long, data binary").withColumnRenamed("doc_id", "node").join(met, "node", "left_semi")
+    known = materialise(packed.groupBy("node", F.xxhash64("data").alias("h")).agg(F.first("data").alias("data")).drop("h"), "bucket-texts")
     sides = {s: marks.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("short").alias(f"short_{s}")) for s in "ab"}
-    data = {s: known.select(F.col("doc_id").alias(s), F.col("data").alias(f"data_{s}")) for s in "ab"}
+    data = {s: known.select(F.col("node").alias(s), F.col("data").alias(f"data_{s}")) for s in "ab"}
     least = percent / 100 - SLACK
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(sides["a"], "a").join(sides["b"], "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        likely = in_arrow(both.select("a", "b", "short_a", "short_b"), likely_batch(least), LINKS)
-        full = likely.join(data["a"], "a").join(data["b"], "b")
-        return materialise(in_arrow(full.select("a", "b", "data_a", "data_b"), confirm_batch(percent, words), LINKS), "links")
-
-    links = confirmed(held.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    groups = materialise(components(links), "groups")
-    grouped = held.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    spans = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("key", F.ceil(F.col("members") / tile).cast("int").alias("blocks"))
+    # Each member against the first of its bucket: at most one pair a member.
+    both = held.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct().join(sides["a"], "a").join(sides["b"], "b")
+    likely = in_arrow(both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "short_a", "short_b"), likely_batch(least), LINKS).distinct()
+    links = in_arrow(likely.join(data["a"], "a").join(data["b"], "b").select("a", "b", "data_a", "data_b"), confirm_batch(percent, words), LINKS)
+    groups = materialise(components(links.unionByName(own)), "groups")
+
+    # What still spans components is dealt in tiles, buckets with the same members once.
+    info = marks.groupBy("node").agg(F.sum("n").alias("n")).join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    grouped = held.select("key", "node").join(info, "node")
+    spans = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("lo <> hi")
+    blocks = F.ceil(F.greatest(F.max("members") / tile, F.max("n") / volume)).cast("int").alias("blocks")
+    spans = spans.groupBy("members", "x", "y").agg(F.min("key").alias("key"), blocks).select("key", "blocks")
     rest = grouped.join(spans, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = rest.select("node", "component", "block", (F.col("block") != F.col("other")).alias("crossed"), F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
-    tiles = tiles.join(marks.select("node", "n", "short"), "node").repartition("tile").sortWithinPartitions("tile", "node")
-    more = confirmed(materialise(tiles.mapInArrow(tile_partition(percent, least), LINKS).distinct(), "tile-pairs"))
+    tiles = rest.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "component", "block", (F.col("block") != F.col("other")).alias("crossed"))
+    signs = tiles.join(marks.select("node", "n", "short"), "node").repartition("tile").sortWithinPartitions("tile", "node")
+    near = materialise(signs.mapInArrow(near_partition(percent, least), TILES), "near")
+    more = near.join(known, "node").repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(verify_partition(percent, words, volume), LINKS)
     groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_class = classes.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("of_class"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("of_class", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    # An id may be linked through another of its texts than this row's: the smallest of all its rows is of both.
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("of_class", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
