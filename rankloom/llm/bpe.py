@@ -2,15 +2,16 @@
 
 A word's tokens are found from left to right: the longest token at the position is taken if the pair table allows it
 after the token before, else a shorter one, and if none is left the last token is given up. Places that turned out to be
-dead ends are not entered twice, so the time is linear in the word. The pair table holds whether two tokens stand side
-by side in the merges' own result; its entries are made when first asked for.
+dead ends are not entered twice, and a match reads no further than the longest token, so the time is linear in the word.
+The pair table holds whether two tokens stand side by side in the merges' own result; its entries are made when first
+asked for. Chunks beyond ASCII get their normal form and their words from the tokenizer file's own normaliser and word
+pattern, as run by the library, so that both follow the library's Unicode tables.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -19,11 +20,12 @@ from pyspark.sql import DataFrame
 
 from .common import docs_of, in_arrow, slices
 
-#: The words' pattern of the tokenizer file and the signs that str.split() takes for spaces but \s doesn't.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The words' pattern of the tokenizer file, for ASCII, and the signs that str.split() takes for spaces but
+#: \s doesn't.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+"
 NOT_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Distinct words and chunks that a task remembers before it starts anew.
-MEMORY = 700_000
+#: Distinct words and chunks that a task remembers before it starts anew, and the length of the longest of them.
+MEMORY, LONG = 500_000, 128
 
 
 def byte_signs() -> dict[str, int]:
@@ -40,9 +42,11 @@ class Words(dict):
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        out = self[chunk] = self.encode(chunk)
+        out = self.encode(chunk)
+        if len(chunk) <= LONG:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[chunk] = out
         return out
 
 
@@ -52,11 +56,15 @@ class Encoder:
     def __init__(self, path: str):
         import ahocorasick
         import regex
+        from tokenizers import Tokenizer
 
+        library = Tokenizer.from_file(path)
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         spec = json.loads(open(path, encoding="utf-8").read())
         model, self.end = spec["model"], spec["model"]["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
         signs = byte_signs()
+        self.sign_bytes = {ord(sign): b for sign, b in signs.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words_pattern = regex.compile(WORDS)
@@ -95,6 +103,7 @@ class Encoder:
         for form, r in self.ranks.items():
             self.shorter[r] = self.longest(form, len(form) - 1)
         self.automaton.make_automaton()
+        self.reach = max(self.lengths)
         self.known = Words(self.encode_word)
         self.chunks = Words(self.encode_chunk)
         size = max(max(vocab.values()), *self.special.values()) + 1 if self.special else max(vocab.values()) + 1
@@ -150,8 +159,8 @@ class Encoder:
             return [r]
         n, lengths, shorter, prefix, pairs = len(form), self.lengths, self.shorter, self.automaton.longest_prefix, self.pairs
         out: list[int] = []
-        last, pos, dead = -1, 0, None
-        rest = form
+        last, pos, dead, reach = -1, 0, None, self.reach
+        rest = form[:reach]
         r = self.longest(rest, prefix(rest))
         while True:
             # r: the longest token not yet tried at pos
@@ -169,7 +178,7 @@ class Encoder:
                 pos += lengths[r]
                 if pos == n:
                     return out
-                rest = form[pos:]
+                rest = form[pos : pos + reach]
                 r = self.longest(rest, prefix(rest))
             else:
                 if dead is None:
@@ -181,23 +190,28 @@ class Encoder:
                 r = shorter[r]
 
     def encode_word(self, word: str) -> bytes:
-        raw = word.encode()
-        form = raw[:-1].decode("latin-1") + chr((1024 if self.end else 0) + raw[-1])
+        """The ids of a word, given as the signs of its bytes."""
+        form = word[:-1] + chr((1024 if self.end else 0) + ord(word[-1]))
         return b"".join(map(self.id_bytes.__getitem__, self.tokens(form)))
 
     def encode_chunk(self, chunk: str) -> bytes:
+        if not chunk.isascii():
+            return self.encode_foreign(chunk)
+        chunk = chunk.lower()
         if chunk.isalpha():
             return self.known[chunk]
         if chunk[:-1].isalpha() and chunk[-1] in ".,:;?!":
             return self.known[chunk[:-1]] + self.known[chunk[-1]]
         return b"".join(map(self.known.__getitem__, self.words_pattern.findall(chunk)))
 
+    def encode_foreign(self, text: str) -> bytes:
+        """The ids of any text, with the library's normal form and words."""
+        return b"".join(self.known[word.translate(self.sign_bytes)] for word, _ in self.split(self.normal(text)))
+
     def encode_plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+        # No normal form, word or match reaches across white space.
         if any(c in text for c in NOT_SPACES):
-            return self.encode_chunk(text)
+            return self.encode_foreign(text)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
     def encode(self, text: str) -> bytes:
