@@ -8,10 +8,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rankloom.session import materialise, scratch, shared_dir, ship, shuffle_partitions
 
-__all__ = ["docs_of", "in_arrow", "labelled_sample", "materialise", "scratch", "shared_dir", "ship", "shuffle_partitions", "slices", "table", "unit_hash"]
+__all__ = ["beside", "docs_of", "with_new", "in_arrow", "labelled_sample", "materialise", "scratch", "shared_dir", "ship", "shuffle_partitions", "slices", "table", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,19 @@ def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def beside(columns: list[str], made: tuple[str, ...]) -> list[str]:
+    """The columns that stay beside an operator's new ones: all but text and those of the new names."""
+    return [c for c in columns if c.lower() not in ("text", *made)]
+
+
+def with_new(df: DataFrame, made: str) -> tuple[DataFrame, StructType]:
+    """df without the columns that give way to the new ones, and the schema of the rest with the new in place of text."""
+    new = StructType.fromDDL(made)
+    kept = df.select(*[F.col(f"`{c}`") for c in [*beside(df.columns, tuple(new.names)), "text"]])
+    return kept, StructType([*[f for f in kept.schema.fields if f.name != "text"], *new.fields])
+
+
+def in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch."""
     ship(df.sparkSession)
 

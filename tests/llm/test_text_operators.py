@@ -293,27 +293,35 @@ def test_toxicity_keeps_rare_and_neutral_features(spark):
     assert found == {1: [4], 2: [7], 3: []}
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("long", [0.0, 0.1, 1.0])
+def test_block_max_search_is_exact(long):
     r = random.Random(3)
     names = [f"f{i}" for i in range(80)]
-    examples = [{f: r.randint(1, 4) for f in r.sample(names, r.randint(1, 20))} for _ in range(500)]
-    idf = np.array([r.uniform(0.1, 5) for _ in names])
-    index = toxicity.Index(names, idf, examples, block=16)
+    made = lambda most: (np.array(sorted(r.sample(range(80), r.randint(1, most))), np.int64),)
+    examples = [(at, np.array([r.randint(1, 4) for _ in at], float)) for (at,) in (made(20) for _ in range(500))]
+    examples[7] = examples[300] = examples[450]  # ties go to the smaller number
+    index = toxicity.Index(names, np.array([r.uniform(0.1, 5) for _ in names]), examples, block=16, long=long)
     dense = np.zeros((500, 80))
     for i, e in enumerate(examples):
         at, w = index.vector(e)
         dense[i, at] = w
-    for _ in range(50):
-        at, w = index.vector({f: r.randint(1, 3) for f in r.sample(names, 6)})
+    texts = [examples[300], (np.zeros(0, np.int64), np.zeros(0))] + [(at, np.ones(len(at))) for (at,) in (made(6) for _ in range(50))]
+    at, cosine, blocks = index.nearest(texts, 7)
+    for t, found, value in zip(texts, at, cosine):
         q = np.zeros(80)
-        q[at] = w
+        q[t[0]] = index.vector(t)[1]
         want = np.sort(dense @ q)[::-1][:7]
-        feats = {names[a]: 1 for a in at}
-        at, w = index.vector(feats)
-        q[:] = 0
-        q[at] = w
-        want = np.sort(dense @ q)[::-1][:7]
-        assert np.allclose(index.nearest(feats, 7)[1], want[want > 0])
+        assert np.allclose(value, want) and np.allclose(dense[found] @ q, want)
+    assert at[0][:3].tolist() == [7, 300, 450] and blocks <= len(texts) * index.blocks
+    assert 300 not in index.nearest(texts[:1], 7, np.array([300]))[0][0]
+
+
+def test_toxicity_gives_way_to_nothing_but_its_own_columns(spark):
+    train = spark.createDataFrame([(i, "vile word" if i % 2 else "mild word", i % 2) for i in range(20)], "doc_id long, text string, label int")
+    model = toxicity.fit(train, train.select("doc_id", "label"))
+    odd = spark.createDataFrame([(1, "vile " * 400_000, "x", "y", ("z",))], "doc_id long, text string, Score string, evidence string, `a b` struct<`c d`: string>")
+    row = toxicity.score(odd, model).first()
+    assert row.score > 0.5 and row["a b"][0] == "z" and row.doc_id == 1
 
 
 def test_quality(spark, docs, none):
