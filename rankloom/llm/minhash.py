@@ -26,7 +26,6 @@ from .components import LINKS, components
 BANDS, ROWS = 50, 5
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C55 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 #: The bytes that separate words.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -45,15 +44,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of BASE and of its inverse modulo 2^64, as far as asked for."""
+    """Powers of an odd number and of its inverse modulo 2^64, as far as asked for."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int = BASE) -> None:
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, U64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = 1 << (n - 1).bit_length()
-            for name, b in (("up", BASE), ("down", INVERSE)):
+            for name, b in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, b, U64)
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=U64))

@@ -3,7 +3,7 @@
 Strings of `length` bytes that are equal must meet in one place before a transform can show that they are. So each
 start of such a string is tied to an anchor, the smallest hash of the 24-grams inside it (the rightmost of equal ones):
 equal strings have equal anchors. An anchor's context are the bytes that its strings cover. Anchors meet by their hash,
-with a digest of the context. Where one hash has equal contexts only, the first in the corpus stays and the others are
+with a digest of 128 bits of the context. Where one hash has equal contexts only, the first in the corpus stays and the others are
 marked whole. Where it has several, one document's bytes for each go to the task of the hash; there the suffixes of many
 contexts are sorted as far as needed, and a breadth-first backward extension on their transform finds the common
 prefixes of neighbours by increasing value and stops at `length`: neighbours without a value share a string. Of each
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_arrow, materialise, ship, slices
-from .minhash import POWERS, U64, mix
+from .minhash import POWERS, U64, Powers, mix
 
 GRAM = 24
 #: Bytes of a document that are anchored at a time, and of contexts that are sorted at a time.
@@ -35,10 +35,12 @@ SEGMENT, BLOCK = 1 << 22, 1 << 18
 #: Bytes of distinct contexts of one hash that a task holds.
 MOST = 1 << 23
 NO_ID = -(1 << 63)
+#: Powers of a second digest.
+OTHERS = Powers(0xD1B54A32D192ED03)
 
 
 def anchors(data: bytes, length: int) -> np.ndarray:
-    """Rows of (hash, context's digest, first start, number of starts), one for each anchor of a text."""
+    """Rows of (hash, context's two digests, first start, number of starts), one for each anchor of a text."""
     out: list[np.ndarray] = []
     window = length - GRAM + 1
     for base in range(0, len(data) - length + 1, SEGMENT):
@@ -58,12 +60,18 @@ def anchors(data: bytes, length: int) -> np.ndarray:
         at = (U64(0xFFFFFF) - (least & U64(0xFFFFFF))).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         count = np.diff(np.concatenate((first, [len(at)])))
-        whole = mix((sums[first + count + length - 1] - sums[first]) * down[first] + count.astype(U64) * U64(0xD6E8FEB86659FD93))
-        out.append(np.stack([(h[at[first]] >> U64(16)).astype(np.int64), (whole >> U64(16)).astype(np.int64), first + base, count], 1))
-    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-
-
-ANCHORS = "key long, h long, c long, doc_id long, first long, n int"
+        key = (h[at[first]] >> U64(16)).astype(np.int64)
+        digests = []
+        for powers in (POWERS, OTHERS):
+            if digests:
+                up, down = powers.to(len(signs) + 1)
+                np.cumsum((signs.astype(U64) + U64(1)) * up[:-1], out=sums[1:])
+            digests.append(mix((sums[first + count + length - 1] - sums[first]) * down[first] + count.astype(U64) * U64(0xD6E8FEB86659FD93)).view(np.int64))
+        out.append(np.stack([key, *digests, first + base, count], 1))
+    return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+
+
+ANCHORS = "key long, h long, c long, d long, doc_id long, first long, n int"
 MARKS = "h long, doc_id long, first long, n int"
 CONTEXTS = f"{MARKS}, context binary"
 
@@ -85,21 +93,21 @@ def anchor_batch(length: int):
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                 rows = anchors(text.encode(), length)
                 found.append(np.column_stack([rows, np.full(len(rows), doc_id, np.int64)]))
-        h, c, first, n, doc_id = np.concatenate(found).T
-        order = np.lexsort((first, doc_id, c, h))
-        h, c, first, n, doc_id = (x[order] for x in (h, c, first, n, doc_id))
-        again = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (doc_id[1:] == doc_id[:-1]) & (first[1:] == first[:-1])))
-        h, c, first, n, doc_id = (x[~again] for x in (h, c, first, n, doc_id))  # repeated rows stand at one place
-        same = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))
+        h, c, d, first, n, doc_id = np.concatenate(found).T
+        order = np.lexsort((first, doc_id, d, c, h))
+        h, c, d, first, n, doc_id = (x[order] for x in (h, c, d, first, n, doc_id))
+        same = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (d[1:] == d[:-1])))
+        again = same & np.concatenate(([False], (doc_id[1:] == doc_id[:-1]) & (first[1:] == first[:-1])))
+        h, c, d, first, n, doc_id, same = (x[~again] for x in (h, c, d, first, n, doc_id, same))  # repeated rows stand at one place
         key = np.where(same, (mix(doc_id.astype(U64) * U64(31) + first.astype(U64)) >> U64(16)).astype(np.int64), h)
-        out = pa.RecordBatch.from_arrays([pa.array(key), pa.array(h, mask=same), pa.array(c, mask=same), pa.array(doc_id), pa.array(first), pa.array(n.astype(np.int32))], ["key", "h", "c", "doc_id", "first", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(x, mask=same) for x in (h, c, d)], pa.array(doc_id), pa.array(first), pa.array(n.astype(np.int32))], ["key", "h", "c", "d", "doc_id", "first", "n"])
         return out
 
     return run
 
 
 def settle_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors in the order of (h, c, doc_id, first): marks (h null), and the first of each context where a hash
+    """From anchors in the order of (h, c, d, doc_id, first): marks (h null), and the first of each context where a hash
     has several (with h). Works on neighbours only, so memory doesn't grow with a hash's rows."""
     last: dict[str, np.ndarray] | None = None  # the last first-of-context row, not yet given out
     given = False  # whether the present hash is known to have several contexts
@@ -111,14 +119,14 @@ def settle_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         rest = batch.filter(pc.is_valid(batch.column("h")))
         if not rest.num_rows:
             continue
-        now = {x: rest.column(x).to_numpy() for x in ("h", "c", *columns)}
+        now = {x: rest.column(x).to_numpy() for x in ("h", "c", "d", *columns)}
         if last is not None:
             now = {x: np.concatenate((last[x], now[x])) for x in now}
-        again = np.concatenate(([False], np.all([now[x][1:] == now[x][:-1] for x in ("h", "c", "doc_id", "first")], axis=0)))
+        again = np.concatenate(([False], np.all([now[x][1:] == now[x][:-1] for x in ("h", "c", "d", "doc_id", "first")], axis=0)))
         now = {x: v[~again] for x, v in now.items()}
-        h, c = now["h"], now["c"]
+        h, c, d = now["h"], now["c"], now["d"]
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
-        new_c = new_h | np.concatenate(([True], c[1:] != c[:-1]))
+        new_c = new_h | np.concatenate(([True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])))
         group = np.cumsum(new_h) - 1
         several = np.bincount(group, new_c)[group] > 1
         if given:
@@ -342,7 +350,7 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: bool = False) ->
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows if not carry else docs.select(*[F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias(c) if c == "doc_id" else F.coalesce(c, F.lit("")).alias(c) for c in ("doc_id", "text")], F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
     found = in_arrow(rows.where(F.octet_length("text") >= length), anchor_batch(length), ANCHORS)
-    dealt = found.repartition("key").drop("key").sortWithinPartitions("h", "c", "doc_id", "first")
+    dealt = found.repartition("key").drop("key").sortWithinPartitions("h", "c", "d", "doc_id", "first")
     settled = materialise(dealt.mapInArrow(settle_partition, MARKS), "anchors")
     starts = settled.where("h is not null").groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "n")).alias("starts"))
     contexts = in_arrow(in_arrow(rows, pack_batch, "doc_id long, data binary").join(starts, "doc_id"), context_batch(length), CONTEXTS)
