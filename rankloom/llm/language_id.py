@@ -2,8 +2,10 @@
 
 Each language has a probability for each piece of a fixed public vocabulary. A word's probability is the sum over all
 ways to cut it into pieces of the products of their probabilities, got by the forward algorithm; a text's is the product
-over its words. The probabilities are learned by expectation maximisation over the words of a bounded, hash-chosen
-sample of labelled documents; scoring reads every whole text once, without a shuffle.
+over its words. Words are runs of letters of any length; long ones are read in parts, with the algorithm's state carried
+from one to the next. The probabilities are learned by expectation maximisation over the words of a bounded, hash-chosen
+sample of labelled documents, runs of more than TAUGHT signs in parts of that length; scoring reads every whole text
+once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,37 +18,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, ship, slices, unit_hash
+from .common import beside, in_arrow, ship, slices, unit_hash, with_new
 
 U64 = np.uint64
-#: Longest piece in signs, with the word start as a sign; words are scored in parts of at most LONGEST signs.
-PIECE, LONGEST = 6, 64
+#: Longest words, in signs, that expectation maximisation takes whole and whose chance a double holds for certain; signs
+#: of a longer word that are looked up at a time.
+TAUGHT, PART = 32, 4096
 #: Chance of a sign that no piece covers.
 UNKNOWN = 1e-7
-#: Words whose values a task remembers before it starts anew.
-MEMORY = 300_000
+#: Values that a task remembers of words before it starts anew, and that a block of words fills at a time.
+MEMORY, BLOCK = 2_000_000, 1_000_000
 START = "▁"
 
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> list[str]:
-    """The lower-case pieces of letters of a sentencepiece file, at most PIECE signs long."""
+    """All pieces of letters of a sentencepiece file, in lower case."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.vocab_size())}
-    return sorted(p for p in pieces if len(p) <= PIECE and (p == START or p.removeprefix(START).isalpha()))
+    return sorted(p for p in pieces if p == START or p.removeprefix(START).isalpha())
 
 
 class Lattice:
     """Piece numbers of all substrings of words, found by the substrings' hashes."""
 
     def __init__(self, pieces: list[str]):
+        self.longest = max(map(len, pieces), default=1)
         self.by_length = []
-        for n in range(1, PIECE + 1):
-            own = [(self.hashed(np.array([[ord(c) for c in p]], U64))[0], i) for i, p in enumerate(pieces) if len(p) == n]
-            own.sort()
-            self.by_length.append((np.array([h for h, _ in own], U64), np.array([i for _, i in own], np.int64)))
+        for n in range(1, self.longest + 1):
+            ids = np.array([i for i, p in enumerate(pieces) if len(p) == n], np.int64)
+            signs = np.frombuffer("".join(pieces[i] for i in ids).encode("utf-32-le"), "<u4").reshape(len(ids), n).astype(U64)
+            keys = self.hashed(signs)
+            order = np.argsort(keys)
+            self.by_length.append((keys[order], ids[order]))
 
     @staticmethod
     def hashed(signs: np.ndarray) -> np.ndarray:
@@ -58,12 +64,13 @@ class Lattice:
         return out
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        """For words of one length: (words, PIECE, length) numbers of the pieces that end at a sign, or -1."""
+        """For words of one length: (words, piece length, length) numbers of the pieces that end at a sign, or -1."""
         size = len(words[0])
+        most = min(self.longest, size)
         signs = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), size).astype(U64)
-        out = np.full((len(words), PIECE, size), -1, np.int64)
+        out = np.full((len(words), most, size), -1, np.int32)
         running = np.zeros((len(words), size), U64)
-        for n in range(1, min(PIECE, size) + 1):
+        for n in range(1, most + 1):
             # running[:, i]: the hash of the n signs that begin at i
             head = running[:, : size - n + 1]
             running = (head + signs[:, n - 1 :] + U64(1)) * U64(0x9E3779B97F4A7C55)
@@ -75,60 +82,86 @@ class Lattice:
         return out
 
 
-def parts_of(chunk: str) -> list[str]:
-    """The words of a chunk without white space: runs of letters, with a start sign, in parts of bounded length."""
-    runs = [chunk] if chunk.isalpha() else "".join(c if c.isalpha() else " " for c in chunk).split()
-    return [(START + r)[i : i + LONGEST] for r in runs for i in range(0, len(r) + 1, LONGEST)]
+@lru_cache(maxsize=2)
+def lattice_of(path: str) -> Lattice:
+    return Lattice(vocabulary(path))
+
+
+def words_of(chunk: str) -> list[str]:
+    """The words of a chunk without white space: runs of letters, with a start sign."""
+    return [START + r for r in ([chunk] if chunk.isalpha() else "".join(c if c.isalpha() else " " for c in chunk).split())]
 
 
-def by_size(words: list[str], most: int = 20_000):
-    """Positions of words, grouped by length, in blocks."""
+def by_size(words: list[str], most: int):
+    """Positions of words, grouped by length, in blocks of about `most` signs."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
     for size, where in groups.items():
-        for k in range(0, len(where), most):
-            yield size, where[k : k + most]
+        step = max(1, most // size)
+        for k in range(0, len(where), step):
+            yield size, where[k : k + step]
 
 
 def forward(numbers: np.ndarray, probs: np.ndarray) -> np.ndarray:
     """(words, length + 1, languages): the chance of each beginning, summed over its segmentations. probs: a row for
     each piece and a last one of zeros."""
-    n, _, size = numbers.shape
+    n, most, size = numbers.shape
     out = np.zeros((n, size + 1, probs.shape[1]))
     out[:, 0] = 1.0
     for t in range(1, size + 1):
         now = out[:, t - 1] * UNKNOWN
-        for k in range(1, min(PIECE, t) + 1):
+        for k in range(1, min(most, t) + 1):
             now += out[:, t - k] * probs[numbers[:, k - 1, t - 1]]
         out[:, t] = now
     return out
 
 
 def backward(numbers: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    n, _, size = numbers.shape
+    n, most, size = numbers.shape
     out = np.zeros((n, size + 1, probs.shape[1]))
     out[:, size] = 1.0
     for t in range(size - 1, -1, -1):
         now = out[:, t + 1] * UNKNOWN
-        for k in range(1, min(PIECE, size - t) + 1):
+        for k in range(1, min(most, size - t) + 1):
             now += out[:, t + k] * probs[numbers[:, k - 1, t + k - 1]]
         out[:, t] = now
     return out
 
 
-def learned(words: list[str], counts: np.ndarray, pieces: list[str], rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
-    """Piece probabilities by expectation maximisation over counted words."""
-    lattice, size = Lattice(pieces), len(pieces)
+def long_logs(word: str, lattice: Lattice, probs: np.ndarray, part: int = PART) -> np.ndarray:
+    """The log chance of a word of any length for each language, by the same sum in bounded memory.
+
+    Of the forward values the last ones that a piece can reach are held, as multiples of a common scale.
+    """
+    held, logs = np.zeros((lattice.longest, probs.shape[1])), np.zeros(probs.shape[1])
+    held[0] = 1.0  # the values before the next sign, the nearest first
+    for begin in range(0, len(word), part):
+        lead = min(begin, lattice.longest - 1)
+        numbers = lattice.numbers([word[begin - lead : begin + part]])[0][:, lead:]
+        for t in range(numbers.shape[1]):
+            now = held[0] * UNKNOWN + (held[: len(numbers)] * probs[numbers[:, t]]).sum(axis=0)
+            held = np.vstack([now, held[:-1]])
+            if t % 8 == 7:
+                scale = held.max(axis=0)
+                held /= scale
+                logs += np.log(scale)
+    return logs + np.log(held[0])
+
+
+def learned(words: list[str], counts: np.ndarray, path: str, rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
+    """Probabilities of the vocabulary's pieces by expectation maximisation over counted words."""
+    pieces, lattice = vocabulary(path), lattice_of(path)
+    size = len(pieces)
     weight = np.array([2.0 ** (len(p) - 1) for p in pieces])
     probs = np.append(weight / weight.sum(), 0.0)[:, None]
-    blocks = [(lattice.numbers([words[i] for i in where]), counts[where]) for _, where in by_size(words)]
     for _ in range(rounds):
         seen = np.zeros(size + 1)
-        for numbers, n in blocks:
+        for _, where in by_size(words, BLOCK):
+            numbers, n = lattice.numbers([words[i] for i in where]), counts[where]
             a, b = forward(numbers, probs)[:, :, 0], backward(numbers, probs)[:, :, 0]
             whole = np.maximum(a[:, -1], 1e-290)
-            for k in range(1, min(PIECE, numbers.shape[2]) + 1):
+            for k in range(1, numbers.shape[1] + 1):
                 ids = numbers[:, k - 1, k - 1 :]
                 share = a[:, : ids.shape[1]] * probs[ids, 0] * b[:, k:] * (n / whole)[:, None]
                 seen += np.bincount(np.where(ids < 0, size, ids).ravel(), share.ravel(), size + 1)
@@ -140,8 +173,8 @@ def learned(words: list[str], counts: np.ndarray, pieces: list[str], rounds: int
 class Scorer:
     """Log chances of words for every language, remembered by chunk."""
 
-    def __init__(self, languages: list[str], pieces: list[str], probs: np.ndarray):
-        self.languages, self.lattice = languages, Lattice(pieces)
+    def __init__(self, languages: list[str], lattice: Lattice, probs: np.ndarray):
+        self.languages, self.lattice = languages, lattice
         self.probs = np.vstack([probs, np.zeros((1, probs.shape[1]))])
         self.forget()
 
@@ -153,13 +186,16 @@ class Scorer:
         """Values of chunks that aren't known yet; the last column counts their words."""
         owner, words = [], []
         for i, c in enumerate(chunks):
-            for w in parts_of(c):
+            for w in words_of(c):
                 owner.append(i)
                 words.append(w)
         values = np.zeros((len(chunks), self.values.shape[1]))
-        for _, where in by_size(words):
-            chance = forward(self.lattice.numbers([words[i] for i in where]), self.probs)[:, -1]
-            np.add.at(values, np.array(owner)[where], np.hstack([np.log(np.maximum(chance, 1e-300)), np.ones((len(where), 1))]))
+        for size, where in by_size(words, BLOCK // self.values.shape[1]):
+            if size <= TAUGHT:
+                logs = np.log(forward(self.lattice.numbers([words[i] for i in where]), self.probs)[:, -1])
+            else:
+                logs = np.array([long_logs(words[i], self.lattice, self.probs) for i in where])
+            np.add.at(values, np.array(owner)[where], np.hstack([logs, np.ones((len(where), 1))]))
         self.rows.update(zip(chunks, range(len(self.values), len(self.values) + len(chunks))))
         self.values = np.vstack([self.values, values.astype(np.float32)])
 
@@ -167,7 +203,7 @@ class Scorer:
         """(texts, languages + 1): log chances and numbers of words."""
         split = [t.lower().split() for t in texts]
         fresh = list(dict.fromkeys(c for s in split for c in s if c not in self.rows))
-        if len(self.rows) + len(fresh) > MEMORY and self.rows:
+        if (len(self.rows) + len(fresh)) * self.values.shape[1] > MEMORY and self.rows:
             self.forget()
             fresh = list(dict.fromkeys(c for s in split for c in s))
         if fresh:
@@ -179,11 +215,11 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def predict_batch(name: str, languages: list[str], path: str, probs: np.ndarray, words_for_certainty: float):
+def predict_batch(name: str, languages: list[str], path: str, shared, words_for_certainty: float):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if name not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[name] = Scorer(languages, vocabulary(path), probs)
+            _SCORERS[name] = Scorer(languages, lattice_of(path), shared.value)
         scorer, predicted, scores = _SCORERS[name], [], []
         for part in slices(batch, most_bytes=1 << 20):
             values = scorer.texts([t or "" for t in part.column("text").to_pylist()])
@@ -199,24 +235,22 @@ def predict_batch(name: str, languages: list[str], path: str, probs: np.ndarray,
                 best = int(line[:-1].argmax())
                 predicted.append(languages[best])
                 scores.append(float(chance[best] / chance.sum()))
-        names = [n for n in batch.schema.names if n != "text"]
+        names = beside(batch.schema.names, ("lang_pred", "score"))
         return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     return run
 
 
-def fit(labelled: DataFrame, vocabulary_path: str, sample: int = 600, most_languages: int = 200) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, vocabulary_path: str, sample: int = 600) -> tuple[list[str], np.ndarray]:
     """Languages and (pieces x languages) probabilities from labelled (doc_id, text, lang).
 
-    `sample`: documents wanted for each language, chosen by a hash of their ids, which bounds what is learned from;
-    `most_languages` bounds the model: beyond it, an error.
+    `sample`: documents wanted for each language, chosen by a hash of their ids and texts, which bounds what is learned
+    from. The model grows with the number of languages alone, by about 0.2 MB each.
     """
     spark = labelled.sparkSession
     ship(spark)
     rows = labelled.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     pieces = vocabulary(vocabulary_path)
     if not sizes:
         return [], np.zeros((len(pieces), 0))
@@ -227,15 +261,17 @@ def fit(labelled: DataFrame, vocabulary_path: str, sample: int = 600, most_langu
         found: dict[tuple[str, str], int] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             for chunk in text.lower().split():
-                for w in parts_of(chunk):
-                    found[lang, w] = found.get((lang, w), 0) + 1
+                for w in words_of(chunk):
+                    for k in range(0, len(w), TAUGHT):
+                        part = w[k : k + TAUGHT]
+                        found[lang, part] = found.get((lang, part), 0) + 1
         keys = list(found)
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"]) if keys else None
 
     counted = in_arrow(chosen, words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [key[0]], "probs": [learned(pdf["word"].tolist(), pdf["n"].to_numpy(float), vocabulary(vocabulary_path)).tolist()]})
+        return pd.DataFrame({"lang": [key[0]], "probs": [learned(pdf["word"].tolist(), pdf["n"].to_numpy(float), vocabulary_path).tolist()]})
 
     models = {r["lang"]: r["probs"] for r in counted.groupBy("lang").applyInPandas(one, "lang string, probs array<double>").collect()}
     names = sorted(models)
@@ -246,14 +282,16 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_pa
     """The other columns of docs with lang_pred and score in place of text, for every row.
 
     A null text and one without a letter give 'und' with score 0, as does a model without languages. Empty tables give
-    empty results; repeated rows are each scored. docs must not have columns lang_pred or score of its own.
+    empty results; repeated rows are each scored. Columns of docs that are named lang_pred or score give way to the new
+    ones.
     """
     import hashlib
 
     languages, probs = model
     name = hashlib.sha256(repr(languages).encode() + probs.tobytes()).hexdigest()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return in_arrow(docs, predict_batch(name, languages, vocabulary_path, probs, words_for_certainty), f"{schema}, lang_pred string, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(probs)
+    kept, schema = with_new(docs, "lang_pred string, score double")
+    return in_arrow(kept, predict_batch(name, languages, vocabulary_path, shared, words_for_certainty), schema)
 
 
 def bucket(doc_id: str | Column, n: int) -> Column:

@@ -208,6 +208,29 @@ def test_forward_sums_all_segmentations():
     for word in ("▁ab", "▁abba", "▁c", "▁aabab"):
         got = language_id.forward(lattice.numbers([word]), np.append(p, 0.0)[:, None])[0, -1, 0]
         assert got == pytest.approx(chance(word), rel=1e-9)
+        for part in (1, 2, 100):
+            assert language_id.long_logs(word, lattice, np.append(p, 0.0)[:, None], part)[0] == pytest.approx(np.log(chance(word)), rel=1e-9)
+
+
+def test_long_runs_are_summed_across_parts_and_long_pieces_are_used(spark):
+    path = P.path("piece_bpe_32k.model")
+    pieces = language_id.vocabulary(path)
+    assert max(map(len, pieces)) > 10
+    lattice = language_id.Lattice(pieces)
+    r = np.random.default_rng(1)
+    probs = np.vstack([r.dirichlet(np.ones(len(pieces)), 3).T, np.zeros((1, 3))])
+    word = language_id.START + "internationalisation" * 12
+    whole = np.log(language_id.forward(lattice.numbers([word[:30]]), probs)[0, -1])
+    assert np.allclose(language_id.long_logs(word[:30], lattice, probs), whole)
+    logs = [language_id.long_logs(word, lattice, probs, part) for part in (7, 64, 10**6)]
+    assert np.allclose(logs[0], logs[1]) and np.allclose(logs[0], logs[2]) and np.isfinite(logs[0]).all()
+    # A run of 15,000 letters, and columns named as the new ones.
+    rows = [(i, ("abc ", "xyz ", "日本語 ")[i % 3] * 20, f"l{i % 9}") for i in range(90)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path)
+    assert len(model[0]) == 9
+    odd = spark.createDataFrame([(1, "日本語" * 5_000, "x", 2)], "doc_id long, text string, Score string, lang_pred int")
+    row = language_id.identify(odd, model, path).first()
+    assert int(row.lang_pred[1:]) % 3 == 2 and 0 < row.score <= 1
 
 
 def test_token_counts_reuse_the_cache(spark, docs, none, tmp_path):
