@@ -26,3 +26,22 @@ def centroids(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """key, centroid: mean of the vectors by key, by position, with partial sums before the shuffle."""
     long = rows.select(key, F.posexplode(vector).alias("p", "x")).groupBy(key, "p").agg(F.avg("x").alias("m"))
     return long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("centroid"))
+
+
+def scaled(v: str | Column, by: Column) -> Column:
+    return F.transform(v, lambda x: x * by)
+
+
+def added(a: str | Column, b: str | Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def unit(v: str | Column) -> Column:
+    """The vector with length 1 (with lengths under 1e-12 taken as that)."""
+    return scaled(v, 1 / F.greatest(norm(v), F.lit(1e-12)))
+
+
+def vector_sum(v: str, weight: Column, size: int) -> Column:
+    """An aggregate: the weighted sum of vectors of a known size, a plain sum for each position, added up before the
+    shuffle."""
+    return F.array(*[F.sum(F.col(v)[k] * weight) for k in range(size)])

@@ -6,14 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def user_pairs(rows: DataFrame, *values: str, tile: int = 1024) -> DataFrame:
+    """i, j for i < j and <value>_i, <value>_j: every two items of every user, once.
+
+    A user with more than `tile` items is dealt in blocks: each row meets the user's rows of one block at a time, so the
+    square of a long history is spread over as many keys as it has blocks.
+    """
+    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("u")) / tile).cast("int")
+    dealt = rows.select("u", "i", *values).withColumn("blocks", blocks)
+    a = dealt.select("u", "i", *[F.col(v).alias(f"{v}_i") for v in values], F.pmod(F.xxhash64("i"), "blocks").cast("int").alias("block"))
+    b = dealt.select("u", F.col("i").alias("j"), *[F.col(v).alias(f"{v}_j") for v in values], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return a.join(b, ["u", "block"]).where("i < j")
+
+
 def co_occurrence(rows: DataFrame, weight: str | None = None) -> DataFrame:
-    """i, j, s for i < j: for how many users both occur, or the sum of the products of their weights. The pairs of a
-    user follow the square of one history, which is bounded, not of an item's users."""
-    w = F.col(weight) if weight else F.lit(1)
-    a = rows.select("u", "i", w.alias("wa"))
-    b = rows.select("u", F.col("i").alias("j"), w.alias("wb"))
-    value = F.sum(F.col("wa") * F.col("wb")) if weight else F.count(F.lit(1))
-    return a.join(b, "u").where("i < j").groupBy("i", "j").agg(value.alias("s"))
+    """i, j, s for i < j: for how many users both occur, or the sum of the products of their weights. The pairs follow
+    the squares of histories, not those of items' popularity."""
+    if weight is None:
+        return user_pairs(rows).groupBy("i", "j").agg(F.count(F.lit(1)).alias("s"))
+    pairs = user_pairs(rows.select("u", "i", F.col(weight).alias("w")), "w")
+    return pairs.groupBy("i", "j").agg(F.sum(F.col("w_i") * F.col("w_j")).alias("s"))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -50,10 +62,27 @@ def bm25(rows: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     return all_.select("u", "i", (idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("mean")))).alias("w"))
 
 
-def history_similarities(cand: DataFrame, history: DataFrame, sims: DataFrame, *extra: str) -> DataFrame:
-    """id, sim, extra...: for each candidate a row for each item of its user's history, 0 where there is no similarity."""
+def history_pairs(cand: DataFrame, history: DataFrame, pairs: DataFrame, *extra: str) -> DataFrame:
+    """id, u, i, j, extra..., and the columns of pairs (i < j, ...): for each candidate a row for each item of its user's
+    history, nulls where the pair doesn't occur.
+
+    The table of pairs is met as it is, by the smaller and the larger item, and neither doubled nor normalised as a whole.
+    """
     seen = history.select("u", F.col("i").alias("j"), *extra)
-    return cand.select("id", "u", "i").join(seen, "u").join(sims, ["i", "j"], "left").select("id", F.coalesce("sim", F.lit(0.0)).alias("sim"), *extra)
+    rows = cand.select("id", "u", "i").join(seen, "u").withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
+    return rows.join(pairs.withColumnRenamed("i", "lo").withColumnRenamed("j", "hi"), ["lo", "hi"], "left").drop("lo", "hi")
+
+
+def history_similarities(cand: DataFrame, history: DataFrame, pairs: DataFrame, *extra: str, norm: DataFrame | None = None) -> DataFrame:
+    """id, sim, extra...: for each candidate a row for each item of its user's history, 0 where there is no similarity.
+
+    pairs: i < j, s. With norm (i, norm) the similarity is s / max(|i| |j|, 1e-12), else s itself.
+    """
+    if norm is None:
+        return history_pairs(cand, history, pairs, *extra).select("id", F.coalesce("s", F.lit(0.0)).alias("sim"), *extra)
+    held = history.join(norm.withColumnRenamed("norm", "norm_j"), "i", "left")
+    rows = history_pairs(cand, held, pairs, "norm_j", *extra).join(norm.withColumnRenamed("norm", "norm_i"), "i", "left")
+    return rows.select("id", F.coalesce(F.col("s") / F.greatest(F.col("norm_i") * F.col("norm_j"), F.lit(1e-12)), F.lit(0.0)).alias("sim"), *extra)
 
 
 def top_mean(value: str, k: int) -> Column:
@@ -62,9 +91,9 @@ def top_mean(value: str, k: int) -> Column:
     return F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)
 
 
-def item_knn(cand: DataFrame, history: DataFrame, sims: DataFrame) -> DataFrame:
-    """id, knn_sum, knn_max, knn_top3, knn_hours: item-based scores over the user's history."""
-    rows = history_similarities(cand, history, sims, "hours")
+def item_knn(cand: DataFrame, history: DataFrame) -> DataFrame:
+    """id, knn_sum, knn_max, knn_top3, knn_hours: item-based scores over the user's history, by cosine."""
+    rows = history_similarities(cand, history, co_occurrence(history), "hours", norm=norms(history, "i"))
     return rows.groupBy("id").agg(F.sum("sim").alias("knn_sum"), F.max("sim").alias("knn_max"), top_mean("sim", 3).alias("knn_top3"), (F.sum(F.col("sim") * F.col("hours")) / (F.sum("hours") + 1e-6)).alias("knn_hours"))
 
 
@@ -74,12 +103,25 @@ def user_cosine(rows: DataFrame) -> DataFrame:
     return cosine(turned)
 
 
-def user_knn(cand: DataFrame, history: DataFrame, sims: DataFrame) -> DataFrame:
-    """id, uknn_sum, uknn_max, uknn_norm: similarities of the user to the item's other holders."""
-    holders = history.select("i", F.col("u").alias("v"))
-    near = sims.select(F.col("i").alias("u"), F.col("j").alias("v"), "sim")
-    rows = cand.select("id", "u", "i").join(holders, "i").where("u <> v").join(near, ["u", "v"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    return rows.groupBy("id").agg(F.sum("sim").alias("uknn_sum"), F.max("sim").alias("uknn_max"), (F.sum("sim") / F.sqrt(F.count(F.lit(1)) + 1.0)).alias("uknn_norm"))
+def user_knn(cand: DataFrame, history: DataFrame) -> DataFrame:
+    """id, uknn_sum, uknn_max, uknn_norm: cosines of the user with the item's other holders.
+
+    The holders that share an item with the user are reached over pairs of items: of what each holder has, the pairs that
+    some candidate and its user's history ask for. No pairs of an item's users are made. Holders that share nothing have
+    cosine 0 and only count.
+    """
+    size = history.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    wanted = cand.select("id", "u", "i").join(history.select("u", F.col("i").alias("j")), "u").withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
+    held = user_pairs(history.withColumn("v", F.col("u")), "v").select(F.col("i").alias("lo"), F.col("j").alias("hi"), F.col("v_i").alias("v"))
+    met = held.join(wanted.select("lo", "hi").distinct(), ["lo", "hi"], "left_semi").join(wanted, ["lo", "hi"]).where("u <> v")
+    shared = met.groupBy("id", "u", "v").agg(F.count(F.lit(1)).alias("s"))
+    shared = shared.join(size, "u").join(size.select(F.col("u").alias("v"), F.col("n").alias("m")), "v")
+    near = shared.groupBy("id").agg(F.sum(F.col("s") / F.sqrt(F.col("n").cast("double") * F.col("m"))).alias("total"), F.max(F.col("s") / F.sqrt(F.col("n").cast("double") * F.col("m"))).alias("most"))
+    own = history.select("u", "i", F.lit(1).alias("own"))
+    holders = cand.select("id", "u", "i").join(history.groupBy("i").agg(F.count(F.lit(1)).alias("holders")), "i").join(own, ["u", "i"], "left")
+    holders = holders.select("id", (F.col("holders") - F.coalesce("own", F.lit(0))).alias("holders")).where("holders > 0")
+    rows = holders.join(near, "id", "left").select("id", "holders", F.coalesce("total", F.lit(0.0)).alias("uknn_sum"), F.coalesce("most", F.lit(0.0)).alias("uknn_max"))
+    return rows.select("id", "uknn_sum", "uknn_max", (F.col("uknn_sum") / F.sqrt(F.col("holders") + 1.0)).alias("uknn_norm"))
 
 
 def neighbours(sims: DataFrame, k: int) -> DataFrame:
@@ -111,14 +153,70 @@ def normalised(rows: DataFrame, weight: str | None = None) -> DataFrame:
 
 def linear_filter(cand: DataFrame, rows: DataFrame) -> DataFrame:
     """id, s: a candidate's row of R (N^T N), N the normalised matrix: sums over two hops without a pair table."""
-    n = normalised(rows)
-    gram = mirrored(co_occurrence(n, "w")).withColumnRenamed("s", "sim")
-    own = n.groupBy("i").agg(F.sum(F.col("w") * F.col("w")).alias("sim")).select("i", F.col("i").alias("j"), "sim")
-    return history_similarities(cand, rows, gram.unionByName(own)).groupBy("id").agg(F.sum("sim").alias("s"))
+    return history_similarities(cand, rows, gram(normalised(rows))).groupBy("id").agg(F.sum("sim").alias("s"))
 
 
-def temporal_overlap(cand: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """id, s: sum over months of p_user * ln(p_item / overall), for profiles (key, ym, p, g)."""
-    a = users.select("u", "ym", F.col("p").alias("pu"))
-    b = items.select("i", "ym", F.log(F.col("p") / F.col("g")).alias("gain"))
-    return cand.select("id", "u", "i").join(a, "u").join(b, ["i", "ym"]).groupBy("id").agg(F.sum(F.col("pu") * F.col("gain")).alias("s"))
+def gram(rows: DataFrame) -> DataFrame:
+    """i, j, s for i <= j: sums of products of the weights of (u, i, w), the diagonal included."""
+    own = rows.groupBy("i").agg(F.sum(F.col("w") * F.col("w")).alias("s")).select("i", F.col("i").alias("j"), "s")
+    return co_occurrence(rows, "w").unionByName(own)
+
+
+def polynomial_filter(cand: DataFrame, rows: DataFrame, powers: tuple[float, ...]) -> DataFrame:
+    """id, s_<n>...: a candidate's row of N P, N the normalised matrix and P its gram matrix with signed powers, for each
+    power."""
+    n = normalised(rows)
+    pairs = history_pairs(cand, n, gram(n), "w")
+    raised = lambda p: F.signum("s") * F.pow(F.abs("s"), F.lit(p))
+    return pairs.groupBy("id").agg(*[F.sum(F.col("w") * F.coalesce(raised(p), F.lit(0.0))).alias(f"s_{k + 1}") for k, p in enumerate(powers)])
+
+
+def covisitation(cand: DataFrame, history: DataFrame, window: int = 20) -> DataFrame:
+    """id and nine scores of a candidate against its user's history, in the order of (d, i).
+
+    Of two items: co, the users of both by sqrt(pop * pop); hours, the sum of both users' ln(1 + hours_t) by the users of
+    both + 1; forward and reverse, the ordered pairs within the window, by sqrt(pop * pop). Scores: sum, largest and mean
+    of the five largest of co; sum and largest of hours; forward and reverse over the last `window` items, with 0.85^age;
+    co and forward over the last five, with 0.75^age. Candidates without a history have no row.
+    """
+    rows = history.select("u", "i", "d", F.log1p("hours_t").alias("h")).withColumn("age", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("d"), F.desc("i"))) - 1)
+    pop = history.groupBy("i").agg(F.count(F.lit(1)).alias("pop"))
+    ordered = ordered_pairs(history, window)
+    both = user_pairs(rows, "h").groupBy("i", "j").agg(F.count(F.lit(1)).alias("co"), F.sum(F.col("h_i") + F.col("h_j")).alias("hours"))
+    # The two directions of ordered pairs stand beside each other: `up` from the smaller item to the larger.
+    lo, hi, up = F.least("i", "j"), F.greatest("i", "j"), F.col("i") < F.col("j")
+    sides = ordered.groupBy(lo.alias("i"), hi.alias("j")).agg(F.sum(F.when(up, F.col("w"))).alias("up"), F.sum(F.when(~up, F.col("w"))).alias("down"))
+    pairs = both.join(sides, ["i", "j"], "left")
+    held = rows.join(pop.withColumnRenamed("pop", "pop_j"), "i")
+    met = history_pairs(cand, held, pairs, "age", "pop_j").join(pop, "i", "left")
+    scale = F.sqrt(F.greatest(F.coalesce("pop", F.lit(0)) * F.col("pop_j"), F.lit(1)))
+    later = F.col("j") < F.col("i")  # the history's item is the smaller one: `up` leads to the candidate
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    met = met.select("id", "age", (zero("co") / scale).alias("c"), (zero("hours") / (zero("co") + 1)).alias("h"), (zero(F.when(later, F.col("up")).otherwise(F.col("down"))) / scale).alias("f"), (zero(F.when(later, F.col("down")).otherwise(F.col("up"))) / scale).alias("r"))
+    recent = lambda c, n, step: F.sum(F.when(F.col("age") < n, F.col(c) * F.pow(F.lit(step), "age")).otherwise(0.0))
+    return met.groupBy("id").agg(
+        F.sum("c").alias("co_sum"), F.max("c").alias("co_max"), top_mean("c", 5).alias("co_top5"), F.sum("h").alias("hours_sum"), F.max("h").alias("hours_max"),
+        recent("f", window, 0.85).alias("forward"), recent("r", window, 0.85).alias("reverse"), recent("c", 5, 0.75).alias("last5_co"), recent("f", 5, 0.75).alias("last5_forward"),
+    )
+
+
+def temporal_overlap(cand: DataFrame, history: DataFrame, strength: float = 20.0) -> DataFrame:
+    """id, s: sum over months of p_user * ln(p_item / overall), for shares of months that are drawn towards the overall
+    ones g: p = (count + strength * g) / (all + strength).
+
+    In a month without the item the logarithm is the same whatever the month, ln(strength / (all + strength)). So the sum
+    is that number, plus what the item's own months add to it; of these the part of g is one number for each item, and
+    only the months that the user has too are joined. No key is crossed with the months.
+    """
+    rows = history.withColumn("ym", F.date_format("d", "yyyy-MM"))
+    months = rows.groupBy("ym").agg(F.count(F.lit(1)).alias("m"))
+    overall = months.crossJoin(F.broadcast(months.agg(F.sum("m").alias("all")))).select("ym", (F.col("m") / F.col("all")).alias("g"))
+    items, users = rows.groupBy("i").agg(F.count(F.lit(1)).alias("ti")), rows.groupBy("u").agg(F.count(F.lit(1)).alias("tu"))
+    none = F.log(strength / (F.col("ti") + strength))
+    gains = rows.groupBy("i", "ym").agg(F.count(F.lit(1)).alias("c")).join(items, "i").join(F.broadcast(overall), "ym")
+    gains = gains.select("i", "ym", "g", (F.log((F.col("c") + strength * F.col("g")) / (F.col("ti") + strength) / F.col("g")) - none).alias("gain"))
+    of_item = gains.groupBy("i").agg(F.sum(F.col("g") * F.col("gain")).alias("a")).join(items, "i").select("i", "a", none.alias("none"))
+    own = rows.groupBy("u", "ym").agg(F.count(F.lit(1)).alias("c"))
+    both = cand.select("id", "u", "i").join(own, "u").join(gains.select("i", "ym", "gain"), ["i", "ym"]).groupBy("id").agg(F.sum(F.col("c") * F.col("gain")).alias("b"))
+    out = cand.select("id", "u", "i").join(of_item, "i").join(users, "u").join(both, "id", "left")
+    return out.select("id", (F.col("none") + (strength * F.col("a") + F.coalesce("b", F.lit(0.0))) / (F.col("tu") + strength)).alias("s"))

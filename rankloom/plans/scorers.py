@@ -39,13 +39,25 @@ def ordered_band_join(b: Base) -> DataFrame:
     return sim.ordered_pairs(b.split()[0]).withColumn("w", r6(F.col("w")))
 
 
-@query("m16_covisitation", ORD + " SELECT c.id, round(sum(coalesce(f.w, 0)), 6) AS forward, round(sum(coalesce(r.w, 0)), 6) AS reverse FROM cand c JOIN train t ON t.u = c.u LEFT JOIN op f ON f.i = t.i AND f.j = c.i LEFT JOIN op r ON r.i = c.i AND r.j = t.i GROUP BY c.id")
+ORD9 = ORD + """, hh AS (SELECT u, i, ln(1 + hours_t) AS h, row_number() OVER (PARTITION BY u ORDER BY d DESC, i DESC) - 1 AS age FROM train),
+  bt AS (SELECT a.i AS i, b.i AS j, count(*) AS co, sum(a.h + b.h) AS hours FROM hh a JOIN hh b ON a.u = b.u AND a.i <> b.i GROUP BY 1, 2),
+  mt AS (SELECT c.id, x.age, coalesce(bt.co, 0) / sq AS c, coalesce(bt.hours, 0) / (coalesce(bt.co, 0) + 1) AS h, coalesce(f.w, 0) / sq AS f, coalesce(r.w, 0) / sq AS r
+    FROM (SELECT c.*, t.i AS j, sqrt(greatest(coalesce(p.pop, 0) * q.pop, 1)) AS sq FROM cand c JOIN train t ON t.u = c.u LEFT JOIN ipop p ON p.i = c.i JOIN ipop q ON q.i = t.i) c
+    JOIN hh x ON x.u = c.u AND x.i = c.j LEFT JOIN bt ON bt.i = c.j AND bt.j = c.i LEFT JOIN op f ON f.i = c.j AND f.j = c.i LEFT JOIN op r ON r.i = c.i AND r.j = c.j),
+  nine AS (SELECT id, sum(c) AS co_sum, max(c) AS co_max, list_avg(max(c, 5)) AS co_top5, sum(h) AS hours_sum, max(h) AS hours_max, sum(CASE WHEN age < 20 THEN f * pow(0.85, age) ELSE 0 END) AS forward,
+    sum(CASE WHEN age < 20 THEN r * pow(0.85, age) ELSE 0 END) AS reverse, sum(CASE WHEN age < 5 THEN c * pow(0.75, age) ELSE 0 END) AS last5_co, sum(CASE WHEN age < 5 THEN f * pow(0.75, age) ELSE 0 END) AS last5_forward FROM mt GROUP BY id)"""
+NINE = ("co_sum", "co_max", "co_top5", "hours_sum", "hours_max", "forward", "reverse", "last5_co", "last5_forward")
+
+
+@query("m16_covisitation", ORD9 + f""", zs AS (SELECT id, u, {", ".join(f"{c}, CASE WHEN coalesce(stddev_samp({c}) OVER w, 0) > 1e-12 THEN ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w ELSE 0 END AS z_{c}" for c in NINE)}
+  FROM (SELECT id, u, {", ".join(f"coalesce({c}, 0.0) AS {c}" for c in NINE)} FROM cand LEFT JOIN nine USING (id)) WINDOW w AS (PARTITION BY u))
+  SELECT id, {", ".join(f"round({c}, 6) AS {c}" for c in NINE)}, round(({" + ".join(f"z_{c}" for c in NINE)}) / 9, 5) AS mean_z FROM zs""")
 def covisitation(b: Base) -> DataFrame:
+    """The nine scores of a candidate and the mean of their standard scores within the user."""
     train, cand = b.split()
-    pairs = sim.ordered_pairs(train)
-    rows = cand.select("id", "u", "i").join(train.select("u", F.col("i").alias("j")), "u")
-    rows = rows.join(pairs.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("w").alias("f")), ["i", "j"], "left").join(pairs.withColumnRenamed("w", "r"), ["i", "j"], "left")
-    return rows.groupBy("id").agg(r6(F.sum(F.coalesce("f", F.lit(0.0)))).alias("forward"), r6(F.sum(F.coalesce("r", F.lit(0.0)))).alias("reverse"))
+    rows = cand.select("id", "u").join(sim.covisitation(cand, train), "id", "left").na.fill(0.0, list(NINE))
+    mean = sum(ranking.z(c) for c in NINE) / len(NINE)
+    return rows.select("id", *[r6(F.col(c)).alias(c) for c in NINE], F.round(mean, 5).alias("mean_z"))
 
 
 @query("j10_unseen_pool_counts", "SELECT u, (SELECT count(*) FROM part) - count(*) AS unseen FROM inter GROUP BY u")
@@ -91,14 +103,14 @@ def item_cosine(b: Base) -> DataFrame:
 @query("m07_itemknn", COS + HIST + " SELECT id, round(sum(sim), 6) AS knn_sum, round(max(sim), 6) AS knn_max, round(list_avg(max(sim, 3)), 6) AS knn_top3, round(sum(sim * hours) / (sum(hours) + 1e-6), 6) AS knn_hours FROM hs GROUP BY id")
 def itemknn(b: Base) -> DataFrame:
     train, cand = b.split()
-    out = sim.item_knn(cand, train, sim.cosine(train))
+    out = sim.item_knn(cand, train)
     return out.select("id", *[r6(F.col(c)).alias(c) for c in out.columns if c != "id"])
 
 
 @query("k03_topk_mean", COS + HIST + " SELECT id, round(list_avg(max(sim, 5)), 6) AS top5, round(list_avg(max(sim, 10)), 6) AS top10 FROM hs GROUP BY id")
 def topk_mean(b: Base) -> DataFrame:
     train, cand = b.split()
-    rows = sim.history_similarities(cand, train, sim.cosine(train))
+    rows = sim.history_similarities(cand, train, sim.co_occurrence(train), norm=sim.norms(train, "i"))
     return rows.groupBy("id").agg(r6(sim.top_mean("sim", 5)).alias("top5"), r6(sim.top_mean("sim", 10)).alias("top10"))
 
 
@@ -108,8 +120,8 @@ def topk_mean(b: Base) -> DataFrame:
 def normalised_cooc(b: Base) -> DataFrame:
     train, cand = b.split()
     pop = train.groupBy("i").agg(F.count(F.lit(1)).alias("pop"))
-    rows = cand.select("id", "u", "i").join(train.select("u", F.col("i").alias("j")), "u").join(sim.mirrored(sim.co_occurrence(train)), ["i", "j"], "left")
-    rows = rows.join(pop.withColumnRenamed("pop", "pi"), "i", "left").join(pop.select(F.col("i").alias("j"), F.col("pop").alias("pj")), "j", "left")
+    held = train.join(pop.withColumnRenamed("pop", "pj"), "i")
+    rows = sim.history_pairs(cand, held, sim.co_occurrence(train), "pj").join(pop.withColumnRenamed("pop", "pi"), "i", "left")
     s = F.coalesce("s", F.lit(0))
     norm = s / F.sqrt((F.coalesce("pi", F.lit(0)) + 1) * (F.col("pj") + 1))
     return rows.groupBy("id").agg(r6(F.sum(F.log1p(s))).alias("raw"), r6(F.sum(norm)).alias("norm_sum"), r6(F.count("s") / F.count(F.lit(1))).alias("coverage"))
@@ -123,8 +135,9 @@ DECAY = """, dw AS (SELECT u, i, pow(0.5, date_diff('day', d, (SELECT max(d) FRO
 @query("m10_time_decay_knn", DECAY + HIST + " SELECT id, round(sum(sim), 6) AS s FROM hs GROUP BY id")
 def time_decay_knn(b: Base) -> DataFrame:
     train, cand = b.split()
-    sims = sim.cosine(T.with_recency(train, "d", 365.0), "recency")
-    return sim.history_similarities(cand, train, sims).groupBy("id").agg(r6(F.sum("sim")).alias("s"))
+    rows = T.with_recency(train, "d", 365.0)
+    pairs = sim.history_similarities(cand, train, sim.co_occurrence(rows, "recency"), norm=sim.norms(rows, "i", "recency"))
+    return pairs.groupBy("id").agg(r6(F.sum("sim")).alias("s"))
 
 
 UCOS = """, uc AS (SELECT a.u AS u, b.u AS v, count(*) AS s FROM train a JOIN train b ON a.i = b.i AND a.u < b.u GROUP BY 1, 2), un AS (SELECT u, sqrt(count(*)) AS norm FROM train GROUP BY u),
@@ -139,7 +152,7 @@ def user_cosine(b: Base) -> DataFrame:
 @query("m11_userknn", UCOS + " SELECT c.id, round(sum(coalesce(us.sim, 0.0)), 6) AS uknn_sum, round(max(coalesce(us.sim, 0.0)), 6) AS uknn_max, round(sum(coalesce(us.sim, 0.0)) / sqrt(count(*) + 1), 6) AS uknn_norm FROM cand c JOIN train t ON t.i = c.i AND t.u <> c.u LEFT JOIN us ON us.u = c.u AND us.v = t.u GROUP BY c.id")
 def userknn(b: Base) -> DataFrame:
     train, cand = b.split()
-    out = sim.user_knn(cand, train, sim.user_cosine(train))
+    out = sim.user_knn(cand, train)
     return out.select("id", *[r6(F.col(c)).alias(c) for c in out.columns if c != "id"])
 
 
@@ -158,20 +171,42 @@ def graph_filter_linear(b: Base) -> DataFrame:
     return sim.linear_filter(cand, train).withColumn("s", r6(F.col("s")))
 
 
-@query("m14_turbo_filter", NORM + " SELECT c.id, round(sum(coalesce(sqrt(g.sim), 0)), 6) AS s FROM cand c JOIN train t ON t.u = c.u LEFT JOIN gm g ON g.i = c.i AND g.j = t.i AND g.i <> g.j GROUP BY c.id")
+@query("m14_turbo_filter", NORM + """ SELECT c.id, round(sum(n.w * coalesce(g.sim, 0)), 6) AS linear_1, round(sum(n.w * coalesce(sign(g.sim) * pow(abs(g.sim), 2), 0)), 9) AS linear_2, round(sum(n.w * coalesce(sqrt(g.sim), 0)), 6) AS linear_half
+  FROM cand c JOIN nm n ON n.u = c.u LEFT JOIN gm g ON g.i = c.i AND g.j = n.i GROUP BY c.id""")
 def turbo_filter(b: Base) -> DataFrame:
     train, cand = b.split()
-    gram = sim.mirrored(sim.co_occurrence(sim.normalised(train), "w")).select("i", "j", F.sqrt("s").alias("sim"))
-    return sim.history_similarities(cand, train, gram).groupBy("id").agg(r6(F.sum("sim")).alias("s"))
+    out = sim.polynomial_filter(cand, train, (1.0, 2.0, 0.5))
+    return out.select("id", r6(F.col("s_1")).alias("linear_1"), F.round("s_2", 9).alias("linear_2"), r6(F.col("s_3")).alias("linear_half"))
 
 
-@query("m15_tag_aggregation", ", x AS (SELECT i, ln(1 + pop) AS x FROM ipop), agg AS (SELECT u, avg(x) AS a FROM train JOIN x USING (i) GROUP BY u) SELECT c.id, round(0.9 * ln(1 + c.deg) + 0.1 * a, 6) AS e FROM base c JOIN agg USING (u)")
+#: Vectors of users and items: rows of the table embeddings, chosen by the key.
+VECTORS = """, em AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings), nv AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+  ue AS (SELECT u, p, x FROM udeg CROSS JOIN nv JOIN em ON vec_id = (u * 7 + 3) % n), ie AS (SELECT i, p, x FROM ipop CROSS JOIN nv JOIN em ON vec_id = i % n)"""
+
+
+def vectors(b: Base, train: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    rows = b.table("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    n, size = rows.agg(F.max("vec_id") + 1, F.max(F.size("v"))).first()
+    users = train.select("u").distinct().withColumn("vec_id", (F.col("u") * 7 + 3) % n).join(rows, "vec_id").select("u", "v")
+    items = train.select("i").distinct().withColumn("vec_id", F.col("i") % n).join(rows, "vec_id").select("i", "v")
+    return users, items, size
+
+
+TAG = """, ed AS (SELECT u, i, deg, pop FROM train JOIN udeg USING (u) JOIN ipop USING (i)), ua AS (SELECT u, p, avg(x) AS m, sum(x / sqrt(deg * pop)) AS s FROM ed JOIN ie USING (i) GROUP BY 1, 2),
+  ia AS (SELECT i, p, avg(x) AS m, sum(x / sqrt(deg * pop)) AS s FROM ed JOIN ue USING (u) GROUP BY 1, 2), ut AS (SELECT u, p, 0.7 * x + 0.3 * m AS m, 0.7 * x + 0.3 * s AS s FROM ue JOIN ua USING (u, p)), it AS (SELECT i, p, 0.7 * x + 0.3 * m AS m, 0.7 * x + 0.3 * s AS s FROM ie JOIN ia USING (i, p)),
+  ul AS (SELECT u, greatest(sqrt(sum(m * m)), 1e-12) AS lm, greatest(sqrt(sum(s * s)), 1e-12) AS ls FROM ut GROUP BY u), il AS (SELECT i, greatest(sqrt(sum(m * m)), 1e-12) AS km, greatest(sqrt(sum(s * s)), 1e-12) AS ks FROM it GROUP BY i)"""
+
+
+@query("m15_tag_aggregation", VECTORS + TAG + " SELECT c.id, round(sum(a.m * b.m) / any_value(lm * km), 6) AS mean_unit, round(sum(a.s * b.s) / any_value(ls * ks), 6) AS sym_unit, round(sum(a.s * b.s), 6) AS sym FROM cand c JOIN ut a USING (u) JOIN it b ON b.i = c.i AND b.p = a.p JOIN ul USING (u) JOIN il ON il.i = c.i GROUP BY c.id")
 def tag_aggregation(b: Base) -> DataFrame:
-    """One value of each user drawn a tenth towards the mean of the user's items."""
-    train, _ = b.split()
-    x = train.groupBy("i").agg(F.log1p(F.count(F.lit(1))).alias("x"))
-    near = train.join(x, "i").groupBy("u").agg(F.avg("x").alias("a"))
-    return b.scored().join(near, "u").select("id", r6(0.9 * F.log1p("deg") + 0.1 * F.col("a")).alias("e"))
+    """Users' and items' vectors drawn towards those of their neighbours, by means or by degrees, and their products."""
+    train, cand = b.split()
+    users, items, size = vectors(b, train)
+    out = cand.select("id")
+    for name, mode, unit in (("mean_unit", "mean", True), ("sym_unit", "sym", True), ("sym", "sym", False)):
+        one = graph.dot_scores(cand, *graph.aggregated(train, users, items, size, 0.3, mode, unit))
+        out = out.join(one.select("id", r6(F.col("s")).alias(name)), "id")
+    return out
 
 
 PROFILE = """, mo AS (SELECT strftime(d, '%Y-%m') AS ym, count(*) / (SELECT count(*) FROM train) AS g FROM train GROUP BY 1), {parts}
@@ -183,7 +218,7 @@ PART = """oc_{k} AS (SELECT {k} AS key, strftime(d, '%Y-%m') AS ym, count(*) AS
 @query("m17_temporal_overlap", PROFILE.format(parts=PART.format(k="u") + ", " + PART.format(k="i")))
 def temporal_overlap(b: Base) -> DataFrame:
     train, cand = b.split()
-    return sim.temporal_overlap(cand, T.month_profile(train, "u", 20.0), T.month_profile(train, "i", 20.0)).withColumn("s", r6(F.col("s")))
+    return sim.temporal_overlap(cand, train).withColumn("s", r6(F.col("s")))
 
 
 @query("m27_propagation_layer", NORM + ", x AS (SELECT i, unnest([0, 1]) AS dim, unnest([ln(1 + pop), mean_t]) AS x FROM ipop) SELECT u, dim, round(sum(w * x), 6) AS x FROM nm JOIN x USING (i) GROUP BY 1, 2")
@@ -194,6 +229,19 @@ def propagation_layer(b: Base) -> DataFrame:
     return graph.propagate(train.select("u", "i", F.lit(1.0).alias("w")), long).withColumn("x", r6(F.col("x")))
 
 
+LAYERS = """, ed AS (SELECT u, i, 1 / sqrt(CAST(deg AS DOUBLE) * pop) AS w FROM train JOIN udeg USING (u) JOIN ipop USING (i)),
+  u1 AS (SELECT u, p, sum(w * x) AS x FROM ed JOIN ie USING (i) GROUP BY 1, 2), i1 AS (SELECT i, p, sum(w * x) AS x FROM ed JOIN ue USING (u) GROUP BY 1, 2), u2 AS (SELECT u, p, sum(w * x) AS x FROM ed JOIN i1 USING (i) GROUP BY 1, 2), i2 AS (SELECT i, p, sum(w * x) AS x FROM ed JOIN u1 USING (u) GROUP BY 1, 2),
+  uf AS (SELECT u, p, (a.x + b.x + c.x) / 3 AS x FROM ue a JOIN u1 b USING (u, p) JOIN u2 c USING (u, p)), jf AS (SELECT i, p, (a.x + b.x + c.x) / 3 AS x FROM ie a JOIN i1 b USING (i, p) JOIN i2 c USING (i, p))"""
+
+
+@query("m27_layer_mean_scores", VECTORS + LAYERS + " SELECT c.id, round(sum(a.x * b.x), 6) AS s FROM cand c JOIN uf a USING (u) JOIN jf b ON b.i = c.i AND b.p = a.p GROUP BY c.id")
+def layer_mean_scores(b: Base) -> DataFrame:
+    """Dot products of users and items after two layers of propagation on both sides, layers averaged."""
+    train, cand = b.split()
+    users, items, size = vectors(b, train)
+    return graph.dot_scores(cand, *graph.propagated(train, users, items, size, 2)).select("id", r6(F.col("s")).alias("s"))
+
+
 @query("m33_residualise", "SELECT id, round(s3 - regr_slope(s3, s1) OVER () * s1 - regr_intercept(s3, s1) OVER (), 6) AS residual FROM base")
 def residualise(b: Base) -> DataFrame:
     return stats.residual(b.scored(), "s3", "s1").select("id", r6(F.col("residual")).alias("residual"))
