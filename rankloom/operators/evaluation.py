@@ -67,3 +67,11 @@ def overlaps(changed: DataFrame) -> DataFrame:
 def decoded_axes(rows: DataFrame, scores: list[str]) -> DataFrame:
     """long_axes with pred of each axis: one shuffle by (axis, user)."""
     return ranking.top_half(long_axes(rows, scores), "score", keys=("axis", "u"))
+
+
+def tiers(counts: DataFrame, floor: float, alike: float) -> DataFrame:
+    """Adds tier to rows with fixes, breaks, acc and c, the correlation with the base: 'below floor', 'too alike', 'noise'
+    (a net change within two deviations of that of a fair coin), 'strict' or 'worse'."""
+    net, changed = F.col("fixes") - F.col("breaks"), F.col("fixes") + F.col("breaks")
+    tier = F.when(F.col("acc") < floor, "below floor").when(F.abs("c") > alike, "too alike").when(F.abs(net) <= 2 * F.sqrt(changed), "noise").when(net > 0, "strict").otherwise("worse")
+    return counts.withColumn("tier", tier)

@@ -81,6 +81,32 @@ def band_swaps(rows: DataFrame, base: str, other: str, width: int) -> DataFrame:
     return up.join(down, ["u", "m"]).drop("m")
 
 
+def promoted(rows: DataFrame, anchor: str, second: str, third: str, band: int, tau: float, guard: float, most: int) -> DataFrame:
+    """rule, u, id, pred: rows that a rule lifts into the upper half (1) and those that leave it for them (0).
+
+    In each user's band every row below the boundary meets every one above it. A rule says by the gaps of their z scores
+    when the lower one wins: two of three gaps over tau; the third's, and the anchor's not under -guard; the second's and
+    the third's; these two and the anchor's not under -guard. The rows with most wins go up, at most `most`, and as many
+    with most losses go down.
+    """
+    rows = ranking.top_half(with_z(rows, [anchor, second, third]), anchor)
+    rows = rows.where(ranking.in_band(band)).select("u", "id", "pred", *[F.round(f"z_{s}", 9).alias(n) for n, s in (("z1", anchor), ("z2", second), ("z3", third))])
+    low, top = (rows.where(f"pred = {p}").select("u", F.col("id").alias(n), *[F.col(z).alias(f"{n}_{z}") for z in ("z1", "z2", "z3")]) for p, n in ((0, "cid"), (1, "tid")))
+    d1, d2, d3 = (F.col(f"cid_{z}") - F.col(f"tid_{z}") for z in ("z1", "z2", "z3"))
+    fires = {"vote2": sum((d > tau).cast("int") for d in (d1, d2, d3)) >= 2, "vote_other": (d3 > tau) & (d1 > -guard), "vote_both": (d2 > tau) & (d3 > tau), "against_anchor": (d3 > tau) & (d2 > tau) & (d1 > -guard)}
+    met = low.join(top, "u").select("u", "cid", "tid", F.explode(F.filter(F.array(*[F.when(f, F.lit(n)) for n, f in fires.items()]), lambda x: x.isNotNull())).alias("rule"))
+    wins = met.groupBy("rule", "u", F.col("cid").alias("id")).agg(F.count(F.lit(1)).alias("n_won")).join(rows.drop("u", "pred"), "id")
+    by_rule = Window.partitionBy("rule", "u")
+    up = wins.withColumn("m", F.row_number().over(by_rule.orderBy(F.desc("n_won"), F.round(F.col("z3") + F.col("z2"), 8).desc(), F.desc("z1"), "id")))
+    tops = rows.where("pred = 1").groupBy("u").agg(F.count(F.lit(1)).alias("tops"))
+    room = up.groupBy("rule", "u").agg(F.count(F.lit(1)).alias("n")).join(tops, "u").select("rule", "u", F.least("n", F.lit(most).cast("long"), "tops").alias("room"))
+    losses = met.groupBy("rule", F.col("tid").alias("id")).agg(F.count(F.lit(1)).alias("n_lost"))
+    down = room.join(rows.where("pred = 1").drop("pred"), "u").join(losses, ["rule", "id"], "left")
+    down = down.withColumn("m", F.row_number().over(by_rule.orderBy(F.coalesce("n_lost", F.lit(0)).desc(), F.round(F.col("z3") + F.col("z2"), 8), "z1", F.desc("id"))))
+    out = [up.join(room, ["rule", "u"]).where("m <= room").select("rule", "u", "id", F.lit(1).alias("pred")), down.where("m <= room").select("rule", "u", "id", F.lit(0).alias("pred"))]
+    return out[0].unionByName(out[1])
+
+
 def budgeted(swaps: DataFrame, gain: str, budget: int) -> DataFrame:
     """The best swap of each user, and of these the `budget` with the largest gain."""
     first = swaps.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.col(gain).desc(), "up_id", "down_id"))).where("r = 1").drop("r")

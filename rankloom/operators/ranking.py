@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators import stats
+
 LOWEST = -1e30
 
 
@@ -72,24 +74,17 @@ def with_boundary(rows: DataFrame, score: str, k: str = "half", keys: tuple[str,
 
 
 def quantile_bin(order: list[Column], q: int, *keys: str) -> Column:
-    """Equal-count bins 0..q-1 of ranks: greatest(0, ceil(q (r - 1) / (n - 1)) - 1)."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    """Equal-count bins 0..q-1 of ranks within the keys: greatest(0, ceil(q (r - 1) / (n - 1)) - 1)."""
+    w = Window.partitionBy(*keys)
     r, n = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
     return F.greatest(F.lit(0), F.when(n > 1, F.ceil(q * (r - 1) / F.nullif(n - 1, F.lit(0))) - 1).otherwise(0)).cast("int")
 
 
 def binned_counts(rows: DataFrame, value: str, q: int) -> DataFrame:
-    """quantile_bin of all rows by (value, i), made from the histogram of values: no global sort in one task.
-
-    Ranks are the rank within a value plus the number of rows with smaller values, which a window over the histogram
-    gives.
-    """
-    hist = rows.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    before = hist.withColumn("below", F.coalesce(F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    total = hist.agg(F.sum("c").alias("total"))
-    r = F.col("below") + F.row_number().over(Window.partitionBy(value).orderBy("i"))
-    out = rows.join(before, value).crossJoin(F.broadcast(total)).withColumn("r", r)
-    return out.withColumn("bin", F.greatest(F.lit(0), F.when(F.col("total") > 1, F.ceil(q * (F.col("r") - 1) / F.nullif(F.col("total") - 1, F.lit(0))) - 1).otherwise(0)).cast("int")).drop("below", "total", "r")
+    """Equal-count bins 0..q-1 of all rows by (value, i), whose pairs are distinct; ranks are running counts."""
+    ranked = stats.prefix_sums(rows.withColumns({"one": F.lit(1), "place": F.struct(value, "i")}), "place", ["one"])
+    out = ranked.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))
+    return out.withColumn("bin", F.greatest(F.lit(0), F.when(F.col("total") > 1, F.ceil(q * F.col("one_before") / F.nullif(F.col("total") - 1, F.lit(0))) - 1).otherwise(0)).cast("int")).drop("one", "place", "one_before", "total")
 
 
 def in_band(width: int) -> Column:

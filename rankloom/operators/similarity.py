@@ -171,6 +171,21 @@ def polynomial_filter(cand: DataFrame, rows: DataFrame, powers: tuple[float, ...
     return pairs.groupBy("id").agg(*[F.sum(F.col("w") * F.coalesce(raised(p), F.lit(0.0))).alias(f"s_{k + 1}") for k, p in enumerate(powers)])
 
 
+def second_order_filter(cand: DataFrame, rows: DataFrame, first: float) -> DataFrame:
+    """id, s: a candidate's row of N P (first I + (1 - first) P), N the normalised matrix and P its gram matrix.
+
+    What a user reaches in one step is a row for each item that shares a user with its history; only users that have
+    candidates take the step, and the second meets their candidates alone.
+    """
+    n, users = normalised(rows), cand.select("u").distinct()
+    pairs = gram(n)
+    both = pairs.unionByName(pairs.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "s"))
+    reached = n.join(users, "u", "left_semi").join(both.withColumnRenamed("i", "from"), F.col("i") == F.col("from")).groupBy("u", "j").agg(F.sum(F.col("w") * F.col("s")).alias("y"))
+    held = reached.withColumnRenamed("j", "i")
+    met = history_pairs(cand, held, pairs, "y").groupBy("id").agg(F.sum(F.col("y") * F.coalesce("s", F.lit(0.0))).alias("far"), F.max(F.when(F.col("i") == F.col("j"), F.col("y"))).alias("near"))
+    return met.select("id", (first * F.coalesce("near", F.lit(0.0)) + (1 - first) * F.col("far")).alias("s"))
+
+
 def covisitation(cand: DataFrame, history: DataFrame, window: int = 20) -> DataFrame:
     """id and nine scores of a candidate against its user's history, in the order of (d, i).
 

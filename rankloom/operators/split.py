@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators import stats
 from rankloom.session import materialise
 
 
@@ -48,45 +49,88 @@ def proposed_negatives(sizes: DataFrame, items: DataFrame, seen: DataFrame, seed
     return fresh.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("j"))).where("r <= k").select("u", "i")
 
 
-def whole_negatives(sizes: DataFrame, items: DataFrame, seen: DataFrame, seed: str, tries: int = 6) -> DataFrame:
-    """u, i: as proposed_negatives, but every user gets k unseen items, or all of them if there are fewer.
+def until_full(sizes: DataFrame, items: DataFrame, seen: DataFrame, propose, order: list[Column], keys: tuple[str, ...] = ("u",)) -> DataFrame:
+    """keys, i: what propose(sizes, factor) gives, in further rounds for those with fewer than k, until all have k or all
+    unseen items.
 
-    Users still short of k draw eight times as many numbers, which begin with the same ones, in two more rounds. For
-    those short after that, unseen items are rare among the numbers: theirs are listed and fill up in hash order.
+    propose draws `factor` times as many items as in the first round, which begin with the same ones. For those short
+    after three rounds, unseen items are rare among the draws: theirs are listed and fill up in the given order.
     """
-    done, short = None, sizes.select("u", "k")
+    keys = list(keys)
+    done, short = None, sizes.select(*keys, "k")
     for factor in (1, 8, 64):
-        rows = materialise(proposed_negatives(short, items, seen, seed, tries * factor), "negatives")
-        counted = short.join(rows.groupBy("u").agg(F.count(F.lit(1)).alias("had")), "u", "left").select("u", "k", F.coalesce("had", F.lit(0)).alias("had"))
+        rows = materialise(propose(short, factor).select(*keys, "i"), "negatives")
+        counted = short.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("had")), keys, "left").select(*keys, "k", F.coalesce("had", F.lit(0)).alias("had"))
         left = materialise(counted.where("had < k"), "short")
-        full = rows.join(left, "u", "left_anti")
+        full = rows.join(left, keys, "left_anti")
         done = full if done is None else done.unionByName(full)
         if left.isEmpty():
             return done
-        short = left.select("u", "k")
-    rest = left.crossJoin(items.select("i").distinct()).join(seen.select("u", "i"), ["u", "i"], "left_anti").join(rows, ["u", "i"], "left_anti")
-    rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(hash_key(seed, "u", "i"), "i"))).where("r <= k - had")
-    return done.unionByName(rows.join(left, "u", "left_semi")).unionByName(rest.select("u", "i"))
+        short = left.select(*keys, "k")
+    shared = [k for k in keys if k in items.columns]
+    pool = left.join(items, shared) if shared else left.crossJoin(items)
+    rest = pool.join(seen.select("u", "i"), ["u", "i"], "left_anti").join(rows, [*keys, "i"], "left_anti")
+    rest = rest.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("r <= k - had")
+    return done.unionByName(rows.join(left, keys, "left_semi")).unionByName(rest.select(*keys, "i"))
 
 
-def weighted_negatives(sizes: DataFrame, pool: DataFrame, seed: str, weight: Column) -> DataFrame:
-    """u, i: k items for each user from a pool of (u, i, ...), drawn by weight without replacement.
+def whole_negatives(sizes: DataFrame, items: DataFrame, seen: DataFrame, seed: str, tries: int = 6) -> DataFrame:
+    """u, i: as proposed_negatives, but every user gets k unseen items, or all of them if there are fewer."""
+    propose = lambda short, factor: proposed_negatives(short, items, seen, seed, tries * factor)
+    return until_full(sizes, items.select("i").distinct(), seen, propose, [hash_key(seed, "u", "i"), F.col("i")])
 
-    The key is -ln(x) / weight with x uniform by hash; the smallest keys win.
-    """
-    key = F.round(-F.log(uniform(seed, "u", "i")) / weight, 9)
-    ranked = pool.join(sizes, "u").withColumn("key", key).withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("key", "i")))
-    return ranked.where("r <= k").select("u", "i")
 
+def weighted_negatives(sizes: DataFrame, items: DataFrame, seen: DataFrame, seed: str, tries: int = 6, keys: tuple[str, ...] = ("u",)) -> DataFrame:
+    """keys, i: k unseen items for each user, drawn from all items (i, w) one after the other without replacement, each
+    with a chance in proportion to its whole-numbered weight w.
 
-def binned_negatives(wanted: DataFrame, pool: DataFrame, seed: str) -> DataFrame:
-    """u, i: for each user and popularity bin as many pool items as wanted (u, bin, k), filled up from other bins."""
-    order = [hash_key(seed, "u", "i"), F.col("i")]
-    inside = pool.join(wanted, ["u", "bin"], "left").withColumn("r", F.row_number().over(Window.partitionBy("u", "bin").orderBy(*order)))
+    keys beside u, such as a bin, are columns of items too; draws then stay within them. A draw is a number below the sum
+    of the weights, which meets the item in whose stretch of the running sum it lies. Items and draws meet by the number
+    of an equal part of the sum, so the join is one of equal keys, even where few items have most of the weight. Items
+    without weight are only taken when there are no others.
+    """
+    inner = tuple(k for k in keys if k != "u")
+    heavy = stats.prefix_sums(items.where("w > 0").select(*inner, "i", F.col("w").cast("long").alias("w")), "i", ["w"], inner)
+    heavy = materialise(heavy.withColumnRenamed("w_before", "lo").withColumn("hi", F.col("lo") + F.col("w")), "stretches")
+    total = heavy.groupBy(*inner).agg(F.max("hi").alias("all"), F.ceil(F.max("hi") / F.count(F.lit(1))).cast("long").alias("width"))
+    widths = lambda rows: rows.join(total, list(inner)) if inner else rows.crossJoin(F.broadcast(total))
+    spans = widths(heavy).select(*inner, "i", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width")))).alias("part"))
+
+    def propose(short: DataFrame, factor: int) -> DataFrame:
+        drawn = widths(short.select(*keys, "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") * (tries * factor) - 1)).alias("j")))
+        drawn = drawn.withColumn("x", hash_long(seed, *keys, "j") % F.col("all")).withColumn("part", F.floor(F.col("x") / F.col("width")))
+        met = drawn.join(spans, [*inner, "part"]).where("x >= lo and x < hi").groupBy(*keys, "k", "i").agg(F.min("j").alias("j"))
+        fresh = met.join(seen.select("u", "i"), ["u", "i"], "left_anti")
+        return fresh.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("j"))).where("r <= k")
+
+    order = [F.desc("w"), hash_key(seed, *keys, "i"), F.col("i")]
+    return until_full(sizes, items, seen, propose, order, keys)
+
+
+def binned_negatives(wanted: DataFrame, items: DataFrame, seen: DataFrame, seed: str) -> DataFrame:
+    """u, i, in_bin: for each user and popularity bin as many unseen items (i, bin, w) as wanted (u, bin, k), drawn by
+    weight; what a bin can't give comes from all other unseen items, also by weight."""
+    inside = materialise(weighted_negatives(wanted, items, seen, seed, keys=("u", "bin")).select("u", "i"), "in-bin")
     total = wanted.groupBy("u").agg(F.sum("k").alias("total"))
-    first = (F.col("r") <= F.coalesce("k", F.lit(0))).cast("int")
-    ranked = inside.join(total, "u").withColumn("all_r", F.row_number().over(Window.partitionBy("u").orderBy(first.desc(), *order)))
-    return ranked.where("all_r <= total").select("u", "i", first.alias("in_bin"))
+    had = inside.groupBy("u").agg(F.count(F.lit(1)).alias("had"))
+    short = total.join(had, "u", "left").select("u", (F.col("total") - F.coalesce("had", F.lit(0))).alias("k")).where("k > 0")
+    rest = weighted_negatives(short, items.drop("bin"), seen.select("u", "i").unionByName(inside), f"{seed}rest:")
+    return inside.withColumn("in_bin", F.lit(1)).unionByName(rest.select("u", "i", F.lit(0).alias("in_bin")))
+
+
+def triplets(pairs: DataFrame, items: DataFrame, seen: DataFrame, seed: str, tries: int = 6) -> DataFrame:
+    """u, pos, neg: for each pair (u, i) an item that the user hasn't seen, by the first hash draw that hits one; for
+    users who have seen nearly all, one of what is left. Users who have seen all have no row."""
+    bounds = items.agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+
+    def propose(short: DataFrame, factor: int) -> DataFrame:
+        drawn = short.select("u", "pos", F.explode(F.sequence(F.lit(0), F.lit(tries * factor - 1))).alias("j")).crossJoin(F.broadcast(bounds))
+        drawn = drawn.withColumn("i", F.col("lo") + hash_long(seed, "u", "pos", "j") % (F.col("hi") - F.col("lo") + 1))
+        fresh = drawn.join(items, "i", "left_semi").join(seen.select("u", "i"), ["u", "i"], "left_anti")
+        return fresh.groupBy("u", "pos").agg(F.min_by("i", "j").alias("i"))
+
+    sizes = pairs.select("u", F.col("i").alias("pos"), F.lit(1).cast("long").alias("k"))
+    return until_full(sizes, items.select("i").distinct(), seen, propose, [hash_key(seed, "u", "pos", "i")], ("u", "pos")).withColumnRenamed("i", "neg")
 
 
 def candidates(positives: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -3,47 +3,90 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.session import materialise
+
+
+def prefix_sums(rows: DataFrame, value: str, sums: list[str], keys: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+    """rows with <sum>_before: the sums over the rows of the same keys with smaller (or larger) values, which are distinct.
+
+    Rows are dealt into ranges of the values; each range is summed up, the ranges' own sums are added up in a table of
+    their number, and within a range a window does the rest. So no task sees more than one range.
+    """
+    order = [*[F.col(k) for k in keys], F.col(value).desc() if descending else F.col(value)]
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    whole = ranged.groupBy(*keys, "part").agg(*[F.sum(c).alias(f"{c}_part") for c in sums])
+    above = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = whole.select(*keys, "part", *[F.coalesce(F.sum(f"{c}_part").over(above), F.lit(0)).alias(f"{c}_base") for c in sums])
+    inside = Window.partitionBy(*keys, "part").orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(base, [*keys, "part"])
+    return out.select(*rows.columns, *[(F.col(f"{c}_base") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in sums])
+
 
 def percentiles(rows: DataFrame, value: str, points: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """One row: n, mean, population deviation, min, max and exact, interpolated percentiles."""
-    return rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi"), *[F.percentile(value, p).alias(f"p{round(100 * p):02d}") for p in points])
+    plain = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return plain.crossJoin(F.broadcast(quantiles(rows, {f"p{round(100 * p):02d}": (value, p) for p in points})))
+
+
+def quantiles(rows: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with the exact, interpolated percentile of each (column, point), nulls left out.
+
+    Taken from the columns' histograms with running counts: no task holds all values.
+    """
+    out = None
+    for value in dict.fromkeys(v for v, _ in wanted.values()):
+        hist = prefix_sums(rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c")), value, ["c"])
+        total = hist.agg(F.sum("c").alias("total"))
+        found = []
+        for name, (v, p) in wanted.items():
+            if v == value:
+                at = (F.col("total") - 1) * p
+                low, high = (F.max(F.when(F.col("c_before") <= x(at), F.col(value).cast("double"))) for x in (F.floor, F.ceil))
+                part = F.max(at - F.floor(at))
+                found.append((low + (high - low) * part).alias(name))
+        one = hist.crossJoin(F.broadcast(total)).agg(*found)
+        out = one if out is None else out.crossJoin(one)
+    return out
 
 
 def running(hist: DataFrame, value: str, count: str, descending: bool = False) -> DataFrame:
-    """A histogram with the running sum of counts (upto) and their total; the window sees one row for each value."""
-    order = F.col(value).desc() if descending else F.col(value)
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return hist.withColumn("upto", F.sum(count).over(w)).crossJoin(F.broadcast(hist.agg(F.sum(count).alias("total"))))
+    """A histogram with the running sum of counts (upto) and their total."""
+    summed = prefix_sums(hist, value, [count], descending=descending).withColumn("upto", F.col(f"{count}_before") + F.col(count)).drop(f"{count}_before")
+    return summed.crossJoin(F.broadcast(hist.agg(F.sum(count).alias("total"))))
 
 
 def gini(rows: DataFrame, value: str) -> DataFrame:
     """gini: 2 sum(i x_i) / (n sum x) - (n + 1) / n over values in ascending order, from their histogram."""
-    hist = running(rows.groupBy(value).agg(F.count(F.lit(1)).alias("c")), value, "c")
-    # c equal values take ranks upto - c + 1 .. upto
-    ranks = F.col("c") * (2 * F.col("upto") - F.col("c") + 1) / 2
+    hist = prefix_sums(rows.groupBy(value).agg(F.count(F.lit(1)).alias("c")), value, ["c"])
+    # c equal values take ranks c_before + 1 .. c_before + c
+    ranks = F.col("c") * (2 * F.col("c_before") + F.col("c") + 1) / 2
     sums = hist.agg(F.sum(ranks * F.col(value)).alias("a"), F.sum(F.col("c") * F.col(value)).alias("b"), F.sum("c").alias("n"))
     return sums.select((F.when(F.col("b") > 0, 2 * F.col("a") / F.nullif(F.col("n") * F.col("b"), F.lit(0.0)) - (F.col("n") + 1) / F.col("n")).otherwise(0.0)).alias("gini"))
 
 
-def ks(rows: DataFrame, value: str, side: Column) -> DataFrame:
-    """ks: the largest gap of the two cumulative shares; side: a boolean column."""
-    hist = rows.groupBy(value).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = hist.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    out = hist.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb")).crossJoin(F.broadcast(total))
-    return out.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"))
+def ks(rows: DataFrame, value: str, side: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, ks: the largest gap of the two cumulative shares; side: a boolean column."""
+    hist = prefix_sums(rows.groupBy(*keys, value).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b")), value, ["a", "b"], keys)
+    total = hist.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    both = hist.join(total, list(keys)) if keys else hist.crossJoin(F.broadcast(total))
+    gap = (F.col("a_before") + F.col("a")) / F.col("na") - (F.col("b_before") + F.col("b")) / F.col("nb")
+    return both.groupBy(*keys).agg(F.max(F.abs(gap)).alias("ks"))
 
 
 def auc(rows: DataFrame, score: str, label: str = "label", keys: tuple[str, ...] = ()) -> DataFrame:
-    """auc: the chance that a positive is above a negative, ties counting half, from counts by score."""
-    hist = rows.groupBy(*keys, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("m"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("below", F.coalesce(F.sum("m").over(w), F.lit(0)))
-    sums = hist.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("m") / 2)).alias("wins"), F.sum("p").alias("p"), F.sum("m").alias("m"))
+    """keys, auc: the chance that a positive is above a negative, ties counting half, from counts by score."""
+    return auc_of_counts(rows.groupBy(*keys, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("m")), score, keys)
+
+
+def auc_of_counts(hist: DataFrame, score: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, auc of the numbers of positives p and negatives m at each score."""
+    hist = prefix_sums(hist, score, ["m"], keys)
+    sums = hist.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("m_before") + F.col("m") / 2)).alias("wins"), F.sum("p").alias("p"), F.sum("m").alias("m"))
     return sums.select(*keys, (F.col("wins") / F.nullif(F.col("p") * F.col("m"), F.lit(0))).alias("auc"))
 
 
@@ -59,13 +102,24 @@ def residual(rows: DataFrame, y: str, x: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(line)).withColumn("residual", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")).drop("slope", "intercept")
 
 
+def residual_of_two(rows: DataFrame, y: str, a: str, b: str) -> DataFrame:
+    """y less its least-squares plane on a and b, as column residual, from covariances."""
+    cov = lambda p, q, n: F.covar_pop(p, q).alias(n)
+    c = rows.agg(cov(a, a, "aa"), cov(b, b, "bb"), cov(a, b, "ab"), cov(y, a, "ya"), cov(y, b, "yb"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.avg(y).alias("my"))
+    x = {n: F.col(n) for n in c.columns}
+    size = F.nullif(x["aa"] * x["bb"] - x["ab"] * x["ab"], F.lit(0.0))
+    on_a, on_b = (x["ya"] * x["bb"] - x["yb"] * x["ab"]) / size, (x["yb"] * x["aa"] - x["ya"] * x["ab"]) / size
+    return rows.crossJoin(F.broadcast(c)).withColumn("residual", F.col(y) - x["my"] - on_a * (F.col(a) - x["ma"]) - on_b * (F.col(b) - x["mb"])).drop(*c.columns)
+
+
 def binomial_two_sided(fixes: int, breaks: int) -> float:
-    """Exact two-sided p of a fair coin."""
+    """Exact two-sided p of a fair coin, by whole numbers."""
     n, k = fixes + breaks, min(fixes, breaks)
-    if not n:
-        return 1.0
-    tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1))
-    return min(1.0, 2 * tail)
+    tail, term = 0, 1
+    for i in range(k + 1):
+        tail += term
+        term = term * (n - i) // (i + 1)
+    return float(min(Fraction(1), Fraction(2 * tail, 2**n)))
 
 
 def chi_square_survival(x: float, pairs: int) -> float:

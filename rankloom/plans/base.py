@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators import split
+from rankloom.session import materialise
 
 
 class Base:
@@ -13,6 +14,8 @@ class Base:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._stored: DataFrame | None = None
+        self._split: tuple[DataFrame, DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -23,13 +26,29 @@ class Base:
         hours = F.sum("l_quantity")
         return rows.groupBy("u", "i").agg(F.count(F.lit(1)).alias("n"), hours.alias("hours"), F.log2(1 + hours).alias("hours_t"), F.max("d").alias("d"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("early"))
 
+    def stored(self) -> DataFrame:
+        """interactions(), joined and summed up once for all that a query makes of them."""
+        if self._stored is None:
+            self._stored = materialise(self.interactions(), "interactions")
+        return self._stored
+
+    def items(self) -> DataFrame:
+        return self.table("part").select(F.col("p_partkey").alias("i"))
+
     def split(self) -> tuple[DataFrame, DataFrame]:
-        """Training interactions and labelled candidates (id, u, i, label)."""
-        inter = self.interactions()
-        held = split.hold_out(inter, seed="42:", order="hash")
-        items = self.table("part").select(F.col("p_partkey").alias("i"))
-        negatives = split.proposed_negatives(split.hold_out_sizes(inter), items, inter, seed="42n:")
-        return inter.join(held, ["u", "i"], "left_anti"), split.candidates(held, negatives)
+        """Training interactions and labelled candidates (id, u, i, label); every user has as many unseen items as
+        held-out ones."""
+        if self._split is None:
+            inter = self.stored()
+            held = split.hold_out(inter, seed="42:", order="hash")
+            negatives = split.whole_negatives(split.hold_out_sizes(inter), self.items(), inter, seed="42n:")
+            self._split = inter.join(held, ["u", "i"], "left_anti"), materialise(split.candidates(held, negatives), "candidates")
+        return self._split
+
+    def popularity(self) -> DataFrame:
+        """i, pop of all items: the users that hold an item in training, 0 for the others."""
+        pops = self.split()[0].groupBy("i").agg(F.count(F.lit(1)).alias("pop"))
+        return self.items().distinct().join(pops, "i", "left").select("i", F.coalesce("pop", F.lit(0)).alias("pop"))
 
     def scored(self) -> DataFrame:
         """Candidates with s1 (popularity), s2 (closeness in time) and s3 (mean transformed hours), rounded so that

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import evaluation, fusion, ranking, similarity, split, stats
 from rankloom.plans.base import Base
-from rankloom.plans.profile import POOL, pool
+from rankloom.plans.profile import draws
 from rankloom.plans.registry import query
 from rankloom.plans.scorers import UCOS
+from rankloom.session import materialise
 from rankloom.sources import io
 
 r6 = lambda c: F.round(c, 6)
 S = ["s1", "s2", "s3"]
 
 
-@query("s05_selected_texts", "SELECT d.doc_id, left(d.text, 80) AS head FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", frames=False)
+@query("s05_selected_texts", "SELECT d.doc_id, d.text FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", frames=False)
 def selected_texts(b: Base) -> DataFrame:
     wanted = b.table("labels").where("quality = 1").select("doc_id")
-    return b.table("documents").join(wanted, "doc_id", "left_semi").select("doc_id", F.left("text", F.lit(80)).alias("head"))
+    return b.table("documents").join(wanted, "doc_id", "left_semi").select("doc_id", "text")
 
 
 @query("s05_whole_texts", "SELECT d.doc_id, length(d.text) AS n, sha256(d.text) AS digest FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", frames=False)
@@ -142,9 +143,9 @@ def split_rollup(b: Base) -> DataFrame:
     return out.where("n = 5").drop("n")
 
 
-@query("k01_mixed_sort", "SELECT u, id, s1 FROM (SELECT *, row_number() OVER (ORDER BY u, s1 DESC, id) AS r FROM base) WHERE r <= 500")
+@query("k01_mixed_sort", "SELECT u, id, s1, label FROM base ORDER BY u, s1 DESC, label, id")
 def mixed_sort(b: Base) -> DataFrame:
-    return b.scored().select("u", "id", "s1").orderBy("u", F.desc("s1"), "id").limit(500)
+    return b.scored().select("u", "id", "s1", "label").orderBy("u", F.desc("s1"), "label", "id")
 
 
 @query("k01_whole_sort", "SELECT u, id, s1 FROM base ORDER BY u, s1 DESC, id")
@@ -178,25 +179,23 @@ def pair_lift(b: Base) -> DataFrame:
     return pairs.select("i", "j", r6(F.col("s") / F.sqrt((F.col("pi") + 1) * (F.col("pj") + 1))).alias("lift"))
 
 
-UNIT = "(CAST('0x' || substr(md5('{s}' || u || ':' || i), 1, 15) AS BIGINT) + 1) / 1152921504606846977.0::DOUBLE"
-GRID = POOL + f""", pick AS (SELECT alpha, u, i, pop, k, row_number() OVER (PARTITION BY alpha, u ORDER BY round(-ln({UNIT.format(s='g:')}) / pow(pop + 1, alpha), 9), i) AS r
-    FROM pool JOIN sizes USING (u) CROSS JOIN (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS alpha)),
-  both AS (SELECT alpha, pop, 0 AS label FROM pick WHERE r <= k UNION ALL SELECT alpha, coalesce(ipop.pop, 0), 1 FROM held LEFT JOIN ipop USING (i) CROSS JOIN (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS alpha))""".replace("both AS", "mixed AS")
+#: Powers of popularity by which negatives are drawn, and the weights.
+ALPHAS = {"0": (0.0, "1000"), "h": (0.5, "1000 * sqrt(p0 + 1)"), "1": (1.0, "1000 * (p0 + 1)")}
+GRID = "".join(draws(w, "g:", n).replace("wt AS", f"wt{n} AS").replace("FROM wt ", f"FROM wt{n} ").replace("cum", f"cum{n}").replace(" al ", f" al{n} ").replace("JOIN al)", f"JOIN al{n})").replace("dr AS", f"dr{n} AS").replace("FROM dr ", f"FROM dr{n} ").replace("pk ", f"pk{n} ") for n, (_, w) in ALPHAS.items())
+GRID += ", mixed AS (" + " UNION ALL ".join(f"SELECT {a}::DOUBLE AS alpha, coalesce(pop, 0) AS pop, 0 AS label FROM neg_{n} LEFT JOIN ipop USING (i) UNION ALL SELECT {a}::DOUBLE, coalesce(pop, 0), 1 FROM held LEFT JOIN ipop USING (i)" for n, (a, _) in ALPHAS.items()) + ")"
 
 
 @query("n10_generator_grid", GRID + " SELECT alpha, round(max(abs(a / na - m / nb)), 6) AS ks FROM (SELECT DISTINCT alpha, pop, CAST(count_if(label = 1) OVER (PARTITION BY alpha ORDER BY pop) AS DOUBLE) AS a, count_if(label = 0) OVER (PARTITION BY alpha ORDER BY pop) AS m, count_if(label = 1) OVER (PARTITION BY alpha) AS na, count_if(label = 0) OVER (PARTITION BY alpha) AS nb FROM mixed) GROUP BY alpha")
 def generator_grid(b: Base) -> DataFrame:
-    """alpha, ks: how far the popularity of negatives drawn by popularity ^ alpha is from that of the held-out items."""
-    sizes, rows = pool(b)
-    train, _ = b.split()
-    pops = train.groupBy("i").agg(F.count(F.lit(1)).alias("pop"))
-    held = split.hold_out(b.interactions()).join(pops, "i", "left").select(F.coalesce("pop", F.lit(0)).alias("pop"), F.lit(1).alias("label"))
-    out = None
-    for alpha in (0.0, 0.5, 1.0):
-        drawn = split.weighted_negatives(sizes, rows, "g:", F.pow(F.col("pop") + 1, F.lit(alpha))).join(rows, ["u", "i"]).select("pop", F.lit(0).alias("label"))
-        one = stats.ks(held.unionByName(drawn), "pop", F.col("label") == 1).select(F.lit(alpha).alias("alpha"), r6(F.col("ks")).alias("ks"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """alpha, ks: how far the popularity of negatives drawn by (popularity + 1) ^ alpha is from that of the held-out items."""
+    pops, sizes = materialise(b.popularity(), "popularity"), split.hold_out_sizes(b.stored())
+    held, out = split.hold_out(b.stored()).select("i", F.lit(1).alias("label")), None
+    for alpha, _ in ALPHAS.values():
+        items = pops.select("i", F.floor(1000 * F.pow(F.col("pop") + 1, F.lit(alpha))).alias("w"))
+        drawn = split.weighted_negatives(sizes, items, b.stored(), "g:").select("i", F.lit(0).alias("label"))
+        rows = held.unionByName(drawn).withColumn("alpha", F.lit(alpha))
+        out = rows if out is None else out.unionByName(rows)
+    return stats.ks(out.join(pops, "i"), "pop", F.col("label") == 1, ("alpha",)).select("alpha", r6(F.col("ks")).alias("ks"))
 
 
 @query("k05_neighbour_consensus", UCOS + """, nb AS (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY round(sim, 9) DESC, v) AS r FROM us)

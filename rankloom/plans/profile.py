@@ -9,6 +9,7 @@ from rankloom.functions import text as T
 from rankloom.operators import graph, ranking, split, stats
 from rankloom.plans.base import Base
 from rankloom.plans.registry import query
+from rankloom.session import materialise
 
 r6 = lambda c: F.round(c, 6)
 
@@ -32,45 +33,42 @@ def recent_hold_out(b: Base) -> DataFrame:
 
 @query("n03_uniform_negatives", "SELECT u, i FROM negs")
 def uniform_negatives(b: Base) -> DataFrame:
-    inter = b.interactions()
-    return split.whole_negatives(split.hold_out_sizes(inter), b.table("part").select(F.col("p_partkey").alias("i")), inter, "42n:")
+    inter = b.stored()
+    return split.whole_negatives(split.hold_out_sizes(inter), b.items(), inter, "42n:")
 
 
-#: A pool of unseen items: 40 draws for each held-out item, the items' popularity beside them.
-POOL = """, pool AS (
-  SELECT u, i, coalesce(pop, 0) AS pop FROM (SELECT DISTINCT u, lo + CAST('0x' || substr(md5('p:' || u || ':' || j), 1, 15) AS BIGINT) % (hi - lo + 1) AS i
-    FROM (SELECT u, unnest(range(0, k * 40)) AS j FROM sizes) CROSS JOIN (SELECT min(p_partkey) AS lo, max(p_partkey) AS hi FROM part)) q
-  LEFT JOIN ipop USING (i) WHERE i IN (SELECT p_partkey FROM part) AND (u, i) NOT IN (SELECT (u, i) FROM inter))"""
+#: Draws by weight from all items: a number below the sum of the weights meets the item in whose stretch it lies. Enough
+#: draws that all users get what they want.
+DRAWS = """, wt AS (SELECT {keys}p_partkey AS i, CAST(floor({weight}) AS BIGINT) AS w FROM (SELECT *, coalesce(pop, 0) AS p0 FROM part LEFT JOIN ipop ON i = p_partkey) q {bins}),
+  cum AS (SELECT *, sum(w) OVER ({by} ORDER BY i) - w AS lo, sum(w) OVER ({by} ORDER BY i) AS hi FROM wt WHERE w > 0), al AS (SELECT {keys}CAST(max(hi) AS BIGINT) AS total FROM cum {group}),
+  dr AS (SELECT *, CAST('0x' || substr(md5('{seed}' || u || ':' || {hash}j), 1, 15) AS BIGINT) % total AS x FROM (SELECT u, {keys}k, unnest(range(0, k * 60)) AS j FROM {sizes}) {all}),
+  pk AS (SELECT u, {keys}k, i, min(j) AS j FROM dr ASOF JOIN cum {on} GROUP BY ALL), neg_{name} AS (SELECT u, {keys}i FROM (SELECT *, row_number() OVER (PARTITION BY u{comma} ORDER BY j) AS r FROM pk WHERE (u, i) NOT IN (SELECT (u, i) FROM inter)) WHERE r <= k)"""
 
 
-def pool(b: Base) -> tuple[DataFrame, DataFrame]:
-    inter = b.interactions()
-    sizes, items = split.hold_out_sizes(inter), b.table("part").select(F.col("p_partkey").alias("i"))
-    drawn = split.proposed_negatives(sizes.select("u", (F.col("k") * 40).alias("k")), items, inter, "p:", tries=1)
-    train, _ = b.split()
-    return sizes, drawn.join(train.groupBy("i").agg(F.count(F.lit(1)).alias("pop")), "i", "left").select("u", "i", F.coalesce("pop", F.lit(0)).alias("pop"))
+def draws(weight: str, seed: str, name: str = "w") -> str:
+    return DRAWS.format(keys="", weight=weight, bins="", by="", group="", seed=seed, hash="", sizes="sizes", all="CROSS JOIN al", on="ON x >= lo", comma="", name=name)
 
 
-@query("n04_sqrtpop_negatives", POOL + """ SELECT u, i FROM (SELECT u, i, k, row_number() OVER (PARTITION BY u ORDER BY
-  round(-ln((CAST('0x' || substr(md5('w:' || u || ':' || i), 1, 15) AS BIGINT) + 1) / 1152921504606846977.0::DOUBLE) / sqrt(pop + 1), 9), i) AS r FROM pool JOIN sizes USING (u)) WHERE r <= k""")
+@query("n04_sqrtpop_negatives", draws("1000 * sqrt(p0)", "w:") + " SELECT u, i FROM neg_w")
 def sqrtpop_negatives(b: Base) -> DataFrame:
-    sizes, rows = pool(b)
-    return split.weighted_negatives(sizes, rows, "w:", F.sqrt(F.col("pop") + 1))
+    items = b.popularity().select("i", F.floor(1000 * F.sqrt("pop")).alias("w"))
+    return split.weighted_negatives(split.hold_out_sizes(b.stored()), items, b.stored(), "w:")
 
 
-BIN = "CASE WHEN pop < 5 THEN 0 WHEN pop < 20 THEN 1 WHEN pop < 30 THEN 2 ELSE 3 END"
+#: Bins of equal numbers of items by popularity.
+BINS = 10
+BINNED = DRAWS.format(keys="bin, ", weight="1000 * sqrt(p0)", bins="JOIN pb ON pb.i = p_partkey", by="PARTITION BY bin", group="GROUP BY bin", seed="b:", hash="bin || ':' || ", sizes="wanted", all="JOIN al USING (bin)", on="ON dr.bin = cum.bin AND x >= lo", comma=", bin", name="b")
+BINNED = BINNED.replace("SELECT u, bin, k, i, min(j)", "SELECT u, dr.bin, k, i, min(j)")
+POPBIN = f""", pb AS (SELECT i, CAST(CASE WHEN n > 1 THEN greatest(0, ceil({BINS} * (r - 1) / (n - 1)) - 1) ELSE 0 END AS INT) AS bin FROM (SELECT p_partkey AS i, row_number() OVER (ORDER BY coalesce(pop, 0), p_partkey) AS r, count(*) OVER () AS n FROM part LEFT JOIN ipop ON i = p_partkey)),
+  wanted AS (SELECT u, bin, count(*) AS k FROM held JOIN pb USING (i) GROUP BY 1, 2)"""
 
 
-@query("n05_popbin_negatives", POOL + f""", wanted AS (SELECT u, {BIN} AS bin, count(*) AS k FROM held LEFT JOIN (SELECT i, pop FROM ipop) USING (i) GROUP BY 1, 2),
-  x AS (SELECT u, i, bin, coalesce(k, 0) AS k, row_number() OVER (PARTITION BY u, bin ORDER BY md5('b:' || u || ':' || i), i) AS r FROM (SELECT u, i, {BIN} AS bin FROM pool) LEFT JOIN wanted USING (u, bin))
-  SELECT u, i, in_bin FROM (SELECT u, i, CAST(r <= k AS INT) AS in_bin, total, row_number() OVER (PARTITION BY u ORDER BY CAST(r <= k AS INT) DESC, md5('b:' || u || ':' || i), i) AS a
-  FROM x JOIN (SELECT u, sum(k) AS total FROM wanted GROUP BY u) USING (u)) WHERE a <= total""")
+@query("n05_popbin_negatives", POPBIN + BINNED + " SELECT u, i, CAST(1 AS INT) AS in_bin FROM neg_b")
 def popbin_negatives(b: Base) -> DataFrame:
-    _, rows = pool(b)
-    bin_of = F.when(F.col("pop") < 5, 0).when(F.col("pop") < 20, 1).when(F.col("pop") < 30, 2).otherwise(3)
-    train, _ = b.split()
-    held = split.hold_out(b.interactions()).join(train.groupBy("i").agg(F.count(F.lit(1)).alias("pop")), "i", "left")
-    return split.binned_negatives(held.groupBy("u", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("k")), rows.select("u", "i", bin_of.alias("bin")), "b:")
+    """As many unseen items of each popularity bin as the user's held-out items have, drawn by the root of popularity."""
+    items = materialise(ranking.binned_counts(b.popularity(), "pop", BINS).select("i", "bin", F.floor(1000 * F.sqrt("pop")).alias("w")), "bins")
+    wanted = split.hold_out(b.stored()).join(items, "i").groupBy("u", "bin").agg(F.count(F.lit(1)).alias("k"))
+    return split.binned_negatives(wanted, items, b.stored(), "b:")
 
 
 @query("n09_edge_dropout", "SELECT u, i FROM train WHERE (CAST('0x' || substr(md5('drop:' || u || ':' || i), 1, 15) AS BIGINT) + 1) / 1152921504606846977.0::DOUBLE >= 0.1")
@@ -202,9 +200,10 @@ def density(b: Base) -> DataFrame:
     return b.interactions().agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("events"), F.count_if(F.expr("n > 1")).alias("repeated"), F.round(F.count(F.lit(1)) / (F.count_distinct("u") * F.count_distinct("i")), 9).alias("density"))
 
 
-@query("a19_group_documents", "SELECT lang, count(*) AS n, left(string_agg(left(text, 40), chr(10) ORDER BY doc_id), 500) AS body FROM documents GROUP BY lang", frames=False)
+@query("a19_group_documents", "SELECT lang, count(*) AS n, left(string_agg(text, chr(10) ORDER BY doc_id), 20000) AS body FROM documents GROUP BY lang", frames=False)
 def group_documents(b: Base) -> DataFrame:
-    return T.joined_heads(b.table("documents"), "lang", "doc_id", "text", each=40, most=500)
+    """The whole texts of a group joined in order, of which the first 20,000 signs are the group's document."""
+    return T.joined_texts(b.table("documents"), "lang", "doc_id", "text", most=20_000)
 
 
 @query("a20_month_profile", """, m AS (SELECT DISTINCT strftime(d, '%Y-%m') AS ym FROM inter), g AS (SELECT strftime(d, '%Y-%m') AS ym, count(*) / (SELECT count(*) FROM inter) AS p FROM inter GROUP BY 1),
@@ -214,11 +213,15 @@ def month_profile(b: Base) -> DataFrame:
     return T.month_profile(b.interactions(), "i", 20.0).select("i", "ym", F.round("p", 9).alias("p"))
 
 
-@query("a21_components", ", e AS (SELECT DISTINCT u, i FROM inter WHERE hours_t > 6.5), n AS (SELECT count(DISTINCT u) + count(DISTINCT i) AS nodes FROM e) SELECT nodes FROM n")
-def graph_nodes(b: Base) -> DataFrame:
-    """The nodes that the component labels cover; the labels themselves have no SQL and are tested by hand."""
-    edges = b.interactions().where("hours_t > 6.5").select((F.col("u") * 2).alias("a"), (F.col("i") * 2 + 1).alias("b"))
-    return graph.components(edges).agg(F.count(F.lit(1)).alias("nodes"))
+@query("a21_components", """, e AS (SELECT u * 2 AS a, i * 2 + 1 AS b FROM inter), sides AS (SELECT a, b FROM e UNION SELECT b, a FROM e), first AS (SELECT min(a) AS a FROM sides),
+  reach AS (WITH RECURSIVE r(node) AS (SELECT a FROM first UNION SELECT b.b FROM r JOIN sides b ON b.a = r.node) SELECT node FROM r)
+  SELECT node, (SELECT a FROM first) AS component FROM reach""")
+def first_component(b: Base) -> DataFrame:
+    """The nodes of the component of the smallest node, of the components of all interactions: users are even numbers,
+    items odd ones. The other components are in a21_component_sizes."""
+    edges = b.interactions().select((F.col("u") * 2).alias("a"), (F.col("i") * 2 + 1).alias("b"))
+    labels = graph.components(edges)
+    return labels.join(F.broadcast(labels.agg(F.min("node").alias("component"))), "component").select("node", "component")
 
 
 @query("a21_component_sizes")
@@ -244,7 +247,7 @@ def model_agreement(b: Base) -> DataFrame:
 def candidate_surplus(b: Base) -> DataFrame:
     train, cand = b.split()
     items = cand.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    totals = items.agg(F.percentile("n", 0.5).alias("md"), F.sum("n").alias("n_cand")).crossJoin(train.agg(F.count(F.lit(1)).alias("n_train")))
+    totals = items.agg(F.sum("n").alias("n_cand")).crossJoin(stats.quantiles(items, {"md": ("n", 0.5)})).crossJoin(train.agg(F.count(F.lit(1)).alias("n_train")))
     rows = items.join(train.groupBy("i").agg(F.count(F.lit(1)).alias("pop")), "i").crossJoin(F.broadcast(totals))
     mean = F.col("pop") * F.col("n_cand") / F.col("n_train")
     return rows.select("i", "n", r6((F.col("n") - mean) / F.sqrt(mean + 1) * F.col("n") / (F.col("n") + F.col("md"))).alias("surplus"))
@@ -253,7 +256,7 @@ def candidate_surplus(b: Base) -> DataFrame:
 @query("p02_median_fill", "SELECT vec_id, CAST(coalesce(CASE WHEN label % 3 = 0 THEN NULL ELSE label END, (SELECT quantile_cont(label, 0.5) FROM embeddings WHERE label % 3 <> 0)) AS DOUBLE) AS filled FROM embeddings", frames=False)
 def median_fill(b: Base) -> DataFrame:
     rows = b.table("embeddings").select("vec_id", F.when(F.col("label") % 3 != 0, F.col("label").cast("double")).alias("x"))
-    return rows.crossJoin(F.broadcast(rows.agg(F.percentile("x", 0.5).alias("m")))).select("vec_id", F.coalesce("x", "m").alias("filled"))
+    return rows.crossJoin(F.broadcast(stats.quantiles(rows, {"m": ("x", 0.5)}))).select("vec_id", F.coalesce("x", "m").alias("filled"))
 
 
 @query("p03_scrub", "SELECT event_id, CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN -1e30 ELSE round(x, 6) END AS x FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE WHEN event_id % 7 = 1 THEN 'inf'::DOUBLE WHEN event_id % 7 = 2 THEN NULL ELSE value END AS x FROM events)", frames=False)
@@ -272,9 +275,9 @@ def degree_buckets(b: Base) -> DataFrame:
 
 @query("p09_quantile_buckets", ", e AS (SELECT quantile_cont(hours, 0.25) AS a, quantile_cont(hours, 0.5) AS b, quantile_cont(hours, 0.75) AS c FROM inter) SELECT CAST((hours >= a)::INT + (hours >= b)::INT + (hours >= c)::INT AS INT) AS bucket, count(*) AS n, round(avg(hours_t), 6) AS mean FROM inter CROSS JOIN e GROUP BY 1")
 def quantile_buckets(b: Base) -> DataFrame:
-    rows = b.interactions()
-    edges = rows.agg(F.percentile("hours", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
-    bucket = sum((F.col("hours") >= F.col("e")[k]).cast("int") for k in range(3))
+    rows = b.stored()
+    edges = stats.quantiles(rows, {f"e{k}": ("hours", p) for k, p in enumerate((0.25, 0.5, 0.75))})
+    bucket = sum((F.col("hours") >= F.col(f"e{k}")).cast("int") for k in range(3))
     return rows.crossJoin(F.broadcast(edges)).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("hours_t")).alias("mean"))
 
 
@@ -307,10 +310,10 @@ def date_parts(b: Base) -> DataFrame:
     return b.table("orders").select("o_orderkey", F.year(d).alias("y"), F.date_format(d, "yyyy-MM").alias("ym"), F.unix_date(d).alias("day"), (F.year(d) * 12 + F.month(d)).alias("month_no"))
 
 
-@query("f05_clean_text", "SELECT doc_id, length(c) AS n, left(c, 60) AS head FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS c FROM documents)", frames=False)
+@query("f05_clean_text", "SELECT doc_id, length(c) AS n, c AS cleaned FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS c FROM documents)", frames=False)
 def clean_text(b: Base) -> DataFrame:
-    rows = b.table("documents").select("doc_id", T.collapsed("text").alias("c"))
-    return rows.select("doc_id", F.char_length("c").cast("long").alias("n"), F.left("c", F.lit(60)).alias("head"))
+    rows = b.table("documents").select("doc_id", T.collapsed("text").alias("cleaned"))
+    return rows.select("doc_id", F.char_length("cleaned").cast("long").alias("n"), "cleaned")
 
 
 @query("f05_whole_clean_text", "SELECT doc_id, length(c) AS n, sha256(c) AS digest FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS c FROM documents)", frames=False)

@@ -278,12 +278,15 @@ def tfidf_profile_cosine(b: Base) -> DataFrame:
     return both.groupBy("source", "lang").agg(r6(F.sum(F.col("v_source") * F.col("v_lang")) / (F.first("n_source") * F.first("n_lang"))).alias("cosine"))
 
 
-@query("m21_item_texts", "SELECT source, string_agg(left(text, 50), ' | ' ORDER BY r) AS body, count(*) AS n FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS q FROM documents) WHERE q = 1) WHERE r <= 5 GROUP BY source", frames=False)
+@query("m21_item_texts", "SELECT source, string_agg(text, ' | ' ORDER BY r) AS body, count(*) AS n FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS q FROM documents) WHERE q = 1) WHERE r <= 5 GROUP BY source", frames=False)
 def item_texts(b: Base) -> DataFrame:
-    docs = b.table("documents").select("source", "doc_id", "n_chars", F.sha2("text", 256).alias("same"), F.left("text", F.lit(50)).alias("head"))
-    one = docs.groupBy("source", "same").agg(F.min_by(F.struct("n_chars", "doc_id", "head"), "doc_id").alias("x")).select("source", "x.*")
+    """The five longest different texts of each source, whole. They are chosen by lengths and digests; only the chosen
+    ones are read again and joined."""
+    docs = b.table("documents").select("source", "doc_id", "n_chars", F.sha2("text", 256).alias("same"))
+    one = docs.groupBy("source", "same").agg(F.min_by(F.struct("n_chars", "doc_id"), "doc_id").alias("x")).select("source", "x.*")
     best = one.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("r <= 5")
-    return best.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "head"))), lambda x: x["head"]), " | ").alias("body"), F.count(F.lit(1)).alias("n"))
+    rows = b.table("documents").select("doc_id", "text").join(best, "doc_id")
+    return rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), " | ").alias("body"), F.count(F.lit(1)).alias("n"))
 
 
 EMB = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators import evaluation, fusion, ranking
+from rankloom.operators import evaluation, fusion, ranking, stats
 from rankloom.plans.base import Base
 from rankloom.plans.registry import query
 
@@ -270,12 +270,12 @@ def boundary_pairs(b: Base) -> DataFrame:
 MASK = ", us AS (SELECT u, max(deg) AS deg, avg(pop) AS mean_pop FROM base GROUP BY u), q AS (SELECT quantile_cont(deg, 0.25) AS lo, quantile_cont(mean_pop, 0.75) AS hi FROM us)"
 
 
-@query("b15_user_masks", MASK + " SELECT u, CAST(deg <= lo AS INT) AS short, CAST(mean_pop >= hi AS INT) AS popular, CAST(deg <= lo OR mean_pop >= hi AS INT) AS either FROM us CROSS JOIN q")
+@query("b15_user_masks", MASK + " SELECT u, CAST(deg <= lo AS INT) AS short, CAST(mean_pop >= hi AS INT) AS popular, CAST(deg <= lo OR mean_pop >= hi AS INT) AS either, CAST(deg <= lo AND mean_pop >= hi AS INT) AS \"both\" FROM us CROSS JOIN q")
 def user_masks(b: Base) -> DataFrame:
     users = b.scored().groupBy("u").agg(F.max("deg").alias("deg"), F.avg("pop").alias("mean_pop"))
-    q = users.agg(F.percentile("deg", 0.25).alias("lo"), F.percentile("mean_pop", 0.75).alias("hi"))
+    q = stats.quantiles(users, {"lo": ("deg", 0.25), "hi": ("mean_pop", 0.75)})
     low, high = F.col("deg") <= F.col("lo"), F.col("mean_pop") >= F.col("hi")
-    return users.crossJoin(F.broadcast(q)).select("u", low.cast("int").alias("short"), high.cast("int").alias("popular"), (low | high).cast("int").alias("either"))
+    return users.crossJoin(F.broadcast(q)).select("u", low.cast("int").alias("short"), high.cast("int").alias("popular"), (low | high).cast("int").alias("either"), (low & high).cast("int").alias("both"))
 
 
 @query("b16_pop_correction", ZS + " SELECT a AS alpha, CAST(sum(CAST(pn = label AS INT)) AS BIGINT) AS right_rows FROM (SELECT a, label, CAST(row_number() OVER (PARTITION BY a, u ORDER BY round(z2 - a * z1, 9) DESC, id) <= k AS INT) AS pn FROM zs CROSS JOIN (SELECT unnest([0.0, 0.2, 0.5])::DOUBLE AS a)) GROUP BY 1")
@@ -285,9 +285,9 @@ def pop_correction(b: Base) -> DataFrame:
     return rows.groupBy("alpha").agg(F.sum((F.col("pred") == F.col("label")).cast("int")).alias("right_rows"))
 
 
-@query("b17_negative_reweight", ", ng AS (SELECT *, (s1 - avg(s1) OVER ()) / stddev_pop(s1) OVER () AS zz FROM preds WHERE label = 0) SELECT beta, round(sum(exp(beta * zz) * CAST(p1 = 0 AS INT)) / sum(exp(beta * zz)), 6) AS \"right\" FROM ng CROSS JOIN (SELECT unnest(range(-20, 21)) / 5 AS beta) GROUP BY beta")
+@query("b17_negative_reweight", ", ng AS (SELECT *, (s1 - avg(s1) OVER ()) / stddev_pop(s1) OVER () AS zz FROM preds WHERE label = 0) SELECT beta, round(sum(exp(beta * zz) * CAST(p1 = 0 AS INT)) / sum(exp(beta * zz)), 6) AS \"right\" FROM ng CROSS JOIN (SELECT unnest(range(-80, 81)) / 20 AS beta) GROUP BY beta")
 def negative_reweight(b: Base) -> DataFrame:
-    return rounded(fusion.negative_weights(ranking.top_half(b.scored(), "s1"), "s1", [n / 5 for n in range(-20, 21)]))
+    return rounded(fusion.negative_weights(ranking.top_half(b.scored(), "s1"), "s1", [n / 20 for n in range(-80, 81)]))
 
 
 FB = "count_if(p1 <> label AND p2 = label) AS fixes, count_if(p1 = label AND p2 <> label) AS breaks"
@@ -321,8 +321,6 @@ def decorrelation(b: Base) -> DataFrame:
 
 @query("e09_boundary_auc", PAIR + ", x AS (SELECT top_label AS y, rank() OVER (ORDER BY round(top2 - next2, 9)) AS r, count(*) OVER (PARTITION BY round(top2 - next2, 9)) AS c FROM edge WHERE top_label + next_label = 1) SELECT round((sum((r + (c - 1) / 2) * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc FROM x")
 def boundary_auc(b: Base) -> DataFrame:
-    from rankloom.operators import stats
-
     rows = edges(b).where("top_label + next_label = 1").select(F.col("top_label").alias("label"), F.round(F.col("top_s2") - F.col("next_s2"), 9).alias("x"))
     return rounded(stats.auc(rows, "x"))
 

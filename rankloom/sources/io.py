@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -65,20 +66,58 @@ def scores(df: DataFrame, keys: tuple[str, ...] = ("ID", "userID", "gameID"), pr
     return require(df, *keys).select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c.startswith("score_")])
 
 
-def ensemble(files: list[DataFrame], score: str, keys: tuple[str, ...] = ("ID",)) -> DataFrame:
-    """Keys with mean, sd (population) and n of a score over several files; check n against the number of files."""
+def score_columns(df: DataFrame, include: str | None = None, exclude: str | None = None, wanted: list[str] | None = None) -> list[str]:
+    """The score_* columns, or the wanted ones, that the pattern `include` is found in and `exclude` isn't."""
+    names = require(df, *wanted).select(*wanted).columns if wanted else [c for c in df.columns if c.startswith("score_")]
+    return [c for c in names if (include is None or re.search(include, c)) and (exclude is None or not re.search(exclude, c))]
+
+
+def ensemble(files: list[DataFrame], score: str, keys: tuple[str, ...] = ("ID",), strict: bool = True) -> DataFrame:
+    """Keys with mean, sd (population) and n of a score over several files.
+
+    strict: a key that doesn't stand once in every file is an error when the result is computed; else n tells.
+    """
     rows = files[0].select(*keys, score)
     for f in files[1:]:
         rows = rows.unionByName(f.select(*keys, score))
-    return rows.groupBy(*keys).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"), F.count(F.lit(1)).alias("n"))
+    out = rows.groupBy(*keys).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"), F.count(F.lit(1)).alias("n"))
+    if not strict:
+        return out
+    missing = F.raise_error(F.concat(F.lit("not once in every file: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    return out.withColumn("n", F.when(F.col("n") == len(files), F.col("n")).otherwise(missing.cast("long")))
 
 
 def label_file(df: DataFrame) -> DataFrame:
-    """ID, label of a file whose label column is called Played or Label."""
-    name = next((c for c in ("Played", "Label") if c in df.columns), None)
+    """ID, label of a file whose label column is called Label or Played."""
+    name = next((c for c in ("Label", "Played") if c in df.columns), None)
     if name is None:
-        raise ValueError("missing columns: Played or Label")
-    return require(df, "ID").select(F.col("ID").cast("long").alias("ID"), F.col(name).cast("int").alias("label"))
+        raise ValueError("missing columns: Label or Played")
+    return require(df, "ID").select(F.col("ID").cast("long").alias("ID"), F.col(name).try_cast("int").alias("label"))
+
+
+def label_checks(df: DataFrame) -> DataFrame:
+    """One row: n_rows, ids, lo, hi, not_binary (labels other than 0 and 1, or none), contiguous (1 if the IDs are all
+    the numbers from lo to hi, once each)."""
+    out = label_file(df).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ID").alias("ids"), F.min("ID").alias("lo"), F.max("ID").alias("hi"), F.count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).alias("not_binary"))
+    whole = (F.col("ids") == F.col("n_rows")) & (F.col("hi") - F.col("lo") + 1 == F.col("n_rows"))
+    return out.withColumn("contiguous", F.coalesce(whole, F.lit(False)).cast("int"))
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """Each row as a JSON object in a line of its own, nulls included."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def markdown(df: DataFrame) -> DataFrame:
+    """line: a row as a line of a Markdown table, nulls as empty cells, bars escaped."""
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "\\R", " ")
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |")).alias("line"))
+
+
+def write_markdown(df: DataFrame, path: str) -> None:
+    """A table of a report as Markdown, in one file and in the order of df: meant for summaries, not for data."""
+    head = df.sparkSession.createDataFrame([("| " + " | ".join(df.columns) + " |",), ("|" + " --- |" * len(df.columns),)], "line string").coalesce(1)
+    head.unionByName(markdown(df).coalesce(1)).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_submission(df: DataFrame, path: str) -> None:
