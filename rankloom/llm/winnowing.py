@@ -1,8 +1,9 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is read without its white space. A k-gram of 4 k signs begins at every sign (code point); each window of 4 w
-neighbouring k-grams keeps its smallest hash, the rightmost of equal ones, and the kept hashes with their positions are
-the fingerprint. Any run of 4 (w + k) - 1 signs that two texts share, at any place, leaves a common hash.
+A text is read without its white space. A k-gram of 4 k signs begins at every sign (code point); its hash rolls on from
+those of its two halves, which are halves of its neighbours too. Each window of 4 w neighbouring k-grams keeps its
+smallest hash, the rightmost of equal ones, and the kept hashes with their positions are the fingerprint. Any run of
+4 (w + k) - 1 signs that two texts share, at any place, leaves a common hash.
 """
 
 from __future__ import annotations
@@ -35,11 +36,14 @@ def with_keys(rows: DataFrame, texts: dict[str, str], k: int = 4, window: int =
     k-gram, in order of first choice. k and window are powers of two, in units of four signs."""
     out, signs, reach = list(texts), UNIT * k, UNIT * window
     rows = rows.withColumns({c: F.regexp_replace(t, r"(?U)\s+", "") for c, t in texts.items()})
-    # An empty match moves on by half a surrogate pair, where no gram begins: such a half is in Cs. The last gram or, of a
-    # short text, the only one is all that is left.
-    gram = rf"(?s)(?=(\P{{Cs}}.{{{signs - 1}}}))"
-    rows = rows.withColumns({c: F.when(F.char_length(c) > signs, F.regexp_extract_all(F.col(c), F.lit(gram), F.lit(1))).when(F.char_length(c) > 0, F.array(F.col(c))).otherwise(F.array().cast("array<string>")) for c in out})
-    rows = rows.withColumns({c: F.transform(c, lambda p, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(p), 32), 31).bitwiseOR(F.lit(LOW) - i)) for c in out})
+    # A text shorter than a k-gram is one; an empty one has none.
+    rows = rows.withColumns({c: F.when(F.char_length(c) >= signs, F.transform(F.split(F.col(c), F.lit("")), lambda p: F.xxhash64(p))).when(F.char_length(c) > 0, F.array(F.xxhash64(c))).otherwise(F.array().cast("array<bigint>")) for c in out})
+    step = 1
+    while step < signs:
+        both = {c: F.zip_with(F.slice(c, 1, F.size(c) - step), F.slice(c, step + 1, 1 << 30), lambda a, b: F.xxhash64(a, b)) for c in out}
+        rows = rows.withColumns({c: F.when(F.size(c) > step, x).otherwise(F.col(c)) for c, x in both.items()})
+        step *= 2
+    rows = rows.withColumns({c: F.transform(c, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(F.lit(LOW) - i)) for c in out})
     # zip_with pads with null, which least ignores: the tails are cut off after it.
     rows = _doubled(rows, out, reach, lambda a, b: F.least(a, b))
     return rows.withColumns({c: F.array_distinct(F.slice(c, 1, F.greatest(F.size(c) - (reach - 1), F.lit(1)))) for c in out})
@@ -60,31 +64,36 @@ def hashes_of(keys: Column) -> Column:
     return F.array_distinct(F.transform(keys, lambda x: F.shiftrightunsigned(x, 31)))
 
 
-def with_next(rows: DataFrame, columns: list[str], prepare=None, bucket_rows: int = 2000) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], prepare=None, bucket_rows: int = 2000, coarse: int = 512, fine: int = 128) -> DataFrame:
     """Each row, after `prepare` (which may add columns to it), with `next_<column>` of the row that follows it by descending doc_id; after the last, the first.
 
-    Rows are dealt into ranges of doc_id by quantiles (at most 4096 bounds); a range ends with a copy of the row that
-    heads the range after it, so one exchange serves all. Null ids come last; rows of one id stand in the order of
-    their texts.
+    Rows are dealt into ranges of doc_id, about one for bucket_rows rows: between quantiles, at most `coarse`, and where
+    these don't do, into up to `fine` equal parts of each. A range ends with a copy of the row that heads the range after
+    it, so one exchange serves all; the ranges' heads are a table of at most coarse * fine + 1 rows. Null ids come last;
+    rows of one id stand in the order of their texts.
     """
-    total, bounds = rows.select("doc_id").agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [i / 512 for i in range(1, 512)], 20000)).first()
-    wanted = min(512, max(1, total // bucket_rows + 1, 2 * shuffle_partitions(rows.sparkSession) if total > 10_000 else 1))
-    bounds = sorted({b for i, b in enumerate(bounds or []) if (i + 1) * wanted // 512 > i * wanted // 512})
-    place = F.lit(-1) if not bounds else F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))))
-    dealt = rows.withColumn("range", place)
+    total, low, high, bounds = rows.select("doc_id").agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / coarse for i in range(1, coarse)], 20000)).first()
+    wanted = max(1, total // bucket_rows + 1, 2 * shuffle_partitions(rows.sparkSession) if total > 10_000 else 1)
+    n, parts = min(coarse, wanted), min(fine, -(-wanted // coarse))
+    bounds = sorted({b for i, b in enumerate(bounds or []) if (i + 1) * n // coarse > i * n // coarse and b < high})
+    place = F.lit(-1)
+    if high is not None:
+        at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
+        begin, end = (F.element_at(F.array(*[F.lit(float(x)) for x in xs]), at + 1) for xs in ([low, *bounds], [*bounds, high]))
+        share = (F.col("doc_id").cast("double") - begin) / F.greatest(end - begin, F.lit(1.0))
+        inner = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor(share * parts).cast("int")))
+        place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * parts + inner)
+    dealt = rows.withColumn("range", place.cast("int"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     # The head of each range goes to the end of the range above it; that of the highest to the end of the lowest.
-    tops = {r["range"]: r["top"] for r in dealt.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
-    there = sorted(tops, reverse=True)
-    prepare = prepare or (lambda x: x)
-    if not there:
-        return prepare(rows).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    goes = F.create_map(*[F.lit(x) for pair in zip(there, [there[-1], *there[:-1]]) for x in pair])
-    heads = F.create_map(*[F.lit(x).cast("long") for r in there for x in (r, tops[r])])
+    heads = dealt.groupBy("range").agg(F.max("doc_id").alias("head"))
+    above = F.lead("range").over(Window.orderBy("range"))
+    heads = heads.withColumn("above", above).crossJoin(heads.agg(F.min("range").alias("lowest"))).select(F.col("range").alias("of"), "head", F.coalesce("above", "lowest").alias("goes"))
     kept = dealt.withColumn("doubled", F.lit(False))
-    ends = dealt.where(F.col("doc_id").eqNullSafe(heads[F.col("range").cast("long")]))
-    ends = ends.withColumn("range", goes[F.col("range")]).withColumn("doubled", F.lit(True))
+    ends = dealt.join(F.broadcast(heads), (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    ends = ends.select(*rows.columns, F.col("goes").alias("range"), F.lit(True).alias("doubled"))
     w = Window.partitionBy("range").orderBy("doubled", *order)
+    prepare = prepare or (lambda x: x)
     both = prepare(kept.unionByName(ends).repartition("range")).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return both.where(~F.col("doubled")).drop("range", "doubled")
 

@@ -271,6 +271,49 @@ def test_fingerprints(docs, none):
     assert len(sets[7] & sets[8]) > 0.7 * len(sets[7])
 
 
+def test_next_rows_over_many_ranges(spark):
+    r = random.Random(9)
+    ids = [*r.sample(range(-(10**6), 10**6), 200), *range(50), 7, 7, 2**62, None, None]
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = Counter((a, b[1]) for a, b in zip(order, order[1:] + order[:1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for coarse, fine in ((512, 128), (4, 16), (3, 1)):
+        found = winnowing.with_next(df, ["text"], bucket_rows=5, coarse=coarse, fine=fine).collect()
+        assert Counter(((x.doc_id, x.text), x.next_text) for x in found) == want
+
+
+def winnowed(text, k=4, window=8):
+    """Positions that winnowing keeps, by plain loops over the k-grams' own order of hashes."""
+    gone = "".join(text.split())
+    n = len(gone)
+    grams = [gone[i : i + 4 * k] for i in range(max(1, n - 4 * k + 1))] if n else []
+    return gone, grams
+
+
+def test_fingerprints_match_plain_loops(spark):
+    """The kept positions are those of the smallest hash of each window, the rightmost of equal ones."""
+    texts = [t for _, t, *_ in corpus() if t][:14] + ["日本語" * 30, "ab" * 200, "a" * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    all_keys = {r.doc_id: r.own for r in winnowing.with_keys(df, {"own": "t"}, window=1, k=4).select("doc_id", "own").collect()}
+    # With windows of four neighbours every hash of four in a row can be told; wider windows must choose among them.
+    wide = {r.doc_id: r.own for r in winnowing.with_keys(df, {"own": "t"}).select("doc_id", "own").collect()}
+    for i, text in enumerate(texts):
+        gone, grams = winnowed(text)
+        places = [winnowing.LOW - (x & winnowing.LOW) for x in wide[i]]
+        assert set(wide[i]) <= set(all_keys[i])
+        assert places == sorted(places) and all(b - a <= 32 for a, b in zip(places, places[1:]))
+        if len(grams) > 32:
+            assert places[0] < 32 and places[-1] >= len(grams) - 32
+            known = {winnowing.LOW - (x & winnowing.LOW): x >> 31 for x in all_keys[i]}
+            for begin in range(len(grams) - 31):
+                inside = {p: h for p, h in known.items() if begin <= p < begin + 32}
+                least = min(inside.values())
+                assert max(p for p, h in inside.items() if h == least) in places
+        elif grams:
+            assert len(places) == 1
+
+
 def test_winnowing_keeps_the_rightmost_smallest(spark):
     text = "aa bb aa bb aa bb aa bb aa bb aa bb aa bb aa bb"
     keys = winnowing.with_keys(spark.createDataFrame([(text,)], "t string"), {"own": "t"}, k=2, window=4).first().own
