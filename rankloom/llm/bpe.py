@@ -12,13 +12,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import docs_of, in_arrow, slices
+from .common import docs_of, held, in_arrow, slices
 
 #: The words' pattern of the tokenizer file, for ASCII, and the signs that str.split() takes for spaces but
 #: \s doesn't.
@@ -235,9 +234,8 @@ class Encoder:
         return b"".join(out)[:-1]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(f"bpe:{path}", lambda: Encoder(path))
 
 
 def digest_batch(path: str):

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from rankloom.session import materialise, scratch, shared_dir, ship, shuffle_partitions
 
-__all__ = ["beside", "docs_of", "with_new", "in_arrow", "labelled_sample", "materialise", "scratch", "shared_dir", "ship", "shuffle_partitions", "slices", "table", "unit_hash"]
+__all__ = ["beside", "docs_of", "held", "with_new", "in_arrow", "labelled_sample", "materialise", "scratch", "shared_dir", "ship", "shuffle_partitions", "slices", "table", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,16 +24,29 @@ def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def beside(columns: list[str], made: tuple[str, ...]) -> list[str]:
-    """The columns that stay beside an operator's new ones: all but text and those of the new names."""
-    return [c for c in columns if c.lower() not in ("text", *made)]
+_HELD: dict[str, object] = {}
 
 
-def with_new(df: DataFrame, made: str) -> tuple[DataFrame, StructType]:
-    """df without the columns that give way to the new ones, and the schema of the rest with the new in place of text."""
+def held(name: str, make: Callable[[], object]) -> object:
+    """The one large object (a model, an encoder) that a worker keeps between batches: another name takes its place, so
+    that workers that serve several operators don't gather them."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def beside(columns: list[str], made: tuple[str, ...], keep_text: bool = False) -> list[str]:
+    """The columns that stay beside an operator's new ones: all but those of the new names, and text if it isn't kept."""
+    return [c for c in columns if c.lower() not in made and (keep_text or c.lower() != "text")]
+
+
+def with_new(df: DataFrame, made: str, keep_text: bool = False) -> tuple[DataFrame, StructType]:
+    """df without the columns that give way to the new ones, and the schema of what stays with the new ones behind it."""
     new = StructType.fromDDL(made)
-    kept = df.select(*[F.col(f"`{c}`") for c in [*beside(df.columns, tuple(new.names)), "text"]])
-    return kept, StructType([*[f for f in kept.schema.fields if f.name != "text"], *new.fields])
+    stay = beside(df.columns, tuple(new.names), keep_text)
+    kept = df.select(*[F.col(f"`{c}`") for c in (stay if keep_text else [*stay, "text"])])
+    return kept, StructType([*[kept.schema[c] for c in stay], *new.fields])
 
 
 def in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
@@ -44,6 +57,8 @@ def in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | No
         for batch in batches:
             if batch.num_rows and (out := each(batch)) is not None:
                 yield out
+        # Workers are used again: what Arrow holds for later goes back.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, in_arrow, ship, slices, unit_hash, with_new
+from .common import beside, held, in_arrow, ship, slices, unit_hash, with_new
 
 U64 = np.uint64
 #: Longest words, in signs, that expectation maximisation takes whole and whose chance a double holds for certain; signs
@@ -27,7 +27,7 @@ TAUGHT, PART = 32, 4096
 #: Chance of a sign that no piece covers.
 UNKNOWN = 1e-7
 #: Values that a task remembers of words before it starts anew, and that a block of words fills at a time.
-MEMORY, BLOCK = 2_000_000, 1_000_000
+MEMORY, BLOCK = 1_000_000, 1_000_000
 START = "▁"
 
 
@@ -212,15 +212,11 @@ class Scorer:
         return np.array([self.values[list(map(get, s))].sum(axis=0, dtype=np.float64) for s in split]).reshape(len(texts), -1)
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def predict_batch(name: str, languages: list[str], path: str, shared, words_for_certainty: float):
+def predict_batch(name: str, languages: list[str], path: str, shared, words_for_certainty: float, keep_text: bool):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(languages, lattice_of(path), shared.value)
-        scorer, predicted, scores = _SCORERS[name], [], []
+        scorer = held(name, lambda: Scorer(languages, lattice_of(path), shared.value))
+        predicted: list[str] = []
+        scores: list[float] = []
         for part in slices(batch, most_bytes=1 << 20):
             values = scorer.texts([t or "" for t in part.column("text").to_pylist()])
             for line in values:
@@ -235,7 +231,7 @@ def predict_batch(name: str, languages: list[str], path: str, shared, words_for_
                 best = int(line[:-1].argmax())
                 predicted.append(languages[best])
                 scores.append(float(chance[best] / chance.sum()))
-        names = beside(batch.schema.names, ("lang_pred", "score"))
+        names = beside(batch.schema.names, ("lang_pred", "score"), keep_text)
         return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     return run
@@ -278,8 +274,8 @@ def fit(labelled: DataFrame, vocabulary_path: str, sample: int = 600) -> tuple[l
     return names, np.array([models[k] for k in names]).reshape(len(names), len(pieces)).T
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_path: str, words_for_certainty: float = 40.0) -> DataFrame:
-    """The other columns of docs with lang_pred and score in place of text, for every row.
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_path: str, words_for_certainty: float = 40.0, keep_text: bool = False) -> DataFrame:
+    """The other columns of docs with lang_pred and score, and the text if wanted, for every row.
 
     A null text and one without a letter give 'und' with score 0, as does a model without languages. Empty tables give
     empty results; repeated rows are each scored. Columns of docs that are named lang_pred or score give way to the new
@@ -290,8 +286,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_pa
     languages, probs = model
     name = hashlib.sha256(repr(languages).encode() + probs.tobytes()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(probs)
-    kept, schema = with_new(docs, "lang_pred string, score double")
-    return in_arrow(kept, predict_batch(name, languages, vocabulary_path, shared, words_for_certainty), schema)
+    kept, schema = with_new(docs, "lang_pred string, score double", keep_text)
+    return in_arrow(kept, predict_batch(name, languages, vocabulary_path, shared, words_for_certainty, keep_text), schema)
 
 
 def bucket(doc_id: str | Column, n: int) -> Column:

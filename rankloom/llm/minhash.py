@@ -29,6 +29,8 @@ BASE = 0x9E3779B97F4A7C55 | 1
 #: The bytes that separate words.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of a text that are cut into words at a time; a longer word is read whole.
+PART = 1 << 20
 #: Elements that a call of the signature loop holds at a time.
 CHUNK = 49_152
 #: Members of a tile's block, and shingles of its sets; how far below the bound a signature's estimate may be, 5.8 of its
@@ -64,10 +66,22 @@ POWERS = Powers()
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word of a text, A-Z lower-cased."""
+    """A 64-bit hash of each word of a text, A-Z lower-cased. Long texts are read in parts that end between words."""
     signs = np.frombuffer(text.encode().lower(), np.uint8)
-    if not len(signs):
-        return np.zeros(0, U64)
+    out, begin = [], 0
+    while begin < len(signs):
+        end = min(begin + PART, len(signs))
+        while end < len(signs):  # on to the next word's end
+            gap = SPACES[signs[end : end + PART]]
+            end += int(gap.argmax()) if gap.any() else len(gap)
+            if gap.any():
+                break
+        out.append(hashes_of_words(signs[begin:end]))
+        begin = end
+    return out[0] if len(out) == 1 else np.concatenate(out or [np.zeros(0, U64)])
+
+
+def hashes_of_words(signs: np.ndarray) -> np.ndarray:
     gap = SPACES[signs]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True]))))
     begin, end = edge[::2], edge[1::2]

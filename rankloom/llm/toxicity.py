@@ -24,13 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, in_arrow, labelled_sample, ship, slices, with_new
+from .common import beside, held, in_arrow, labelled_sample, ship, slices, with_new
 
 WORD = re.compile(r"\w+")
 PREFIX = 5
 RARE = 50
 #: Documents that are searched for at a time.
-TOGETHER = 128
+TOGETHER = 64
 
 
 def counted(text: str) -> dict[str, int]:
@@ -232,16 +232,12 @@ def frequencies(docs: DataFrame, names: list[str]) -> np.ndarray:
     return feature_weights(df[-1], df[:-1])
 
 
-_MODELS: dict[str, Model] = {}
 MADE = ("score", "evidence")
 
 
-def score_batch(shared, name: str, evidence: int):
+def score_batch(shared, name: str, evidence: int, keep_text: bool):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = shared.value
-        model, scores, shown = _MODELS[name], [], []
+        model, scores, shown = held(name, lambda: shared.value), [], []
         for part in slices(batch, most_rows=TOGETHER):
             texts = [t or "" for t in part.column("text").to_pylist()]
             if not len(model.labels):
@@ -250,16 +246,19 @@ def score_batch(shared, name: str, evidence: int):
                 continue
             at, cosine, _ = model.index.nearest([model.index.known(counted(t)) for t in texts], model.k)
             scores += model.scores(at, cosine).tolist()
+            if not evidence:
+                shown += [[] for _ in texts]
+                continue
             shown += [[{"doc_id": model.ids[i], "cosine": c, "label": int(model.labels[i])} for i, c in zip(a, b) if c > 0] for a, b in zip(at[:, :evidence].tolist(), cosine[:, :evidence].tolist())]
-        names = beside(batch.schema.names, MADE)
+        names = beside(batch.schema.names, MADE, keep_text)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(scores, pa.float64()), pa.array(shown, kind)], [*names, *MADE])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
-    """The other columns of docs with score and evidence (nearest examples) in place of text, for every row.
+def score(docs: DataFrame, model: Model, evidence: int = 3, keep_text: bool = False) -> DataFrame:
+    """The other columns of docs with score and evidence (that many nearest examples), and the text if wanted, for every row.
 
     Null and empty texts, and texts without a known feature, get the score of no neighbours, about that of the labels'
     shares. Empty tables give empty results; repeated rows are each scored. Columns of docs that are named score or
@@ -270,5 +269,5 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     name = hashlib.sha256(pickle.dumps((model.labels.tobytes(), model.ids, model.index.weights.tobytes(), model.slope, model.shift))).hexdigest()
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept, schema = with_new(docs, "score double, evidence array<struct<doc_id: long, cosine: double, label: int>>")
-    return in_arrow(kept, score_batch(shared, name, evidence), schema)
+    kept, schema = with_new(docs, "score double, evidence array<struct<doc_id: long, cosine: double, label: int>>", keep_text)
+    return in_arrow(kept, score_batch(shared, name, evidence, keep_text), schema)
