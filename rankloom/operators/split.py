@@ -118,6 +118,21 @@ def binned_negatives(wanted: DataFrame, items: DataFrame, seen: DataFrame, seed:
     return inside.withColumn("in_bin", F.lit(1)).unionByName(rest.select("u", "i", F.lit(0).alias("in_bin")))
 
 
+def community_negatives(wanted: DataFrame, items: DataFrame, seen: DataFrame, seed: str) -> DataFrame:
+    """u, i: for each user, community and bin as many unseen items (community, bin, i, w) as wanted (u, community, bin, k),
+    drawn by weight.
+
+    Bins may share items. What two bins of a user draw is taken once, and made up for from all bins of the community.
+    """
+    first = materialise(weighted_negatives(wanted, items, seen, seed, keys=("u", "community", "bin")).select("u", "i").distinct(), "by-bin")
+    total = wanted.groupBy("u", "community").agg(F.sum("k").alias("total"))
+    had = first.groupBy("u").agg(F.count(F.lit(1)).alias("had"))
+    short = total.join(had, "u", "left").select("u", "community", (F.col("total") - F.coalesce("had", F.lit(0))).alias("k")).where("k > 0")
+    whole = items.groupBy("community", "i").agg(F.max("w").alias("w"))
+    rest = weighted_negatives(short, whole, seen.select("u", "i").unionByName(first), f"{seed}rest:", keys=("u", "community"))
+    return first.unionByName(rest.select("u", "i"))
+
+
 def triplets(pairs: DataFrame, items: DataFrame, seen: DataFrame, seed: str, tries: int = 6) -> DataFrame:
     """u, pos, neg: for each pair (u, i) an item that the user hasn't seen, by the first hash draw that hits one; for
     users who have seen nearly all, one of what is left. Users who have seen all have no row."""

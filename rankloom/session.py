@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -46,9 +47,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, as in tests, one of our own."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = os.environ.get("RANKLOOM_SHARED_DIR") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         os.environ["RANKLOOM_SHARED_DIR"] = path
@@ -63,10 +66,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def clear_scratch() -> None:
+    """Delete the tables that materialise() wrote in this process; frames that read them are then of no use."""
+    while _WRITTEN:
+        path, spark = _WRITTEN.popitem()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001, S110  the session is gone, and its scratch folder is the cluster's to clear
+            pass
+
+
+atexit.register(clear_scratch)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    _WRITTEN[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

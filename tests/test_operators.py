@@ -87,10 +87,12 @@ def test_bm25_clips_and_tfidf_changes_no_cosine(spark):
 
 def test_missing_similarities_count_as_zero(spark):
     cand = spark.createDataFrame([(1, 1, 5)], "id long, u long, i long")
-    hist = spark.createDataFrame([(1, 1, 2.0), (1, 2, 4.0)], "u long, i long, hours double")
-    sims = spark.createDataFrame([(5, 1, 0.8)], "i long, j long, sim double")
-    r = similarity.item_knn(cand, hist, sims).first()
-    assert (r.knn_sum, r.knn_max, r.knn_top3) == (0.8, 0.8, 0.4) and r.knn_hours == pytest.approx(1.6 / (6 + 1e-6))
+    hist = spark.createDataFrame([(1, 1, 2.0), (1, 2, 4.0), (2, 5, 1.0), (2, 1, 1.0)], "u long, i long, hours double")
+    pairs = spark.createDataFrame([(1, 5, 0.8)], "i long, j long, s double")
+    assert sorted((r.sim, r.hours) for r in similarity.history_similarities(cand, hist, pairs, "hours").collect()) == [(0.0, 4.0), (0.8, 2.0)]
+    r = similarity.item_knn(cand, hist).first()
+    # Items 5 and 1 share one user of one and of two: 1 / sqrt(2).
+    assert (r.knn_sum, r.knn_max, r.knn_top3) == pytest.approx((0.5**0.5, 0.5**0.5, 0.5**0.5 / 2)) and r.knn_hours == pytest.approx(2 * 0.5**0.5 / 6, rel=1e-5)
 
 
 def test_neighbours_repeat_their_last_item(spark):
@@ -196,3 +198,193 @@ def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     q = windowed_counts(stream, "1 day").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("counts").agg(F.sum("n")).first()[0] == events.count()
+
+
+def long_matrix(spark, seed=3, users=40, items=30, per=8):
+    import random
+
+    r = random.Random(seed)
+    pairs = [(u, i * 3 + 1) for u in range(users) for i in r.sample(range(items), per)]
+    return pairs, spark.createDataFrame(pairs, "u long, i long")
+
+
+def dense(pairs):
+    import numpy as np
+
+    us, its = sorted({u for u, _ in pairs}), sorted({i for _, i in pairs})
+    m = np.zeros((len(us), len(its)))
+    for u, i in pairs:
+        m[us.index(u), its.index(i)] = 1
+    return m, us, its
+
+
+def test_truncated_svd_and_low_pass_match_numpy(spark):
+    import numpy as np
+
+    from rankloom.operators import factors
+
+    pairs, rows = long_matrix(spark)
+    m, us, its = dense(pairs)
+    cand = spark.createDataFrame([(k, us[k % 7], its[k % 11]) for k in range(30)] + [(99, 1000, 1)], "id long, u long, i long")
+    u, s, vt = np.linalg.svd(m, full_matrices=False)
+    want = (u[:, :5] * s[:5]) @ vt[:5]
+    got = {r.id: r.s for r in factors.svd_scores(cand, rows.withColumn("w", F.lit(1.0)), 5).collect()}
+    assert all(abs(got[k] - want[us.index(us[k % 7]), its.index(its[k % 11])]) < 1e-6 for k in range(30)) and got[99] == 0
+    du, di = m.sum(1), m.sum(0)
+    n = m / np.sqrt(du)[:, None] / np.sqrt(di)[None, :]
+    v = np.linalg.svd(n, full_matrices=False)[2][:5].T
+    ideal = m @ ((v @ v.T) / np.sqrt(di)[:, None] * np.sqrt(di)[None, :])
+    linear = m @ (n.T @ n)
+    rows = {r.id: r for r in factors.low_pass(cand, rows, 5, 0.3).collect()}
+    for k in range(30):
+        a, b = us.index(us[k % 7]), its.index(its[k % 11])
+        assert abs(rows[k]["pass"] - ideal[a, b]) < 1e-6 and abs(rows[k].linear - linear[a, b]) < 1e-9
+        assert abs(rows[k].both - linear[a, b] - 0.3 * ideal[a, b]) < 1e-6
+
+
+def test_community_scores(spark):
+    from rankloom.operators import factors
+
+    rows = spark.createDataFrame([(1, 10), (2, 10), (2, 20), (3, 30)], "u long, i long")
+    members = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "u long, community int")
+    cand = spark.createDataFrame([(1, 1, 10), (2, 3, 10), (3, 9, 30)], "id long, u long, i long")
+    found = {r.id: r for r in factors.community_scores(cand, rows, members).collect()}
+    assert found[1].log_pop == pytest.approx(math.log(3)) and found[1].rate == pytest.approx(2 / 3) and found[1].blend == pytest.approx(1.25 * math.log(3))
+    assert found[2].rate == 0 and found[3].log_pop == 0
+
+
+def test_user_pairs_in_blocks_are_the_same_pairs(spark):
+    pairs, rows = long_matrix(spark, per=12)
+    want = Counter()
+    for u in {u for u, _ in pairs}:
+        own = sorted(i for v, i in pairs if v == u)
+        want.update((a, b) for x, a in enumerate(own) for b in own[x + 1 :])
+    for tile in (3, 5, 1024):
+        assert Counter((r.i, r.j) for r in similarity.user_pairs(rows, tile=tile).collect()) == want
+
+
+def test_user_knn_matches_all_pairs(spark):
+    pairs, rows = long_matrix(spark)
+    m, us, its = dense(pairs)
+    cand = [(k, us[k % 13], its[(k * 7) % 29]) for k in range(40)]
+    got = {r.id: r for r in similarity.user_knn(spark.createDataFrame(cand, "id long, u long, i long"), rows).collect()}
+    own = [set(i for v, i in pairs if v == u) for u in us]
+    for k, u, i in cand:
+        sims = [len(own[us.index(u)] & own[us.index(v)]) / math.sqrt(len(own[us.index(u)]) * len(own[us.index(v)])) for v in us if v != u and i in own[us.index(v)]]
+        # What a candidate shares with its user through the candidate itself doesn't count: it is not in the history.
+        if i not in own[us.index(u)]:
+            assert got[k].uknn_sum == pytest.approx(sum(sims)) and got[k].uknn_max == pytest.approx(max(sims)) and got[k].uknn_norm == pytest.approx(sum(sims) / math.sqrt(len(sims) + 1))
+
+
+def test_prefix_sums_and_quantiles_over_ranges(spark):
+    import random
+    import statistics
+
+    r = random.Random(4)
+    values = [r.choice([None, r.random(), r.randint(0, 5) * 1.0]) for _ in range(500)]
+    df = spark.createDataFrame([(v, k % 2) for k, v in enumerate(values)], "x double, g int")
+    known = sorted(v for v in values if v is not None)
+    found = stats.quantiles(df, {"a": ("x", 0.25), "b": ("x", 0.5), "c": ("x", 0.975)}).first()
+
+    def at(p):
+        k = (len(known) - 1) * p
+        low = known[math.floor(k)]
+        return low + (known[math.ceil(k)] - low) * (k - math.floor(k))
+
+    assert (found.a, found.b, found.c) == pytest.approx((at(0.25), statistics.median(known), at(0.975)))
+    hist = df.where("x is not null").groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"))
+    rows = stats.prefix_sums(hist, "x", ["c"], ("g",), descending=True).collect()
+    for row in rows:
+        assert row.c_before == sum(q.c for q in rows if q.g == row.g and q.x > row.x)
+
+
+def sampled(spark, users=30, items=60, have=20):
+    import random
+
+    r = random.Random(7)
+    seen = [(u, i) for u in range(users) for i in r.sample(range(items), have if u else items - 2)]
+    sizes = [(u, 4 if u else 5) for u in range(users)]
+    return seen, spark.createDataFrame(seen, "u long, i long"), spark.createDataFrame(sizes, "u long, k long")
+
+
+def test_weighted_negatives_reach_every_user_and_follow_weights(spark):
+    seen, seen_df, sizes = sampled(spark)
+    items = spark.createDataFrame([(i, i * i) for i in range(60)], "i long, w long")
+    got = [(r.u, r.i) for r in split.weighted_negatives(sizes, items, seen_df, "t:").collect()]
+    count = Counter(u for u, _ in got)
+    # The user who has seen all but two gets these two; the others their four.
+    assert len(set(got)) == len(got) and not set(got) & set(seen) and count[0] == 2 and all(count[u] == 4 for u in range(1, 30))
+    assert sum(i for u, i in got if u) / sum(1 for u, _ in got if u) > 38
+    assert split.weighted_negatives(sizes.where("u < 0"), items, seen_df, "t:").count() == 0
+
+
+def test_binned_negatives_fill_up_from_other_bins(spark):
+    _, seen_df, _ = sampled(spark)
+    seen = {(r.u, r.i) for r in seen_df.collect()}
+    items = spark.createDataFrame([(i, int(i >= 58), 5) for i in range(60)], "i long, bin int, w long")
+    wanted = spark.createDataFrame([(u, b, 2) for u in range(1, 30) for b in (0, 1)], "u long, bin int, k long")
+    got = split.binned_negatives(wanted, items, seen_df, "b:").collect()
+    assert Counter(r.u for r in got) == dict.fromkeys(range(1, 30), 4)
+    assert not {(r.u, r.i) for r in got} & seen and len({(r.u, r.i) for r in got}) == len(got)
+    assert any(not r.in_bin for r in got)  # bin 1 has two items, which many users have seen
+
+
+def test_community_negatives_and_triplets_are_unseen(spark):
+    seen_list, seen_df, _ = sampled(spark)
+    items = spark.createDataFrame([(c, b, i, 1 + i * c) for c in (0, 1) for b in (0, 1) for i in range(60) if abs(i // 30 - b) <= 1], "community int, bin int, i long, w long")
+    wanted = spark.createDataFrame([(u, u % 2, b, 2) for u in range(1, 30) for b in (0, 1)], "u long, community int, bin int, k long")
+    got = [(r.u, r.i) for r in split.community_negatives(wanted, items, seen_df, "c:").collect()]
+    assert len(set(got)) == len(got) and not set(got) & set(seen_list) and Counter(u for u, _ in got) == dict.fromkeys(range(1, 30), 4)
+    pairs = seen_df.where("u > 0")
+    found = split.triplets(pairs, items.select("i").distinct(), seen_df, "bpr:").collect()
+    assert len(found) == pairs.count() and not {(r.u, r.neg) for r in found} & set(seen_list)
+
+
+def test_propagation_of_vectors(spark):
+    import numpy as np
+
+    pairs, rows = long_matrix(spark)
+    m, us, its = dense(pairs)
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(len(us), 3)), r.normal(size=(len(its), 3))
+    users = spark.createDataFrame([(u, x[k].tolist()) for k, u in enumerate(us)], "u long, v array<double>")
+    items = spark.createDataFrame([(i, y[k].tolist()) for k, i in enumerate(its)], "i long, v array<double>")
+    a = m / np.sqrt(m.sum(1))[:, None] / np.sqrt(m.sum(0))[None, :]
+    want = [(x + a @ y + a @ (a.T @ x)) / 3, (y + a.T @ x + a.T @ (a @ y)) / 3]
+    got = graph.propagated(rows, users, items, 3, 2)
+    assert np.allclose([v for _, v in sorted((r.u, r.v) for r in got[0].collect())], want[0])
+    assert np.allclose([v for _, v in sorted((r.i, r.v) for r in got[1].collect())], want[1])
+    mean = 0.6 * x + 0.4 * (m / m.sum(1)[:, None]) @ y
+    got = graph.aggregated(rows, users, items, 3, 0.4)[0].collect()
+    assert np.allclose([v for _, v in sorted((r.u, r.v) for r in got)], mean / np.linalg.norm(mean, axis=1)[:, None])
+
+
+def test_ensembles_want_every_key_in_every_file(spark):
+    a, b = (spark.createDataFrame(x, "ID long, s double") for x in ([(1, 1.0), (2, 2.0)], [(1, 3.0)]))
+    assert {r.ID: (r.mean, r.n) for r in io.ensemble([a, b], "s", strict=False).collect()} == {1: (2.0, 2), 2: (2.0, 1)}
+    with pytest.raises(Exception, match="not once in every file"):
+        io.ensemble([a, b], "s").collect()
+
+
+def test_columns_label_files_and_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5, 0.1, "a|b"), (2, None, 0.2, None)], "ID long, score_a double, score_b double, note string")
+    assert io.score_columns(df, include="a|b", exclude="b$") == ["score_a"] and io.score_columns(df, wanted=["ID"]) == ["ID"]
+    with pytest.raises(ValueError):
+        io.score_columns(df, wanted=["nothing"])
+    checks = lambda rows: io.label_checks(spark.createDataFrame(rows, "ID long, Label string")).first().asDict()
+    assert checks([(0, "1"), (1, "0"), (2, "1")]) == {"n_rows": 3, "ids": 3, "lo": 0, "hi": 2, "not_binary": 0, "contiguous": 1}
+    assert checks([(0, "1"), (0, "2"), (5, "x")]) == {"n_rows": 3, "ids": 2, "lo": 0, "hi": 5, "not_binary": 2, "contiguous": 0}
+    assert [r.line for r in io.markdown(df.orderBy("ID")).collect()] == ["| 1 | 0.5 | 0.1 | a\\|b |", "| 2 |  | 0.2 |  |"]
+    io.write_markdown(df, str(tmp_path / "md"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "md")).collect()][:2] == ["| ID | score_a | score_b | note |", "| --- | --- | --- | --- |"]
+    io.write_jsonl(df, str(tmp_path / "jl"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "jl")).collect())[1] == '{"ID":2,"score_a":null,"score_b":0.2,"note":null}'
+
+
+def test_bootstraps_and_exact_binomial(spark):
+    rows = spark.createDataFrame([(k, k % 40, (k // 3) % 2, (k // 3) % 2 if k % 4 else 1 - (k // 3) % 2, (k // 3) % 2) for k in range(400)], "id long, u long, label int, pred int, other int")
+    pair = resampling.paired_bootstrap(rows, "pred", "other", 100).first()
+    assert 0.05 < pair.low < pair.mean < pair.high < 0.5 and abs(pair.mean - 0.25) < 0.05 and 0 < pair.error < 0.1
+    auc = resampling.auc_bootstrap(rows.select("id", F.col("pred").cast("double").alias("score"), "label"), 50).first()
+    assert auc.low <= auc.mean <= auc.high and abs(auc.mean - 0.75) < 0.05
+    assert stats.binomial_two_sided(1, 3) == 0.625 and stats.binomial_two_sided(0, 0) == 1.0 and 0 < stats.binomial_two_sided(900, 1100) < 1e-4
