@@ -267,7 +267,7 @@ def encode_batch(path: str):
 
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ids array<long>, decoded string for every row; null texts count as empty and have no ids."""
-    return in_arrow(docs_of(docs), encode_batch(tokenizer_path), "doc_id long, ids array<long>, decoded string")
+    return in_arrow(docs_of(docs), encode_batch(tokenizer_path), "doc_id long, ids array<long>, decoded string", f"bpe:{tokenizer_path}")
 
 
 def bpe_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -276,4 +276,4 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     Null and empty texts: 0 tokens and the digests of nothing; repeated rows are each encoded; an empty table gives an
     empty result; other columns are ignored. A task's memory is its batch and tables of bounded size.
     """
-    return in_arrow(docs_of(docs), digest_batch(tokenizer_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs_of(docs), digest_batch(tokenizer_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", f"bpe:{tokenizer_path}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,14 +29,26 @@ _HELD: dict[str, object] = {}
 
 
 def held(name: str, make: Callable[[], object]) -> object:
-    """The one large object (a model, an encoder) that a worker keeps between batches: another name takes its place, so
-    that workers that serve several operators don't gather them."""
+    """The one large object (a model, an encoder) that a worker keeps between batches and tasks: another name takes its
+    place."""
     if name not in _HELD:
         _HELD.clear()
         _HELD[name] = make()
     return _HELD[name]
 
 
+def give_back(keep: str | None = None) -> None:
+    """Free what a worker holds but for the object of this name, and hand free memory back to the system: workers serve one
+    operator after another, and an executor's share must not fill up with what earlier ones left."""
+    import ctypes
+
+    for name in [n for n in _HELD if n != keep]:
+        del _HELD[name]
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def beside(columns: list[str], made: tuple[str, ...], keep_text: bool = False) -> list[str]:
     """The columns that stay beside an operator's new ones: all but those of the new names, and text if it isn't kept."""
     return [c for c in columns if c.lower() not in made and (keep_text or c.lower() != "text")]
@@ -49,16 +62,16 @@ def with_new(df: DataFrame, made: str, keep_text: bool = False) -> tuple[DataFra
     return kept, StructType([*[kept.schema[c] for c in stay], *new.fields])
 
 
-def in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def in_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, keep: str | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch; keep: the name of the object that it has from held()."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(keep)
         for batch in batches:
             if batch.num_rows and (out := each(batch)) is not None:
                 yield out
-        # Workers are used again: what Arrow holds for later goes back.
-        pa.default_memory_pool().release_unused()
+        give_back(keep)
 
     return df.mapInArrow(run, schema)
 

@@ -287,7 +287,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_pa
     name = hashlib.sha256(repr(languages).encode() + probs.tobytes()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(probs)
     kept, schema = with_new(docs, "lang_pred string, score double", keep_text)
-    return in_arrow(kept, predict_batch(name, languages, vocabulary_path, shared, words_for_certainty, keep_text), schema)
+    return in_arrow(kept, predict_batch(name, languages, vocabulary_path, shared, words_for_certainty, keep_text), schema, name)
 
 
 def bucket(doc_id: str | Column, n: int) -> Column:

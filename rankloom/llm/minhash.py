@@ -30,7 +30,7 @@ BASE = 0x9E3779B97F4A7C55 | 1
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of a text that are cut into words at a time; a longer word is read whole.
-PART = 1 << 20
+PART = 1 << 18
 #: Elements that a call of the signature loop holds at a time.
 CHUNK = 49_152
 #: Members of a tile's block, and shingles of its sets; how far below the bound a signature's estimate may be, 5.8 of its

@@ -31,7 +31,7 @@ from .minhash import POWERS, U64, Powers, mix
 
 GRAM = 24
 #: Bytes of a document that are anchored at a time, and of contexts that are sorted at a time.
-SEGMENT, BLOCK = 1 << 20, 1 << 18
+SEGMENT, BLOCK = 1 << 18, 1 << 18
 #: Bytes of distinct contexts of one hash that a task holds.
 MOST = 1 << 23
 NO_ID = -(1 << 63)

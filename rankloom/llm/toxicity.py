@@ -270,4 +270,4 @@ def score(docs: DataFrame, model: Model, evidence: int = 3, keep_text: bool = Fa
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept, schema = with_new(docs, "score double, evidence array<struct<doc_id: long, cosine: double, label: int>>", keep_text)
-    return in_arrow(kept, score_batch(shared, name, evidence, keep_text), schema)
+    return in_arrow(kept, score_batch(shared, name, evidence, keep_text), schema, name)
