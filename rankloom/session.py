@@ -32,9 +32,16 @@ def local_session(cpus: str | int = "*", **conf: str) -> SparkSession:
     return spark
 
 
+#: Rows of a batch that goes to Python, where the session has Spark's own 10,000: rows hold whole texts.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python tasks can import it."""
     sc = spark.sparkContext
+    name, usual, ours = BATCH_ROWS
+    if spark.conf.get(name) == usual:
+        spark.conf.set(name, ours)
     if _SHIPPED.get(id(sc)) == sc.applicationId:
         return
     root = Path(__file__).resolve().parent
