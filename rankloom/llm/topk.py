@@ -3,7 +3,8 @@
 Candidates are dealt to shards by a hash of their id and queries to tiles, each packed into one row that holds a matrix.
 A query tile is sent to every shard by an equi join on the shard number; each pair of tiles is one matrix product, from
 which every query keeps its best k; those lists are merged as a tree. The products are of integers and exact: in double
-precision where no sum can leave 2^53, else in 64-bit integers.
+precision where no sum can leave 2^53, else in 64-bit integers, and where these might not do in integers of any size; a
+score that isn't a long is an error.
 """
 
 from __future__ import annotations
@@ -48,11 +49,12 @@ def tile_batch(k: int):
         for row in batch.to_pylist():
             q, c = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
             a, b = (np.frombuffer(row[x], "<i8").reshape(len(ids), row["dim"]) for x, ids in (("q_vectors", q), ("vectors", c)))
-            top = [float(max(-int(x.min()), int(x.max()), 0)) if x.size else 0.0 for x in (a, b)]
-            exact = top[0] * top[1] * max(1, row["dim"]) < 2**53
+            top = [max(-int(x.min()), int(x.max()), 0) if x.size else 0 for x in (a, b)]
+            most = top[0] * top[1] * max(1, row["dim"])
+            kind = np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
             for start in range(0, len(q), 256):
                 some = a[start : start + 256]
-                scores = (some.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if exact else some @ b.T
+                scores = (some.astype(kind) @ b.T.astype(kind)).astype(np.int64)
                 for query, line in zip(q[start : start + 256].tolist(), scores):
                     others = c != query
                     at = np.flatnonzero(others)[best(line[others], c[others], k)]
@@ -61,8 +63,8 @@ def tile_batch(k: int):
                     lists.append([{"less": -s, "vec_id": v} for s, v in zip(line[at].tolist(), c[at].tolist())])
         if not queries:
             return None
-        kind = pa.list_(pa.struct([("less", pa.int64()), ("vec_id", pa.int64())]))
-        return pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(parts, pa.int32()), pa.array(lists, kind)], ["query_id", "part", "top"])
+        tops = pa.list_(pa.struct([("less", pa.int64()), ("vec_id", pa.int64())]))
+        return pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(parts, pa.int32()), pa.array(lists, tops)], ["query_id", "part", "top"])
 
     return run
 
@@ -72,7 +74,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
 
     vectors and queries: vec_id long, vector array<long> without nulls. Rows with a null id or vector take no part;
     vectors of different lengths aren't compared; a query repeated in id and vector counts once; candidates with the
-    query's id are the query's own; ties go to the smaller id; empty tables give an empty result.
+    query's id are the query's own; ties go to the smaller id; empty tables give an empty result. A score beyond 64 bits
+    is an OverflowError, never a wrapped number.
     """
     vectors = vectors.select("vec_id", "vector").where("vec_id is not null and vector is not null")
     queries = queries.select("vec_id", "vector").where("vec_id is not null and vector is not null").distinct()
@@ -80,7 +83,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
     tiles = max(1, -(-queries.count() // tile_rows))
     asked = packed(queries, tiles).select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"))
     pairs = asked.join(packed(vectors, shards), ["dim", "part"])
-    lists = in_arrow(pairs.repartition(min(4096, shards * tiles)), tile_batch(k), "query_id long, part int, top array<struct<less: long, vec_id: long>>")
+    lists = in_arrow(pairs.repartition(min(100_000, shards * tiles)), tile_batch(k), "query_id long, part int, top array<struct<less: long, vec_id: long>>")
     while True:
         shards = -(-shards // fan_in)
         merged = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top")

@@ -30,3 +30,15 @@ def test_large_values_stay_exact_and_empty_tables_work(spark):
     assert [(x.vec_id, x.score) for x in sorted(rows, key=lambda x: x.rank)] == [(i, -s) for s, i in sorted((-sum(a * b for a, b in zip(ints[0], v)), i) for i, v in ints.items() if i)]
     none = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(none, none).count() == 0
+
+
+def test_scores_beyond_64_bits_are_errors_and_those_just_inside_are_exact(spark):
+    import pytest
+
+    big = 2**31
+    df = spark.createDataFrame([(0, [big, 1 - big]), (1, [big, big]), (2, [-big, big - 1])], "vec_id long, vector array<long>")
+    found = {(r.query_id, r.vec_id): r.score for r in topk.top_k(df, df.where("vec_id = 0")).collect()}
+    assert found == {(0, 1): 2**31, (0, 2): -(2**62) - (2**31 - 1) ** 2}
+    over = spark.createDataFrame([(0, [2**33]), (1, [2**33])], "vec_id long, vector array<long>")
+    with pytest.raises(Exception, match="too large|OverflowError"):
+        topk.top_k(over, over).collect()
