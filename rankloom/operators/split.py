@@ -159,6 +159,13 @@ def folds(users: DataFrame, n: int, seed: str = "fold:") -> DataFrame:
     return users.select("u", (hash_long(seed, "u") % n).cast("int").alias("fold"))
 
 
+def stratified_folds(users: DataFrame, stratum: str, n: int, seed: str = "strata:") -> DataFrame:
+    """u, stratum, fold in 0..n-1: the users of a stratum in hash order, dealt out one after the other, so that folds of a
+    stratum differ by one user at most."""
+    rows = users.select("u", stratum).withColumns({"one": F.lit(1), "place": F.struct(hash_key(seed, "u").alias("h"), F.col("u"))})
+    return stats.prefix_sums(rows, "place", ["one"], (stratum,)).select("u", stratum, (F.col("one_before") % n).cast("int").alias("fold"))
+
+
 def edge_dropout(edges: DataFrame, rate: float, seed: str) -> DataFrame:
     """The edges (u, i) whose hash number is at least `rate`."""
     return edges.where(uniform(seed, "u", "i") >= rate)

@@ -181,3 +181,39 @@ def second_order(b: Base) -> DataFrame:
     """The polynomial filter P (0.3 I + 0.7 P) of the normalised matrix at candidates."""
     train, cand = b.split()
     return similarity.second_order_filter(cand, train, 0.3).select("id", F.round("s", 8).alias("s"))
+
+
+@query("s03_row_idx", "SELECT id, u, i, row_number() OVER (ORDER BY id) - 1 AS row_idx FROM cand")
+def row_idx(b: Base) -> DataFrame:
+    return io.numbered(b.split()[1].select("id", "u", "i"), "id")
+
+
+@query("s07_projection", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'", frames=False)
+def projection(b: Base) -> DataFrame:
+    """Three columns under two filters, which reach the scan."""
+    return b.table("lineitem").where("l_quantity >= 45 and l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("n11_stratified_folds", "SELECT u, stratum, CAST((row_number() OVER (PARTITION BY stratum ORDER BY md5('strata:' || u), u) - 1) % 5 AS INT) AS fold FROM (SELECT u, CASE WHEN count(*) <= 20 THEN 'to20' WHEN count(*) <= 40 THEN 'to40' ELSE 'over' END AS stratum FROM inter GROUP BY u)")
+def stratified_folds(b: Base) -> DataFrame:
+    n = F.count(F.lit(1))
+    users = b.interactions().groupBy("u").agg(F.when(n <= 20, "to20").when(n <= 40, "to40").otherwise("over").alias("stratum"))
+    return split.stratified_folds(users, "stratum", 5)
+
+
+@query("n11_leave_one_out", "SELECT a.fold AS held, count_if(b.fold = a.fold) AS tested, count_if(b.fold <> a.fold) AS trained FROM (SELECT unnest(range(0, 5)) AS fold) a CROSS JOIN (SELECT CAST('0x' || substr(md5('fold:' || u), 1, 15) AS BIGINT) % 5 AS fold FROM (SELECT DISTINCT u FROM inter)) b GROUP BY 1")
+def leave_one_out(b: Base) -> DataFrame:
+    """For each fold, how many users are tested on it and trained without it."""
+    sizes = split.folds(b.interactions().select("u").distinct(), 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    rows = sizes.crossJoin(F.broadcast(sizes.select(F.col("fold").cast("long").alias("held"))))
+    inside = F.col("fold") == F.col("held")
+    return rows.groupBy("held").agg(F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("tested"), F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("trained"))
+
+
+@query("j14_overlap_pairs", ", c AS (SELECT i, count(*) AS n FROM train GROUP BY i HAVING count(*) >= 3), p AS (SELECT a.i AS i, b.i AS j, count(*) AS s FROM train a JOIN train b ON a.u = b.u AND a.i < b.i GROUP BY 1, 2) SELECT p.i, p.j, round(s / (a.n + b.n - s), 6) AS jaccard FROM p JOIN c a ON a.i = p.i JOIN c b ON b.i = p.j WHERE s >= 2")
+def overlap_pairs(b: Base) -> DataFrame:
+    """The Jaccard similarity of items' holders, for items of three holders or more that share two or more."""
+    train = b.split()[0]
+    size = train.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    pairs = similarity.co_occurrence(train).where("s >= 2").join(size, "i").join(size.select(F.col("i").alias("j"), F.col("n").alias("m")), "j")
+    return pairs.select("i", "j", r6(F.col("s") / (F.col("n") + F.col("m") - F.col("s"))).alias("jaccard"))

@@ -42,13 +42,25 @@ def literal_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """By extension: .csv with a header, .json literal lines, else Parquet."""
+    """By extension: .csv with a header, .json literal lines, else Parquet.
+
+    A CSV with a schema is read once; without one Spark reads it twice to infer it. A column `date` becomes a timestamp,
+    null where it isn't one.
+    """
     if path.endswith(".csv"):
         reader = spark.read.option("header", True)
-        return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+        rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+        return rows.withColumn("date", F.col("date").cast("string").try_cast("timestamp")) if "date" in rows.columns else rows
     return literal_logs(spark, path) if path.endswith(".json") else spark.read.parquet(path)
 
 
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """Adds row_idx, from 0 in the order of a column of distinct values, without bringing the rows into one task."""
+    from rankloom.operators import stats
+
+    return stats.prefix_sums(df.withColumn("row_idx", F.lit(1)), order, ["row_idx"]).drop("row_idx").withColumnRenamed("row_idx_before", "row_idx")
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """df, or an error that names the columns it lacks."""
     missing = [c for c in columns if c not in df.columns]
