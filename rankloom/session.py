@@ -68,16 +68,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_WRITTEN: dict[str, SparkSession] = {}
 
 
-_WRITTEN: dict[str, SparkSession] = {}
+def scratch(spark: SparkSession, name: str, keep: bool = True) -> str:
+    """A new path under the shared folder; what is written there goes with the process unless it is to be kept."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _WRITTEN[path] = spark
+    return path
 
 
 def clear_scratch() -> None:
-    """Delete the tables that materialise() wrote in this process; frames that read them are then of no use."""
+    """Delete the scratch tables of this process; frames that read them are then of no use."""
     while _WRITTEN:
         path, spark = _WRITTEN.popitem()
         try:
@@ -93,8 +96,7 @@ atexit.register(clear_scratch)
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    _WRITTEN[path] = spark
+    path = scratch(spark, name, keep=False)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
