@@ -13,13 +13,25 @@ from pyspark.sql.types import StructType
 
 from rankloom.session import materialise, scratch, shared_dir, ship, shuffle_partitions
 
-__all__ = ["beside", "docs_of", "held", "with_new", "in_arrow", "labelled_sample", "materialise", "scratch", "shared_dir", "ship", "shuffle_partitions", "slices", "table", "unit_hash"]
+__all__ = ["beside", "docs_of", "held", "with_new", "in_arrow", "labelled_sample", "materialise", "scratch", "shared_dir", "ship", "shuffle_partitions", "slices", "stored_table", "table", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_table(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
+    """The Parquet table at path; one that isn't there is an empty one."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), null text as empty: other columns cannot clash with an operator's own."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, minhash, packing, quality, suffix_dedup, token_counts, topk, toxicity, winnowing
+from . import bpe, language_id, minhash, packing, quality, secret_scan, suffix_dedup, token_counts, topk, toxicity, winnowing
 from .common import table
+from .oracles import oracle_sql  # noqa: F401  part of what the entry reads
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,19 +66,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
+    kinds = [r.kind for r in secret_scan.BASE]
+    base = F.filter("findings", lambda x: x["kind"].isin(kinds))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in kinds], F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("findings")).alias("spans"))
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op5_token_counts": op5_token_counts, "op6_winnowing": op6_winnowing, "op9_topk": op9_topk, "op10_bpe": op10_bpe}
-
-
-def oracle_sql() -> dict[str, str]:
-    top = """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
-        )
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-        FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
-    return {"op9_topk": top}
+    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op5_token_counts": op5_token_counts, "op6_winnowing": op6_winnowing, "op9_topk": op9_topk, "op10_bpe": op10_bpe, "op11_secret_scan": op11_secret_scan}
