@@ -43,5 +43,27 @@ def secrets() -> str:
     SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(whole, '') AS spans FROM d LEFT JOIN sums USING (n)"""
 
 
+def merkle() -> str:
+    """Levels by recursion, what stands beside a node by windows, the way up as a fold over texts."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    digest = lambda t: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", t)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sides = lambda name, source, by, shift: f"""{name} AS (SELECT {by} lvl + {shift} AS lvl, pos // 16 AS up, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+        coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {source} WHERE size > 1 WINDOW w AS (PARTITION BY {by} lvl, pos // 16 ORDER BY pos))"""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS tree, {digest("text")} AS leaf, {digest(lower)} AS alt, coalesce({crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0, false) AS tampered FROM documents
+    ), n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size FROM d
+    ), up AS (SELECT tree, 0 AS lvl, pos, size, leaf AS h FROM n UNION ALL SELECT tree, lvl + 1, pos // 16, (size + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE size > 1 GROUP BY tree, lvl, pos // 16, size
+    ), tops AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS size FROM up WHERE size = 1
+    ), crown AS (SELECT 0 AS lvl, pos, size, h FROM tops UNION ALL SELECT lvl + 1, pos // 16, (size + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM crown WHERE size > 1 GROUP BY lvl, pos // 16, size
+    ), {sides("low", "up", "tree,", 0)}, {sides("high", "crown", "", 100)}
+    , ways AS (SELECT n.tree, n.pos, lvl, l, r FROM n JOIN low ON low.tree = n.tree AND low.pos = n.pos // CAST(pow(16, lvl) AS BIGINT)
+      UNION ALL SELECT n.tree, n.pos, lvl, l, r FROM n JOIN tops USING (tree) JOIN high ON high.pos = tops.pos // CAST(pow(16, lvl - 100) AS BIGINT)
+    ), way AS (SELECT tree, pos, string_agg(l || r, '' ORDER BY lvl) AS proof, list(l || '|' || r ORDER BY lvl) AS steps FROM ways GROUP BY tree, pos
+    ), f AS (SELECT doc_id, leaf, tops.h AS subroot, (SELECT h FROM crown WHERE size = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+        list_reduce(list_prepend(CASE WHEN tampered THEN alt ELSE leaf END, coalesce(steps, CAST([] AS VARCHAR[]))), lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root
+      FROM n JOIN tops USING (tree) LEFT JOIN way ON way.tree = n.tree AND way.pos = n.pos)
+    SELECT *, folded_root = root AS verified FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": TOP, "op11_secret_scan": secrets()}
+    return {"op9_topk": TOP, "op11_secret_scan": secrets(), "op12_merkle_manifest": merkle()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, minhash, packing, quality, secret_scan, suffix_dedup, token_counts, topk, toxicity, winnowing
+from . import bpe, language_id, merkle, minhash, packing, quality, secret_scan, suffix_dedup, token_counts, topk, toxicity, winnowing
 from .common import table
 from .oracles import oracle_sql  # noqa: F401  part of what the entry reads
 
@@ -74,5 +74,9 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in kinds], F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("findings")).alias("spans"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op5_token_counts": op5_token_counts, "op6_winnowing": op6_winnowing, "op9_topk": op9_topk, "op10_bpe": op10_bpe, "op11_secret_scan": op11_secret_scan}
+    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op5_token_counts": op5_token_counts, "op6_winnowing": op6_winnowing, "op9_topk": op9_topk, "op10_bpe": op10_bpe, "op11_secret_scan": op11_secret_scan, "op12_merkle_manifest": op12_merkle_manifest}
