@@ -65,5 +65,26 @@ def merkle() -> str:
     SELECT *, folded_root = root AS verified FROM f"""
 
 
+def trie() -> str:
+    """A subtree's totals by adding each node to all that stand above its smallest member's beginning."""
+    content = "strlen(role) || ':' || role || txt"
+    return f"""WITH raw AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations WHERE conv_id IS NOT NULL
+    ), t AS (SELECT c, sha256({content}) AS k, strlen(txt) AS b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256({content})) AS p FROM raw
+    ), n AS (SELECT c, count(*) AS turns FROM t GROUP BY c
+    ), convs AS (SELECT n.c, {crc32("CAST(n.c AS VARCHAR)")} % 9 AS h, n.c - n.c % 5 AS f, least({crc32("CAST(n.c AS VARCHAR)")} % 9, coalesce(g.turns, 0)) AS got FROM n LEFT JOIN n g ON g.c = n.c - n.c % 5
+    ), r AS (SELECT convs.c, p, k, b FROM convs JOIN t ON t.c = f AND p <= got UNION ALL SELECT c, p - h + got, k, b FROM t JOIN convs USING (c) WHERE p > h
+    ), pre AS (SELECT c, p AS depth, b, sha256(string_agg(k, '') OVER (PARTITION BY c ORDER BY p)) AS k FROM r UNION ALL SELECT c, 0, 0, '' FROM convs
+    ), node AS (SELECT depth, k, min(c) AS conv_id, count(*) AS n_convs, max(b) AS b FROM pre GROUP BY depth, k
+    ), m AS (SELECT c, depth, conv_id AS head FROM pre JOIN node USING (depth, k)
+    ), named AS (SELECT node.*, m.head AS parent_conv_id FROM node LEFT JOIN m ON m.c = conv_id AND m.depth = node.depth - 1
+    ), fan AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM named WHERE depth > 0 GROUP BY ALL
+    ), full_nodes AS (SELECT named.*, coalesce(n_children, 0) AS n_children FROM named LEFT JOIN fan USING (conv_id, depth)
+    ), sums AS (SELECT m.head AS conv_id, m.depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * b) AS saved_tokens
+      FROM full_nodes x JOIN m ON m.c = x.conv_id AND m.depth <= x.depth GROUP BY ALL
+    ), ends AS (SELECT head AS conv_id, depth, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM m WHERE (c, depth) IN (SELECT (c, max(depth)) FROM pre GROUP BY c) GROUP BY ALL)
+    SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM full_nodes JOIN sums USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": TOP, "op11_secret_scan": secrets(), "op12_merkle_manifest": merkle()}
+    return {"op9_topk": TOP, "op11_secret_scan": secrets(), "op12_merkle_manifest": merkle(), "op13_prefix_trie": trie()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, merkle, minhash, packing, quality, secret_scan, suffix_dedup, token_counts, topk, toxicity, winnowing
+from . import bpe, language_id, merkle, minhash, packing, prefix_trie, quality, secret_scan, suffix_dedup, token_counts, topk, toxicity, winnowing
 from .common import table
 from .oracles import oracle_sql  # noqa: F401  part of what the entry reads
 
@@ -78,5 +78,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op5_token_counts": op5_token_counts, "op6_winnowing": op6_winnowing, "op9_topk": op9_topk, "op10_bpe": op10_bpe, "op11_secret_scan": op11_secret_scan, "op12_merkle_manifest": op12_merkle_manifest}
+    return {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_suffix_dedup": op3_suffix_dedup, "op4_language_id": op4_language_id, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op5_token_counts": op5_token_counts, "op6_winnowing": op6_winnowing, "op9_topk": op9_topk, "op10_bpe": op10_bpe, "op11_secret_scan": op11_secret_scan, "op12_merkle_manifest": op12_merkle_manifest, "op13_prefix_trie": op13_prefix_trie}
