@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -22,14 +23,18 @@ from pyspark.sql import functions as F
 from .bpe import byte_signs
 from .common import docs_of, in_arrow, materialise, shuffle_partitions, slices
 
-#: Fixed value: the split pattern of the byte-level vocabulary.
+#: The split pattern of the byte-level vocabulary, and what its \s stands for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space of this length or more is cut out by hand: the encoder's regular expression keeps a way back for each sign.
+LONG_SPACE = re.compile(f"[{SPACE}]{{4096,}}")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 @lru_cache(maxsize=2)
 def byte_encoder(path: str):
-    """The byte-level vocabulary of a tokenizers file, with its added tokens found in texts as that library does."""
+    """The ids of a text in the byte-level vocabulary of a tokenizers file, with its added tokens found in texts as that
+    library does. A text can have white space of any length."""
     import tiktoken
 
     spec = json.loads(open(path, encoding="utf-8").read())
@@ -37,7 +42,20 @@ def byte_encoder(path: str):
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(signs[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     coder = tiktoken.Encoding("byte level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: coder.encode(text, allowed_special="all")
+    added = tuple(special)
+
+    def encode(text: str) -> np.ndarray:
+        out, done = [], 0
+        for run in LONG_SPACE.finditer(text):
+            start, end = run.span()
+            if end < len(text) and not text.startswith(added, end):
+                end -= 1  # the last one is left to the word that follows
+            out += [coder.encode_to_numpy(text[done:start], allowed_special="all"), np.array(coder._encode_single_piece(text[start:end]), "<u4")]
+            done = end
+        out.append(coder.encode_to_numpy(text[done:], allowed_special="all"))
+        return np.concatenate(out).astype("<u4", copy=False)
+
+    return encode
 
 
 def cut(tokens: int, length: int) -> list[tuple[int, int]]:
@@ -50,7 +68,7 @@ def cut_batch(path: str, length: int, end_id: int):
         encode, out = byte_encoder(path), []
         for part in slices(batch):
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = np.array([*encode(text), end_id], "<u4")
+                ids = np.append(encode(text), np.array([end_id], "<u4"))
                 out += [(doc_id, a, n, zlib.crc32(ids[a : a + n].tobytes()), len(ids)) for a, n in cut(len(ids), length)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -115,7 +133,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece of each document.
 
     Null and empty texts are one piece, the end id alone; repeated rows are packed as often as they occur; an empty
-    table gives an empty result; other columns are ignored. The placements sent to the tasks have a size bound by
+    table gives an empty result; other columns are ignored; a text is encoded whole by one task, white space of any length
+    included. The placements sent to the tasks have a size bound by
     `length` (their number doesn't grow with the documents).
     """
     pieces = materialise(in_arrow(docs_of(docs), cut_batch(tokenizer_path, length, end_id), PIECES), "pieces")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, in_arrow, materialise, scratch, slices
+from .common import docs_of, in_arrow, materialise, scratch, slices, stored_table
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -58,15 +58,7 @@ def count_batch(path: str, name: str):
 
 def read_cache(spark: SparkSession, path: str | None, name: str) -> DataFrame:
     """The stored counts of one tokenizer version, one row per content; an absent table is an empty one."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = spark.read.schema(CACHE_SCHEMA).parquet(path) if path else spark.createDataFrame([], CACHE_SCHEMA)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], CACHE_SCHEMA)
-    return rows.where(F.col("tokenizer_digest") == name).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return stored_table(spark, path, CACHE_SCHEMA).where(F.col("tokenizer_digest") == name).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 4096) -> DataFrame:
@@ -78,14 +70,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     """
     spark = docs.sparkSession
     name = tokenizer_digest(tokenizer_path)
-    cache_path = cache_path or scratch(spark, "token-cache")
+    cache_path = cache_path or scratch(spark, "token-cache", keep=False)
     rows = docs_of(docs).withColumn("content_digest", F.unhex(F.sha2("text", 256)))
     keys = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
     stored = materialise(read_cache(spark, cache_path, name), "token-cache-hits")
-    # One document stands for each content that the cache lacks; a copy group of any size is one row after the map side.
+    # One document stands for each content that the cache lacks; rows that share id and content fold into one before they
+    # move, so a group of any size is a row for each task that reads it, and is encoded once.
     missing = keys.groupBy("content_digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id")).join(stored, "content_digest", "left_anti")
-    texts = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(missing, ["doc_id", "content_digest"], "left_semi")
+    each = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).groupBy("content_digest", "doc_id").agg(F.first("text").alias("text"))
+    texts = each.join(missing, ["content_digest", "doc_id"], "left_semi")
     counted = in_arrow(texts.select("content_digest", "text"), count_batch(tokenizer_path, name), CACHE_SCHEMA)
-    counted.dropDuplicates(["content_digest"]).write.mode("append").parquet(cache_path)
+    counted.write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path, name)
     return keys.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
