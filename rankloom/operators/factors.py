@@ -1,44 +1,149 @@
-"""Low-rank factors of the user-item matrix by distributed singular values, and the scores made of them."""
+"""Low-rank factors of long tables by block Krylov subspaces, and the scores made of them.
+
+Tall matrices are tables (key, v array<double>). Their orthogonal bases come from tall-skinny QR: each task reduces its rows
+to a triangle, triangles merge as a tree, and the driver sees one square matrix as wide as the subspace, whatever the
+number of items or users.
+"""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.mllib.linalg import Vectors as RowVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import vectors as V
 from rankloom.operators import similarity
-from rankloom.session import materialise
+from rankloom.session import materialise, ship
 
+SQUARE = "part int, data binary"
 
 
-def truncated_svd(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(u, v) and (i, v): the k leading left and right singular vectors of the matrix of (u, i, w), each times the root of
-    its singular value.
+def merged(parts: DataFrame, merge, width: int, fan_in: int = 64) -> np.ndarray:
+    """One square matrix out of one a task (part, data): merged in groups, then those; the driver gets the last one."""
+
+    def some(key, pdf):
+        out = merge([np.frombuffer(x, "<f8").reshape(-1, width) for x in pdf.sort_values("part")["data"]])
+        return pd.DataFrame({"part": [int(key[0])], "data": [np.ascontiguousarray(out, "<f8").tobytes()]})
+
+    groups = parts.groupBy(F.floor(F.col("part") / fan_in).cast("int").alias("group")).applyInPandas(some, SQUARE)
+    last = groups.groupBy(F.lit(0).alias("group")).applyInPandas(some, SQUARE).first()
+    return np.zeros((0, width)) if last is None else np.frombuffer(last["data"], "<f8").reshape(-1, width)
+
+
+def triangle(rows: DataFrame, width: int) -> np.ndarray:
+    """R of the QR decomposition of the matrix whose rows are the arrays v."""
+    ship(rows.sparkSession)
+
+    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        r = np.zeros((0, width))
+        for pdf in batches:
+            if len(pdf):
+                r = np.linalg.qr(np.vstack([r, np.stack(pdf["v"].tolist())]), mode="r")
+        if len(r):
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "data": [np.ascontiguousarray(r, "<f8").tobytes()]})
+
+    return merged(rows.select("v").mapInPandas(reduce_rows, SQUARE), lambda xs: np.linalg.qr(np.vstack(xs), mode="r"), width)
+
+
+def products(rows: DataFrame, a: str, b: str, width: int) -> np.ndarray:
+    """The sum over rows of the outer products of a and b."""
+
+    def sum_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
 
-    The matrix is multiplied row by row in Spark for each step of the iteration; the driver holds k vectors as long as
-    there are items. Users' vectors are sums over their items.
+        total = np.zeros((width, width))
+        for pdf in batches:
+            if len(pdf):
+                total += np.stack(pdf[a].tolist()).T @ np.stack(pdf[b].tolist())
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "data": [total.astype("<f8").tobytes()]})
+
+    return merged(rows.select(a, b).mapInPandas(sum_rows, SQUARE), lambda xs: np.sum(xs, axis=0), width)
+
+
+def turned(rows: DataFrame, by: np.ndarray, column: str = "v") -> DataFrame:
+    """rows with their array replaced by its product with a matrix as wide as a subspace."""
+    schema = rows.schema
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(**{column: list(np.stack(pdf[column].tolist()) @ by)})
+
+    return rows.mapInPandas(run, schema)
+
+
+def basis_of(r: np.ndarray, least: float = 1e-10) -> np.ndarray:
+    """What turns rows with triangle r into orthonormal columns; directions that r hardly has are left out."""
+    _, values, right = np.linalg.svd(r, full_matrices=False)
+    keep = values > least * max(values.max(initial=0.0), 1e-300)
+    return right[keep].T / values[keep]
+
+
+def stepped(rows: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """i, v: the gram matrix of (u, i, w) times the matrix of vectors (i, v), over the users."""
+    users = rows.join(vectors, "i").groupBy("u").agg(V.vector_sum("v", F.col("w"), size).alias("v"))
+    return rows.join(users, "u").groupBy("i").agg(V.vector_sum("v", F.col("w"), size).alias("v"))
+
+
+def leading_right(rows: DataFrame, k: int, steps: int = 6, more: int = 10) -> tuple[np.ndarray, DataFrame]:
+    """The k leading singular values of the matrix of (u, i, w), and (i, v) with the right singular vectors.
+
+    A block of k + more vectors, begun by a hash of the item, is multiplied by the gram matrix and made orthonormal `steps`
+    times; the vectors are the best ones of the space that all blocks span together. Signs are fixed: the entry of each
+    vector that is largest in size is positive.
     """
-    numbered = materialise(items_in_order(rows), "item-numbers")
-    size = numbered.count()
+    rows = materialise(rows.select("u", "i", F.col("w").cast("double").alias("w")), "matrix")
+    items = rows.select("i").distinct()
+    size = items.count()
+    if not size:
+        return np.zeros(0), items.select("i", F.array().cast("array<double>").alias("v"))
     k = max(1, min(k, size - 1))
-    placed = rows.join(numbered, "i").groupBy("u").agg(F.sort_array(F.collect_list(F.struct("place", F.col("w").cast("double").alias("w")))).alias("x"))
-    # Each step passes over the rows again: they are kept in the form that the multiplication reads.
-    kept = placed.select("x").rdd.map(lambda r: RowVectors.sparse(size, [p.place for p in r.x], [p.w for p in r.x])).persist(StorageLevel.MEMORY_AND_DISK)
-    found = RowMatrix(kept, numCols=size).computeSVD(k, computeU=False)
-    kept.unpersist()
-    values, right = found.s.toArray(), found.V.toArray()
-    keep = values > 1e-9 * max(values.max(), 1e-300)
-    values, right = values[keep], right[:, keep]
-    spark = rows.sparkSession
-    scaled = spark.createDataFrame([(p, x) for p, x in enumerate((right * values**0.5).tolist())], "place long, v array<double>")
-    items = materialise(numbered.join(scaled, "place").select("i", "v"), "item-factors")
+    block = min(k + more, size)
+    start = F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda p: F.pmod(F.xxhash64("i", p), F.lit(1 << 40)) / F.lit(float(1 << 40)) - 0.5)
+    now, whole, width = materialise(items.select("i", start.alias("v")), "block"), None, 0
+    for step in range(steps + 1):
+        turn = basis_of(triangle(now, block))
+        block = turn.shape[1]
+        now = materialise(turned(now, turn), "block")
+        ahead = materialise(stepped(rows, now, block), "stepped")
+        pair = now.join(ahead.withColumnRenamed("v", "to"), "i")
+        whole = pair if whole is None else whole.join(pair.withColumnsRenamed({"v": "v2", "to": "to2"}), "i").select("i", F.concat("v", "v2").alias("v"), F.concat("to", "to2").alias("to"))
+        width += block
+        now = ahead
+        if width >= size:
+            break
+    whole = materialise(whole, "subspace")
+    turn = basis_of(triangle(whole, width), 1e-8)
+    small = turn.T @ products(whole, "v", "to", width) @ turn
+    values, ways = np.linalg.eigh((small + small.T) / 2)
+    best = np.argsort(values)[::-1][:k]
+    best = best[values[best] > 1e-12 * max(values.max(initial=0.0), 1e-300)]
+    out = materialise(turned(whole.select("i", "v"), turn @ ways[:, best]), "right-vectors")
+    return np.sqrt(values[best]), fixed_signs(out, len(best))
+
+
+def fixed_signs(vectors: DataFrame, size: int) -> DataFrame:
+    most = vectors.agg(*[F.max_by(F.col("v")[p], F.struct(F.round(F.abs(F.col("v")[p]), 9), F.col("i"))).alias(f"s{p}") for p in range(size)]).first()
+    sign = F.array(*[F.lit(-1.0 if x is not None and x < 0 else 1.0) for x in most])
+    return vectors.select("i", F.zip_with("v", sign, lambda a, b: a * b).alias("v"))
+
+
+def truncated_svd(rows: DataFrame, k: int, steps: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(u, v) and (i, v): the k leading left and right singular vectors of the matrix of (u, i, w), each times the root of
+    its singular value. Users' vectors are sums over their items."""
+    values, right = leading_right(rows, k, steps)
+    by = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    times = lambda xs: F.zip_with("v", by(xs), lambda a, b: a * b).alias("v")
+    items = materialise(right.select("i", times(values**0.5)), "item-factors")
     # U sqrt(s) = R V sqrt(s) / s
-    back = F.array(*[F.lit(float(1 / s)) for s in values])
     users = rows.join(items, "i").groupBy("u").agg(V.vector_sum("v", F.col("w"), len(values)).alias("v"))
-    return users.select("u", F.zip_with("v", back, lambda a, b: a * b).alias("v")), items
+    return users.select("u", times(1 / values)), items
 
 
 def items_in_order(rows: DataFrame) -> DataFrame:

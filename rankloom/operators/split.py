@@ -36,16 +36,27 @@ def hold_out(inter: DataFrame, seed: str = "42:", order: str = "hash", sizes: Da
     return ranked.where("r <= k").select("u", "i")
 
 
+def in_places(items: DataFrame) -> DataFrame:
+    """i, place: the items numbered without gaps from 0 on, whatever their own numbers are."""
+    from rankloom.operators.factors import items_in_order
+
+    return materialise(items_in_order(items), "item-places")
+
+
+def at_places(draws: DataFrame, items: DataFrame, number: Column) -> DataFrame:
+    """draws with i: the item at the place `number` modulo the number of items (i, place)."""
+    size = items.agg(F.count(F.lit(1)).alias("size")).where("size > 0")
+    return draws.crossJoin(F.broadcast(size)).withColumn("place", number % F.col("size")).join(items, "place").drop("place", "size")
+
+
 def proposed_negatives(sizes: DataFrame, items: DataFrame, seen: DataFrame, seed: str, tries: int = 6) -> DataFrame:
     """u, i: k unseen items for each user, uniform without replacement.
 
-    Instead of all unseen items, each user draws tries * k item numbers by hash; those that exist and are unseen are
-    taken in the order of the draws. Its size follows the users, not users times items.
+    Instead of all unseen items, each user draws tries * k places among the items (place, i) by hash; those that are
+    unseen are taken in the order of the draws. Its size follows the users, not users times items.
     """
-    bounds = items.agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-    drawn = sizes.select("u", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") * tries - 1)).alias("j")).crossJoin(F.broadcast(bounds))
-    drawn = drawn.withColumn("i", F.col("lo") + hash_long(seed, "u", "j") % (F.col("hi") - F.col("lo") + 1))
-    fresh = drawn.groupBy("u", "k", "i").agg(F.min("j").alias("j")).join(items, "i", "left_semi").join(seen.select("u", "i"), ["u", "i"], "left_anti")
+    drawn = at_places(sizes.select("u", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") * tries - 1)).alias("j")), items, hash_long(seed, "u", "j"))
+    fresh = drawn.groupBy("u", "k", "i").agg(F.min("j").alias("j")).join(seen.select("u", "i"), ["u", "i"], "left_anti")
     return fresh.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("j"))).where("r <= k").select("u", "i")
 
 
@@ -76,7 +87,8 @@ def until_full(sizes: DataFrame, items: DataFrame, seen: DataFrame, propose, ord
 
 def whole_negatives(sizes: DataFrame, items: DataFrame, seen: DataFrame, seed: str, tries: int = 6) -> DataFrame:
     """u, i: as proposed_negatives, but every user gets k unseen items, or all of them if there are fewer."""
-    propose = lambda short, factor: proposed_negatives(short, items, seen, seed, tries * factor)
+    placed = in_places(items)
+    propose = lambda short, factor: proposed_negatives(short, placed, seen, seed, tries * factor)
     return until_full(sizes, items.select("i").distinct(), seen, propose, [hash_key(seed, "u", "i"), F.col("i")])
 
 
@@ -136,12 +148,11 @@ def community_negatives(wanted: DataFrame, items: DataFrame, seen: DataFrame, se
 def triplets(pairs: DataFrame, items: DataFrame, seen: DataFrame, seed: str, tries: int = 6) -> DataFrame:
     """u, pos, neg: for each pair (u, i) an item that the user hasn't seen, by the first hash draw that hits one; for
     users who have seen nearly all, one of what is left. Users who have seen all have no row."""
-    bounds = items.agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    placed = in_places(items)
 
     def propose(short: DataFrame, factor: int) -> DataFrame:
-        drawn = short.select("u", "pos", F.explode(F.sequence(F.lit(0), F.lit(tries * factor - 1))).alias("j")).crossJoin(F.broadcast(bounds))
-        drawn = drawn.withColumn("i", F.col("lo") + hash_long(seed, "u", "pos", "j") % (F.col("hi") - F.col("lo") + 1))
-        fresh = drawn.join(items, "i", "left_semi").join(seen.select("u", "i"), ["u", "i"], "left_anti")
+        drawn = at_places(short.select("u", "pos", F.explode(F.sequence(F.lit(0), F.lit(tries * factor - 1))).alias("j")), placed, hash_long(seed, "u", "pos", "j"))
+        fresh = drawn.join(seen.select("u", "i"), ["u", "i"], "left_anti")
         return fresh.groupBy("u", "pos").agg(F.min_by("i", "j").alias("i"))
 
     sizes = pairs.select("u", F.col("i").alias("pos"), F.lit(1).cast("long").alias("k"))

@@ -15,7 +15,8 @@ class Base:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._stored: DataFrame | None = None
-        self._split: tuple[DataFrame, DataFrame] | None = None
+        self._held: DataFrame | None = None
+        self._candidates: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -35,19 +36,30 @@ class Base:
     def items(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("i"))
 
-    def split(self) -> tuple[DataFrame, DataFrame]:
-        """Training interactions and labelled candidates (id, u, i, label); every user has as many unseen items as
-        held-out ones."""
-        if self._split is None:
+    def held(self) -> DataFrame:
+        """The held-out interactions (u, i)."""
+        if self._held is None:
+            self._held = split.hold_out(self.stored(), seed="42:", order="hash")
+        return self._held
+
+    def train(self) -> DataFrame:
+        """The interactions that aren't held out; no negative is drawn for them."""
+        return self.stored().join(self.held(), ["u", "i"], "left_anti")
+
+    def candidates(self) -> DataFrame:
+        """Labelled candidates (id, u, i, label): every user has as many unseen items as held-out ones."""
+        if self._candidates is None:
             inter = self.stored()
-            held = split.hold_out(inter, seed="42:", order="hash")
             negatives = split.whole_negatives(split.hold_out_sizes(inter), self.items(), inter, seed="42n:")
-            self._split = inter.join(held, ["u", "i"], "left_anti"), materialise(split.candidates(held, negatives), "candidates")
-        return self._split
+            self._candidates = materialise(split.candidates(self.held(), negatives), "candidates")
+        return self._candidates
+
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        return self.train(), self.candidates()
 
     def popularity(self) -> DataFrame:
         """i, pop of all items: the users that hold an item in training, 0 for the others."""
-        pops = self.split()[0].groupBy("i").agg(F.count(F.lit(1)).alias("pop"))
+        pops = self.train().groupBy("i").agg(F.count(F.lit(1)).alias("pop"))
         return self.items().distinct().join(pops, "i", "left").select("i", F.coalesce("pop", F.lit(0)).alias("pop"))
 
     def scored(self) -> DataFrame:

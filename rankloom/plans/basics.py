@@ -116,7 +116,7 @@ def star_merge(b: Base) -> DataFrame:
 
 @query("j16_overlap_count", "SELECT (SELECT count(*) FROM cand SEMI JOIN inter USING (u, i)) AS seen, (SELECT count(*) FROM cand) AS n")
 def overlap_count(b: Base) -> DataFrame:
-    _, cand = b.split()
+    cand = b.candidates()
     seen = b.interactions().select("u", "i", F.lit(1).alias("seen"))
     return cand.join(seen, ["u", "i"], "left").agg(F.count("seen").alias("seen"), F.count(F.lit(1)).alias("n"))
 
@@ -173,7 +173,7 @@ def date_affinity(b: Base) -> DataFrame:
 
 @query("m08_pair_lift", ", co AS (SELECT a.i AS i, b.i AS j, count(*) AS s FROM train a JOIN train b ON a.u = b.u AND a.i < b.i GROUP BY 1, 2) SELECT co.i, co.j, round(s / sqrt((a.pop + 1) * (b.pop + 1)), 6) AS lift FROM co JOIN ipop a ON a.i = co.i JOIN ipop b ON b.i = co.j")
 def pair_lift(b: Base) -> DataFrame:
-    train, _ = b.split()
+    train = b.train()
     pop = train.groupBy("i").agg(F.count(F.lit(1)).alias("pi"))
     pairs = similarity.co_occurrence(train).join(pop, "i").join(pop.select(F.col("i").alias("j"), F.col("pi").alias("pj")), "j")
     return pairs.select("i", "j", r6(F.col("s") / F.sqrt((F.col("pi") + 1) * (F.col("pj") + 1))).alias("lift"))
@@ -216,4 +216,4 @@ def training_pairs(b: Base) -> DataFrame:
     """u, i, w: at most 20 positives of each user, by hash, with a confidence from the rank of their hours."""
     share = ranking.average_rank("hours") / F.count(F.lit(1)).over(ranking.by_user())
     r = F.row_number().over(Window.partitionBy("u").orderBy(split.hash_key("t:", "u", "i"), "i"))
-    return b.split()[0].select("u", "i", r6(0.5 + 0.5 * share).alias("w"), r.alias("r")).where("r <= 20").drop("r")
+    return b.train().select("u", "i", r6(0.5 + 0.5 * share).alias("w"), r.alias("r")).where("r <= 20").drop("r")

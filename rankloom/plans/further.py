@@ -71,14 +71,14 @@ def promote_rules(b: Base) -> DataFrame:
     return fusion.promoted(b.scored(), "s1", "s2", "s3", band=3, tau=0.1, guard=0.5, most=2)
 
 
-TRIPLETS = f""", dr AS (SELECT u, i AS pos, j, lo + CAST('0x' || substr(md5('bpr:' || u || ':' || i || ':' || j), 1, 15) AS BIGINT) % (hi - lo + 1) AS neg FROM train CROSS JOIN (SELECT unnest(range(0, 60)) AS j) CROSS JOIN (SELECT min(p_partkey) AS lo, max(p_partkey) AS hi FROM part)),
-  tr AS (SELECT u, pos, arg_min(neg, j) AS neg FROM dr WHERE neg IN (SELECT p_partkey FROM part) AND (u, neg) NOT IN (SELECT (u, i) FROM inter) GROUP BY 1, 2)"""
+TRIPLETS = f""", dr AS (SELECT u, i AS pos, j, CAST('0x' || substr(md5('bpr:' || u || ':' || i || ':' || j), 1, 15) AS BIGINT) % size AS place FROM train CROSS JOIN (SELECT unnest(range(0, 60)) AS j) CROSS JOIN (SELECT count(*) AS size FROM part)),
+  tr AS (SELECT u, pos, arg_min(neg, j) AS neg FROM dr JOIN (SELECT p_partkey AS neg, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part) USING (place) WHERE (u, neg) NOT IN (SELECT (u, i) FROM inter) GROUP BY 1, 2)"""
 
 
 @query("n09_bpr_triplets", TRIPLETS + " SELECT u, pos, neg FROM tr")
 def bpr_triplets(b: Base) -> DataFrame:
     """u, pos, neg: for each training pair an item that the user hasn't seen."""
-    return split.triplets(b.split()[0], b.items(), b.stored(), "bpr:")
+    return split.triplets(b.train(), b.items(), b.stored(), "bpr:")
 
 
 @query("n13_weighted_pairs", TRIPLETS + """, pc AS (SELECT u, i AS pos, 0.5 + 0.5 * (rank() OVER (PARTITION BY u ORDER BY hours) + (count(*) OVER (PARTITION BY u, hours) - 1) / 2) / count(*) OVER (PARTITION BY u) AS w FROM train)
@@ -86,7 +86,7 @@ def bpr_triplets(b: Base) -> DataFrame:
 def weighted_pairs(b: Base) -> DataFrame:
     """u, i, label, w: training pairs and an unseen item for each, both with the confidence from the rank of the hours."""
     share = ranking.average_rank("hours") / F.count(F.lit(1)).over(ranking.by_user())
-    train = b.split()[0]
+    train = b.train()
     rows = train.select("u", F.col("i").alias("pos"), r6(0.5 + 0.5 * share).alias("w"))
     drawn = rows.join(split.triplets(train, b.items(), b.stored(), "bpr:"), ["u", "pos"])
     return rows.select("u", F.col("pos").alias("i"), F.lit(1).alias("label"), "w").unionByName(drawn.select("u", F.col("neg").alias("i"), F.lit(0).alias("label"), "w"))
@@ -185,7 +185,7 @@ def second_order(b: Base) -> DataFrame:
 
 @query("s03_row_idx", "SELECT id, u, i, row_number() OVER (ORDER BY id) - 1 AS row_idx FROM cand")
 def row_idx(b: Base) -> DataFrame:
-    return io.numbered(b.split()[1].select("id", "u", "i"), "id")
+    return io.numbered(b.candidates().select("id", "u", "i"), "id")
 
 
 @query("s07_projection", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'", frames=False)
@@ -210,10 +210,10 @@ def leave_one_out(b: Base) -> DataFrame:
     return rows.groupBy("held").agg(F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("tested"), F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("trained"))
 
 
-@query("j14_overlap_pairs", ", c AS (SELECT i, count(*) AS n FROM train GROUP BY i HAVING count(*) >= 3), p AS (SELECT a.i AS i, b.i AS j, count(*) AS s FROM train a JOIN train b ON a.u = b.u AND a.i < b.i GROUP BY 1, 2) SELECT p.i, p.j, round(s / (a.n + b.n - s), 6) AS jaccard FROM p JOIN c a ON a.i = p.i JOIN c b ON b.i = p.j WHERE s >= 2")
+@query("j14_overlap_pairs", ", c AS (SELECT i, count(*) AS n FROM train GROUP BY i), p AS (SELECT a.i AS i, b.i AS j, count(*) AS s FROM train a JOIN train b ON a.u = b.u AND a.i < b.i GROUP BY 1, 2) SELECT p.i, p.j, round(s / (a.n + b.n - s), 6) AS jaccard FROM p JOIN c a ON a.i = p.i JOIN c b ON b.i = p.j")
 def overlap_pairs(b: Base) -> DataFrame:
-    """The Jaccard similarity of items' holders, for items of three holders or more that share two or more."""
-    train = b.split()[0]
-    size = train.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    pairs = similarity.co_occurrence(train).where("s >= 2").join(size, "i").join(size.select(F.col("i").alias("j"), F.col("n").alias("m")), "j")
+    """The Jaccard similarity of items' holders, for all items that share one."""
+    train = b.train()
+    size = train.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    pairs = similarity.co_occurrence(train).join(size, "i").join(size.select(F.col("i").alias("j"), F.col("n").alias("m")), "j")
     return pairs.select("i", "j", r6(F.col("s") / (F.col("n") + F.col("m") - F.col("s"))).alias("jaccard"))

@@ -16,7 +16,7 @@ r6 = lambda c: F.round(c, 6)
 
 @query("n08_split_candidates", "SELECT id, u, i, label FROM cand")
 def split_candidates(b: Base) -> DataFrame:
-    return b.split()[1]
+    return b.candidates()
 
 
 @query("n08_split_checks", """SELECT count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS positives, count(DISTINCT id) AS ids,
@@ -73,7 +73,7 @@ def popbin_negatives(b: Base) -> DataFrame:
 
 @query("n09_edge_dropout", "SELECT u, i FROM train WHERE (CAST('0x' || substr(md5('drop:' || u || ':' || i), 1, 15) AS BIGINT) + 1) / 1152921504606846977.0::DOUBLE >= 0.1")
 def edge_dropout(b: Base) -> DataFrame:
-    return split.edge_dropout(b.split()[0].select("u", "i"), 0.1, "drop:")
+    return split.edge_dropout(b.train().select("u", "i"), 0.1, "drop:")
 
 
 @query("n11_user_folds", "SELECT u, CAST(CAST('0x' || substr(md5('fold:' || u), 1, 15) AS BIGINT) % 5 AS INT) AS fold FROM (SELECT DISTINCT u FROM inter)")
@@ -117,7 +117,7 @@ def conditional_rates(b: Base) -> DataFrame:
 
 @query("a05_user_histories", "SELECT u, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS items, count(*) AS n FROM train GROUP BY u")
 def user_histories(b: Base) -> DataFrame:
-    return b.split()[0].groupBy("u").agg(F.array_join(F.transform(F.array_sort(F.collect_set("i")), lambda x: x.cast("string")), ",").alias("items"), F.count(F.lit(1)).alias("n"))
+    return b.train().groupBy("u").agg(F.array_join(F.transform(F.array_sort(F.collect_set("i")), lambda x: x.cast("string")), ",").alias("items"), F.count(F.lit(1)).alias("n"))
 
 
 @query("a06_percentile_summary", "SELECT count(hours) AS n, round(avg(hours), 6) AS mean, round(stddev_pop(hours), 6) AS sd, min(hours) AS lo, max(hours) AS hi, " + ", ".join(f"round(quantile_cont(hours, {p}), 6) AS p{round(100 * p):02d}" for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) + " FROM inter")
@@ -144,7 +144,7 @@ COVER = ", c AS (SELECT i, pop, CAST(sum(pop) OVER (ORDER BY pop DESC, i ROWS UN
 
 @query("a08_popularity_cover_labels", COVER + " SELECT id, u, cand.i, CAST(c.cum - c.pop <= c.total / 2 AS INT) AS pred FROM cand JOIN c USING (i)")
 def popularity_cover_labels(b: Base) -> DataFrame:
-    return b.split()[1].join(covered(b), "i").select("id", "u", "i", (F.col("cum") - F.col("pop") <= F.col("total") / 2).cast("int").alias("pred"))
+    return b.candidates().join(covered(b), "i").select("id", "u", "i", (F.col("cum") - F.col("pop") <= F.col("total") / 2).cast("int").alias("pred"))
 
 
 @query("a09_coverage_points", COVER + " SELECT p AS point, count_if(cum < p * total) + 1 AS items FROM c CROSS JOIN (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.95])::DOUBLE AS p) GROUP BY p")

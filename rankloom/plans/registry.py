@@ -20,8 +20,8 @@ FRAMES = """WITH inter AS (
 ), held AS (
   SELECT u, i FROM (SELECT u, i, k, row_number() OVER (PARTITION BY u ORDER BY md5('42:' || u || ':' || i), i) AS r FROM inter JOIN sizes USING (u)) WHERE r <= k
 ), drawn AS (
-  SELECT u, k, lo + CAST('0x' || substr(md5('42n:' || u || ':' || j), 1, 15) AS BIGINT) % (hi - lo + 1) AS i, j
-  FROM (SELECT u, k, unnest(range(0, k * 6)) AS j FROM sizes) CROSS JOIN (SELECT min(p_partkey) AS lo, max(p_partkey) AS hi FROM part)
+  SELECT u, k, i, j FROM (SELECT u, k, j, CAST('0x' || substr(md5('42n:' || u || ':' || j), 1, 15) AS BIGINT) % n AS place
+    FROM (SELECT u, k, unnest(range(0, k * 6)) AS j FROM sizes) CROSS JOIN (SELECT count(*) AS n FROM part)) JOIN (SELECT p_partkey AS i, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part) USING (place)
 ), negs AS (
   SELECT u, i FROM (SELECT u, k, i, row_number() OVER (PARTITION BY u ORDER BY j) AS r FROM (
     SELECT u, k, i, min(j) AS j FROM drawn WHERE i IN (SELECT p_partkey FROM part) AND (u, i) NOT IN (SELECT (u, i) FROM inter) GROUP BY 1, 2, 3)) WHERE r <= k

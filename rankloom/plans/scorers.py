@@ -22,12 +22,12 @@ HIST = ", hs AS (SELECT c.id, coalesce(s.sim, 0.0) AS sim, t.hours FROM cand c J
 
 @query("m01_matrix", "SELECT u, i, 1 AS seen, round(hours_t, 6) AS value FROM train")
 def matrix(b: Base) -> DataFrame:
-    return b.split()[0].select("u", "i", F.lit(1).alias("seen"), r6(F.col("hours_t")).alias("value"))
+    return b.train().select("u", "i", F.lit(1).alias("seen"), r6(F.col("hours_t")).alias("value"))
 
 
 @query("j07_cooccurrence", CO + " SELECT i, j, s FROM co")
 def cooccurrence(b: Base) -> DataFrame:
-    return sim.co_occurrence(b.split()[0])
+    return sim.co_occurrence(b.train())
 
 
 ORD = """, o AS (SELECT u, i, d, row_number() OVER (PARTITION BY u ORDER BY d, i) AS p FROM train), op AS (SELECT a.i AS i, b.i AS j, sum(pow(0.75, b.p - a.p - 1) * pow(0.5, date_diff('day', a.d, b.d) / 730.0)) AS w
@@ -36,7 +36,7 @@ ORD = """, o AS (SELECT u, i, d, row_number() OVER (PARTITION BY u ORDER BY d, i
 
 @query("j09_ordered_band_join", ORD + " SELECT i, j, round(w, 6) AS w FROM op")
 def ordered_band_join(b: Base) -> DataFrame:
-    return sim.ordered_pairs(b.split()[0]).withColumn("w", r6(F.col("w")))
+    return sim.ordered_pairs(b.train()).withColumn("w", r6(F.col("w")))
 
 
 ORD9 = ORD + """, hh AS (SELECT u, i, ln(1 + hours_t) AS h, row_number() OVER (PARTITION BY u ORDER BY d DESC, i DESC) - 1 AS age FROM train),
@@ -86,18 +86,18 @@ def pair_expansion(b: Base) -> DataFrame:
 
 @query("m04_tfidf_weight", "SELECT i, round(ln(((SELECT count(DISTINCT u) FROM train) + 1) / (count(*) + 1)) + 1, 6) AS w FROM train GROUP BY i")
 def tfidf_weight(b: Base) -> DataFrame:
-    return sim.tf_idf(b.split()[0]).withColumn("w", r6(F.col("w")))
+    return sim.tf_idf(b.train()).withColumn("w", r6(F.col("w")))
 
 
 @query("m05_bm25_weight", """, l AS (SELECT u, count(*) AS len FROM train GROUP BY u), m AS (SELECT avg(len) AS mean, count(*) AS users FROM l)
   SELECT u, i, round(greatest(ln((users - pop + 0.5) / (pop + 0.5)), 0.0) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len / mean)), 6) AS w FROM train JOIN l USING (u) JOIN ipop USING (i) CROSS JOIN m""")
 def bm25_weight(b: Base) -> DataFrame:
-    return sim.bm25(b.split()[0]).withColumn("w", r6(F.col("w")))
+    return sim.bm25(b.train()).withColumn("w", r6(F.col("w")))
 
 
 @query("m06_item_cosine", COS + " SELECT i, j, round(sim, 6) AS sim FROM sims")
 def item_cosine(b: Base) -> DataFrame:
-    return sim.cosine(b.split()[0]).withColumn("sim", r6(F.col("sim")))
+    return sim.cosine(b.train()).withColumn("sim", r6(F.col("sim")))
 
 
 @query("m07_itemknn", COS + HIST + " SELECT id, round(sum(sim), 6) AS knn_sum, round(max(sim), 6) AS knn_max, round(list_avg(max(sim, 3)), 6) AS knn_top3, round(sum(sim * hours) / (sum(hours) + 1e-6), 6) AS knn_hours FROM hs GROUP BY id")
@@ -146,7 +146,7 @@ UCOS = """, uc AS (SELECT a.u AS u, b.u AS v, count(*) AS s FROM train a JOIN tr
 
 @query("j15_user_cosine", UCOS + " SELECT u AS i, v AS j, round(sim, 6) AS sim FROM us")
 def user_cosine(b: Base) -> DataFrame:
-    return sim.user_cosine(b.split()[0]).withColumn("sim", r6(F.col("sim")))
+    return sim.user_cosine(b.train()).withColumn("sim", r6(F.col("sim")))
 
 
 @query("m11_userknn", UCOS + " SELECT c.id, round(sum(coalesce(us.sim, 0.0)), 6) AS uknn_sum, round(max(coalesce(us.sim, 0.0)), 6) AS uknn_max, round(sum(coalesce(us.sim, 0.0)) / sqrt(count(*) + 1), 6) AS uknn_norm FROM cand c JOIN train t ON t.i = c.i AND t.u <> c.u LEFT JOIN us ON us.u = c.u AND us.v = t.u GROUP BY c.id")
@@ -159,7 +159,7 @@ def userknn(b: Base) -> DataFrame:
 @query("k06_item_neighbours", COS + """, rk AS (SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) AS r FROM sims), lm AS (SELECT i, least(count(*), 10) AS n FROM rk GROUP BY i)
   SELECT lm.i, CAST(q.r AS INT) AS r, rk.j, round(rk.sim, 6) AS sim FROM lm CROSS JOIN (SELECT unnest(range(1, 11)) AS r) q JOIN rk ON rk.i = lm.i AND rk.r = least(q.r, lm.n)""")
 def item_neighbours(b: Base) -> DataFrame:
-    return sim.neighbours(sim.cosine(b.split()[0]), 10).withColumn("sim", r6(F.col("sim")))
+    return sim.neighbours(sim.cosine(b.train()), 10).withColumn("sim", r6(F.col("sim")))
 
 
 NORM = ", nm AS (SELECT t.u, t.i, 1.0::DOUBLE / sqrt(deg * pop) AS w FROM train t JOIN udeg USING (u) JOIN ipop USING (i)), gm AS (SELECT a.i AS i, b.i AS j, sum(a.w * b.w) AS sim FROM nm a JOIN nm b ON a.u = b.u GROUP BY 1, 2)"
@@ -223,7 +223,7 @@ def temporal_overlap(b: Base) -> DataFrame:
 
 @query("m27_propagation_layer", NORM + ", x AS (SELECT i, unnest([0, 1]) AS dim, unnest([ln(1 + pop), mean_t]) AS x FROM ipop) SELECT u, dim, round(sum(w * x), 6) AS x FROM nm JOIN x USING (i) GROUP BY 1, 2")
 def propagation_layer(b: Base) -> DataFrame:
-    train, _ = b.split()
+    train = b.train()
     items = train.groupBy("i").agg(F.log1p(F.count(F.lit(1))).alias("a"), F.avg("hours_t").alias("b"))
     long = items.select("i", F.explode(F.array(F.struct(F.lit(0).alias("dim"), F.col("a").alias("x")), F.struct(F.lit(1).alias("dim"), F.col("b").alias("x")))).alias("v")).select("i", "v.dim", "v.x")
     return graph.propagate(train.select("u", "i", F.lit(1.0).alias("w")), long).withColumn("x", r6(F.col("x")))

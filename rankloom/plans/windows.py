@@ -16,7 +16,7 @@ BAND = "r1 > k - {n} AND r1 <= k + {n}"
 
 @query("m02_popularity_scores", ", m AS (SELECT u, avg(pop) AS mu, quantile_cont(pop, 0.5) AS md, greatest(coalesce(stddev_samp(pop), 1), 1) AS sd FROM train JOIN ipop USING (i) GROUP BY u) SELECT id, s1, round(sqrt(base.pop), 6) AS root, round((base.pop - mu) / sd, 6) AS above, round(-abs(base.pop - md) / sd, 6) AS near FROM base JOIN m USING (u)")
 def popularity_scores(b: Base) -> DataFrame:
-    train, _ = b.split()
+    train = b.train()
     pops = train.join(train.groupBy("i").agg(F.count(F.lit(1)).alias("p")), "i")
     users = pops.groupBy("u").agg(F.avg("p").alias("mu"), F.percentile("p", 0.5).alias("md"), F.greatest(F.coalesce(F.stddev_samp("p"), F.lit(1.0)), F.lit(1.0)).alias("sd"))
     return b.scored().join(users, "u").select("id", "s1", r6(F.sqrt("pop")).alias("root"), r6((F.col("pop") - F.col("mu")) / F.col("sd")).alias("above"), r6(-F.abs(F.col("pop") - F.col("md")) / F.col("sd")).alias("near"))
@@ -87,7 +87,7 @@ def z_population(b: Base) -> DataFrame:
 
 @query("w06_group_size", "SELECT id, count(*) OVER (PARTITION BY u) AS n FROM base")
 def group_size(b: Base) -> DataFrame:
-    return b.split()[1].select("id", F.count(F.lit(1)).over(ranking.by_user()).alias("n"))
+    return b.candidates().select("id", F.count(F.lit(1)).over(ranking.by_user()).alias("n"))
 
 
 @query("w07_rank_high", "SELECT id, row_number() OVER (PARTITION BY u ORDER BY s3, id) - 1 AS r FROM base")
@@ -108,7 +108,7 @@ def boundary_margin(b: Base) -> DataFrame:
 @query("w13_recent_decay", "SELECT u, i, age, round(pow(0.85, age), 6) AS w FROM (SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY d DESC, i DESC) - 1 AS age FROM train) WHERE age < 20")
 def recent_decay(b: Base) -> DataFrame:
     age = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("d"), F.desc("i"))) - 1
-    return b.split()[0].select("u", "i", age.alias("age")).where("age < 20").withColumn("w", r6(F.pow(F.lit(0.85), "age")))
+    return b.train().select("u", "i", age.alias("age")).where("age < 20").withColumn("w", r6(F.pow(F.lit(0.85), "age")))
 
 
 PCT = "(rank() OVER (PARTITION BY {k} ORDER BY hours) + (count(*) OVER (PARTITION BY {k}, hours) - 1) / 2) / count(*) OVER (PARTITION BY {k})"
@@ -119,7 +119,7 @@ def confidence(b: Base) -> DataFrame:
     def pct(k: str):
         return 0.5 + 0.5 * ranking.average_rank("hours", k) / F.count(F.lit(1)).over(Window.partitionBy(k))
 
-    return b.split()[0].select("u", "i", r6(pct("u")).alias("by_user"), r6(pct("i")).alias("by_item"))
+    return b.train().select("u", "i", r6(pct("u")).alias("by_user"), r6(pct("i")).alias("by_item"))
 
 
 @query("w16_boundary_band", f"SELECT id, r1 FROM preds WHERE {BAND.format(n=2)}")
@@ -136,7 +136,7 @@ def pseudo_edges(b: Base) -> DataFrame:
 
 @query("w18_sequences", "SELECT u, string_agg(CAST(i AS VARCHAR), ' ' ORDER BY r DESC) AS tail, CAST(greatest(0, 10 - count(*)) AS INT) AS pad FROM (SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY d DESC, i DESC) AS r FROM train) WHERE r <= 10 GROUP BY u")
 def sequences(b: Base) -> DataFrame:
-    last = b.split()[0].withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("d"), F.desc("i")))).where("r <= 10")
+    last = b.train().withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("d"), F.desc("i")))).where("r <= 10")
     return last.groupBy("u").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "i")), False), lambda x: x["i"].cast("string")), " ").alias("tail"), F.greatest(F.lit(0), 10 - F.count(F.lit(1))).cast("int").alias("pad"))
 
 
@@ -350,10 +350,10 @@ def integrity(b: Base) -> DataFrame:
     return evaluation.integrity(b.scored(), S)
 
 
-@query("u01_union_all", "SELECT u, i FROM train UNION ALL SELECT u, i FROM cand")
+@query("u01_union_all", "SELECT u, i, 0 AS held FROM train UNION ALL SELECT u, i, 1 FROM held")
 def union_all(b: Base) -> DataFrame:
-    train, cand = b.split()
-    return train.select("u", "i").unionByName(cand.select("u", "i"))
+    """Both halves of the split under each other."""
+    return b.train().select("u", "i", F.lit(0).alias("held")).unionByName(b.held().select("u", "i", F.lit(1).alias("held")))
 
 
 @query("u02_dedupe_first", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1", frames=False)
@@ -401,7 +401,7 @@ def row_diff(b: Base) -> DataFrame:
 
 @query("o01_near_duplicate_guard", CHANGED + ", t AS (SELECT count(*) AS n FROM preds) SELECT name, count(*) AS rows_changed, CASE WHEN count(*) < 0.05 * any_value(t.n) THEN 'near duplicate' ELSE 'distinct' END AS verdict FROM ch CROSS JOIN t GROUP BY name")
 def near_duplicate_guard(b: Base) -> DataFrame:
-    total = b.split()[1].agg(F.count(F.lit(1)).alias("n"))
+    total = b.candidates().agg(F.count(F.lit(1)).alias("n"))
     counts = changed(b).groupBy("name").agg(F.count(F.lit(1)).alias("rows_changed"))
     return counts.crossJoin(F.broadcast(total)).select("name", "rows_changed", F.when(F.col("rows_changed") < 0.05 * F.col("n"), "near duplicate").otherwise("distinct").alias("verdict"))
 

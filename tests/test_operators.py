@@ -109,7 +109,7 @@ def test_split_has_no_leak(spark):
     inter = spark.createDataFrame([(u, i) for u in range(5) for i in range(u, u + 20)], "u long, i long")
     items = spark.createDataFrame([(i,) for i in range(200)], "i long")
     sizes = split.hold_out_sizes(inter)
-    held, neg = split.hold_out(inter), split.proposed_negatives(sizes, items, inter, "n:")
+    held, neg = split.hold_out(inter), split.proposed_negatives(sizes, split.in_places(items), inter, "n:")
     checks = split.checks(inter.join(held, ["u", "i"], "left_anti"), split.candidates(held, neg)).first()
     assert (checks.n_rows, checks.positives, checks.ids, checks.overlap, checks.uneven_users, checks.cold_users) == (20, 10, 20, 0, 0, 0)
 
@@ -123,10 +123,22 @@ def test_every_user_gets_all_negatives(spark):
     assert len(rows) == len(set(rows)) and not any(i < 1000 * seen[u] for u, i in rows)
     assert Counter(u for u, _ in rows) == {1: 5, 2: 3, 3: 5}
     dense = spark.createDataFrame([(i,) for i in range(200)], "i long")
-    plain, whole = (sorted(map(tuple, f(sizes, dense, inter, "n:").collect())) for f in (split.proposed_negatives, split.whole_negatives))
+    plain, whole = (sorted(map(tuple, x.collect())) for x in (split.proposed_negatives(sizes, split.in_places(dense), inter, "n:"), split.whole_negatives(sizes, dense, inter, "n:")))
     assert plain == whole and len(whole) == 20
 
 
+def test_sparse_item_numbers_need_no_list_of_all_items(spark):
+    """Items numbered a million apart: the first round of draws is enough for nearly all, and no user lists all items."""
+    items = spark.range(500).select((F.col("id") * 1_000_000).alias("i"))
+    inter = spark.range(300).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k")).select("u", ((F.col("u") + F.col("k")) % 500 * 1_000_000).alias("i"))
+    sizes = spark.range(300).select(F.col("id").alias("u"), F.lit(5).cast("long").alias("k"))
+    first = split.proposed_negatives(sizes, split.in_places(items), inter, "n:").groupBy("u").count().where("count = 5").count()
+    assert first == 300
+    pairs = inter.select("u", "i")
+    assert split.triplets(pairs, items, inter, "t:").join(inter.withColumnRenamed("i", "neg"), ["u", "neg"], "left_semi").count() == 0
+    assert split.triplets(pairs, items, inter, "t:").count() == pairs.count()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8)], "a long, b long")
     assert dict(graph.components(edges).collect()) == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
