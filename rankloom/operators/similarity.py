@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.session import materialise
 
 def user_pairs(rows: DataFrame, *values: str, tile: int = 1024) -> DataFrame:
     """i, j for i < j and <value>_i, <value>_j: every two items of every user, once.
@@ -104,7 +105,8 @@ def user_cosine(rows: DataFrame) -> DataFrame:
 
 
 def user_knn(cand: DataFrame, history: DataFrame) -> DataFrame:
-    """id, uknn_sum, uknn_max, uknn_norm: cosines of the user with the item's other holders.
+    """id, uknn_sum, uknn_max, uknn_top10, uknn_norm: cosines of the user with the item's other holders; top10 is the mean
+    of the ten largest (of all, if fewer).
 
     The holders that share an item with the user are reached over pairs of items: of what each holder has, the pairs that
     some candidate and its user's history ask for. No pairs of an item's users are made. Holders that share nothing have
@@ -116,12 +118,14 @@ def user_knn(cand: DataFrame, history: DataFrame) -> DataFrame:
     met = held.join(wanted.select("lo", "hi").distinct(), ["lo", "hi"], "left_semi").join(wanted, ["lo", "hi"]).where("u <> v")
     shared = met.groupBy("id", "u", "v").agg(F.count(F.lit(1)).alias("s"))
     shared = shared.join(size, "u").join(size.select(F.col("u").alias("v"), F.col("n").alias("m")), "v")
-    near = shared.groupBy("id").agg(F.sum(F.col("s") / F.sqrt(F.col("n").cast("double") * F.col("m"))).alias("total"), F.max(F.col("s") / F.sqrt(F.col("n").cast("double") * F.col("m"))).alias("most"))
+    shared = shared.select("id", "v", (F.col("s") / F.sqrt(F.col("n").cast("double") * F.col("m"))).alias("sim"))
+    r = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "v"))
+    near = shared.withColumn("r", r).groupBy("id").agg(F.sum("sim").alias("total"), F.max("sim").alias("most"), F.sum(F.when(F.col("r") <= 10, F.col("sim")).otherwise(0.0)).alias("ten"))
     own = history.select("u", "i", F.lit(1).alias("own"))
     holders = cand.select("id", "u", "i").join(history.groupBy("i").agg(F.count(F.lit(1)).alias("holders")), "i").join(own, ["u", "i"], "left")
     holders = holders.select("id", (F.col("holders") - F.coalesce("own", F.lit(0))).alias("holders")).where("holders > 0")
-    rows = holders.join(near, "id", "left").select("id", "holders", F.coalesce("total", F.lit(0.0)).alias("uknn_sum"), F.coalesce("most", F.lit(0.0)).alias("uknn_max"))
-    return rows.select("id", "uknn_sum", "uknn_max", (F.col("uknn_sum") / F.sqrt(F.col("holders") + 1.0)).alias("uknn_norm"))
+    rows = holders.join(near, "id", "left").select("id", "holders", F.coalesce("total", F.lit(0.0)).alias("uknn_sum"), F.coalesce("most", F.lit(0.0)).alias("uknn_max"), F.coalesce("ten", F.lit(0.0)).alias("ten"))
+    return rows.select("id", "uknn_sum", "uknn_max", (F.col("ten") / F.least("holders", F.lit(10))).alias("uknn_top10"), (F.col("uknn_sum") / F.sqrt(F.col("holders") + 1.0)).alias("uknn_norm"))
 
 
 def neighbours(sims: DataFrame, k: int) -> DataFrame:
@@ -134,15 +138,65 @@ def neighbours(sims: DataFrame, k: int) -> DataFrame:
 
 
 def ordered_pairs(history: DataFrame, window: int = 20, step: float = 0.75, half_life: float = 730.0) -> DataFrame:
-    """i, j, w: j at most `window` places after i in a user's order, weight step^(distance - 1) * 0.5^(days / half-life)."""
+    """i, j, w: j at most `window` places after i in a user's order, weight step^(distance - 1) * 0.5^(days / half-life).
+
+    Places meet by stretches of `window`: what comes at most that far after a place lies in its stretch or the next. So a
+    user's rows follow the history's length times the window, not its square, and a long history has many keys.
+    """
     pos = F.row_number().over(Window.partitionBy("u").orderBy("d", "i"))
-    rows = history.select("u", "i", "d", pos.alias("p"))
-    later = rows.select("u", F.col("i").alias("j"), F.col("d").alias("e"), F.col("p").alias("q"))
-    pairs = rows.join(later, "u").where((F.col("q") > F.col("p")) & (F.col("q") <= F.col("p") + window))
+    rows = history.select("u", "i", "d", pos.alias("p")).withColumn("part", F.floor(F.col("p") / window))
+    later = rows.select("u", F.col("i").alias("j"), F.col("d").alias("e"), F.col("p").alias("q"), F.explode(F.array("part", F.col("part") - 1)).alias("part"))
+    pairs = rows.join(later, ["u", "part"]).where((F.col("q") > F.col("p")) & (F.col("q") <= F.col("p") + window))
     w = F.pow(F.lit(step), F.col("q") - F.col("p") - 1) * F.pow(F.lit(0.5), F.datediff("e", "d") / half_life)
     return pairs.groupBy("i", "j").agg(F.sum(w).alias("w"))
 
 
+def best_of(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The k rows of the largest sim for each key, by 9 digits, ties to the smaller v."""
+    w = Window.partitionBy(key).orderBy(F.desc(F.round("sim", 9)), "v")
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+
+
+def set_cosines(pairs: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """u, v, sim for pairs (u, v): shared items by sqrt(sizes)."""
+    both = pairs.join(rows, "u").join(rows.select(F.col("u").alias("v"), "i"), ["v", "i"])
+    shared = both.groupBy("u", "v").agg(F.count(F.lit(1)).alias("s"))
+    shared = shared.join(sizes, "u").join(sizes.select(F.col("u").alias("v"), F.col("n").alias("m")), "v")
+    return shared.select("u", "v", (F.col("s") / F.greatest(F.sqrt("n") * F.sqrt("m"), F.lit(1e-12))).alias("sim"))
+
+
+def candidate_pairs(rows: DataFrame, sizes: DataFrame, k: int, first: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(u, v) that hold every one of the k nearest users of each u, and the cosines of a first part of them.
+
+    A user's items stand in the order of rarity. Those who share one of the first few give each user k cosines, the least
+    of which bounds the k-th best from below. To reach t, two sets must share at least t^2 |u| items, so one of the first
+    |u| - t^2 |u| + 1 items of u is among them, and |v| must lie between t^2 |u| and |u| / t^2: only such pairs are made.
+    """
+    held = rows.groupBy("i").agg(F.count(F.lit(1)).alias("f"))
+    ordered = rows.join(held, "i").withColumn("p", F.row_number().over(Window.partitionBy("u").orderBy("f", "i"))).select("u", "i", "p")
+    ordered = materialise(ordered.join(sizes, "u"), "by-rarity")
+    other = ordered.select("i", F.col("u").alias("v"), F.col("n").alias("m"))
+    early = ordered.where(F.col("p") <= first).join(other, "i").where("u <> v").select("u", "v").distinct()
+    found = materialise(set_cosines(early, rows, sizes), "first-cosines")
+    best = best_of(found, "u", k).groupBy("u").agg(F.min("sim").alias("t"), F.count(F.lit(1)).alias("had"))
+    t = F.greatest(F.when(F.col("had") >= k, F.col("t") - 1e-8), F.lit(0.0))
+    bound = ordered.join(best.select("u", t.alias("t")), "u", "left").withColumn("t2", F.coalesce(F.col("t") * F.col("t"), F.lit(0.0)))
+    need = F.greatest(F.ceil(F.col("t2") * F.col("n")), F.lit(1))
+    probes = bound.where(F.col("p") <= F.col("n") - need + 1)
+    near = probes.join(other, "i").where((F.col("u") != F.col("v")) & (F.col("m") >= F.col("t2") * F.col("n")) & (F.col("m") * F.col("t2") <= F.col("n")))
+    return near.select("u", "v").distinct(), found
+
+
+def nearest_users(rows: DataFrame, k: int) -> DataFrame:
+    """u, v, sim, r: the k users v of the largest cosine on shared items, ties by 9 digits to the smaller v; users that
+    share nothing are nobody's neighbours."""
+    rows = materialise(rows.select("u", "i"), "sets")
+    sizes = rows.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    pairs, known = candidate_pairs(rows, sizes, k)
+    rest = pairs.join(known.select("u", "v"), ["u", "v"], "left_anti")
+    return best_of(known.unionByName(set_cosines(rest, rows, sizes)), "u", k)
+
+
 def normalised(rows: DataFrame, weight: str | None = None) -> DataFrame:
     """u, i, w: w / sqrt(deg u * deg i)."""
     w = (F.col(weight) if weight else F.lit(1.0)).alias("w")

@@ -203,8 +203,7 @@ def generator_grid(b: Base) -> DataFrame:
 def neighbour_consensus(b: Base) -> DataFrame:
     """id, holders, rate: how many of the user's ten nearest users hold the item."""
     train, cand = b.split()
-    w = Window.partitionBy("i").orderBy(F.desc(F.round("sim", 9)), "j")
-    near = similarity.user_cosine(train).withColumn("r", F.row_number().over(w)).where("r <= 10").select(F.col("i").alias("u"), F.col("j").alias("v"))
+    near = similarity.nearest_users(train, 10).select("u", "v")
     held = train.select(F.col("u").alias("v"), "i", F.lit(1).alias("has"))
     rows = cand.select("id", "u", "i").join(near, "u").join(held, ["v", "i"], "left")
     return rows.groupBy("id").agg(F.count("has").alias("holders"), r6(F.count("has") / 10).alias("rate"))

@@ -115,7 +115,8 @@ def topk_mean(b: Base) -> DataFrame:
 
 
 @query("m08_normalised_cooc", CO + """, bth AS (SELECT i, j, s FROM co UNION ALL SELECT j, i, s FROM co)
-  SELECT c.id, round(sum(ln(1 + coalesce(b.s, 0))), 6) AS raw, round(sum(coalesce(b.s, 0) / sqrt((coalesce(p.pop, 0) + 1) * (q.pop + 1))), 6) AS norm_sum, round(count(b.s) / count(*), 6) AS coverage
+  SELECT c.id, round(sum(ln(1 + coalesce(b.s, 0))), 6) AS raw, round(sum(coalesce(b.s, 0) / sqrt((coalesce(p.pop, 0) + 1) * (q.pop + 1))), 6) AS norm_sum, round(ln(1 + sum(coalesce(b.s, 0))), 6) AS raw_sum,
+    round(sum(coalesce(b.s, 0) / sqrt((coalesce(p.pop, 0) + 1) * (q.pop + 1))) / count(*), 6) AS norm_mean, round(max(coalesce(b.s, 0) / sqrt((coalesce(p.pop, 0) + 1) * (q.pop + 1))), 6) AS norm_max, round(count(b.s) / count(*), 6) AS coverage
   FROM cand c JOIN train t ON t.u = c.u LEFT JOIN bth b ON b.i = c.i AND b.j = t.i LEFT JOIN ipop p ON p.i = c.i LEFT JOIN ipop q ON q.i = t.i GROUP BY c.id""")
 def normalised_cooc(b: Base) -> DataFrame:
     train, cand = b.split()
@@ -124,7 +125,7 @@ def normalised_cooc(b: Base) -> DataFrame:
     rows = sim.history_pairs(cand, held, sim.co_occurrence(train), "pj").join(pop.withColumnRenamed("pop", "pi"), "i", "left")
     s = F.coalesce("s", F.lit(0))
     norm = s / F.sqrt((F.coalesce("pi", F.lit(0)) + 1) * (F.col("pj") + 1))
-    return rows.groupBy("id").agg(r6(F.sum(F.log1p(s))).alias("raw"), r6(F.sum(norm)).alias("norm_sum"), r6(F.count("s") / F.count(F.lit(1))).alias("coverage"))
+    return rows.groupBy("id").agg(r6(F.sum(F.log1p(s))).alias("raw"), r6(F.sum(norm)).alias("norm_sum"), r6(F.log1p(F.sum(s))).alias("raw_sum"), r6(F.avg(norm)).alias("norm_mean"), r6(F.max(norm)).alias("norm_max"), r6(F.count("s") / F.count(F.lit(1))).alias("coverage"))
 
 
 DECAY = """, dw AS (SELECT u, i, pow(0.5, date_diff('day', d, (SELECT max(d) FROM train)) / 365.0) AS w FROM train), dn AS (SELECT i, sqrt(sum(w * w)) AS norm FROM dw GROUP BY i),
@@ -149,7 +150,7 @@ def user_cosine(b: Base) -> DataFrame:
     return sim.user_cosine(b.train()).withColumn("sim", r6(F.col("sim")))
 
 
-@query("m11_userknn", UCOS + " SELECT c.id, round(sum(coalesce(us.sim, 0.0)), 6) AS uknn_sum, round(max(coalesce(us.sim, 0.0)), 6) AS uknn_max, round(sum(coalesce(us.sim, 0.0)) / sqrt(count(*) + 1), 6) AS uknn_norm FROM cand c JOIN train t ON t.i = c.i AND t.u <> c.u LEFT JOIN us ON us.u = c.u AND us.v = t.u GROUP BY c.id")
+@query("m11_userknn", UCOS + " SELECT c.id, round(sum(coalesce(us.sim, 0.0)), 6) AS uknn_sum, round(max(coalesce(us.sim, 0.0)), 6) AS uknn_max, round(list_avg(max(coalesce(us.sim, 0.0), 10)), 6) AS uknn_top10, round(sum(coalesce(us.sim, 0.0)) / sqrt(count(*) + 1), 6) AS uknn_norm FROM cand c JOIN train t ON t.i = c.i AND t.u <> c.u LEFT JOIN us ON us.u = c.u AND us.v = t.u GROUP BY c.id")
 def userknn(b: Base) -> DataFrame:
     train, cand = b.split()
     out = sim.user_knn(cand, train)
