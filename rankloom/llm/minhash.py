@@ -345,6 +345,28 @@ def confirm_batch(percent: int, words: int):
     return run
 
 
+def tile_rows(grouped: DataFrame, tile: int, volume: int) -> DataFrame:
+    """tile, node, component, block, crossed: the rows of buckets (key, node, component, n) that span components, dealt so
+    that every two members of different components meet in a tile; buckets with the same members are dealt once.
+
+    Members of a bucket's largest component needn't meet each other. So they stand in blocks of their own, which meet the
+    blocks of the other members alone, while those meet all blocks: rows follow the members as long as the others fill
+    a block at most.
+    """
+    parts = grouped.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    order = F.struct("members", "component")
+    spans = parts.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.max_by("component", order).alias("main"), F.max("members").alias("main_members"), F.max_by("n", order).alias("main_n"), F.sum("members").alias("members"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("components > 1")
+    blocks = lambda members, size: F.greatest(F.ceil(F.greatest(members / tile, size / volume)), F.lit(1)).cast("int")
+    spans = spans.withColumn("own", blocks(F.col("main_members"), F.col("main_n"))).withColumn("others", blocks(F.col("members") - F.col("main_members"), F.col("n") - F.col("main_n")))
+    spans = spans.groupBy("members", "x", "y").agg(F.min(F.struct("key", "main", "own", "others")).alias("s")).select("s.*")
+    rest = grouped.join(spans, "key").withColumn("is_main", F.col("component") == F.col("main"))
+    # Blocks from 0 on are those of the others, behind them those of the largest component.
+    block = F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("node"), "own")).otherwise(F.pmod(F.xxhash64("node"), "others")).cast("int")
+    last = F.when(F.col("is_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("own") - 1)
+    rest = rest.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rest.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "component", "block", (F.col("block") != F.col("other")).alias("crossed"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, volume: int = VOLUME) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -383,11 +405,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     # What still spans components is dealt in tiles, buckets with the same members once.
     info = marks.groupBy("node").agg(F.sum("n").alias("n")).join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
     grouped = held.select("key", "node").join(info, "node")
-    spans = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("lo <> hi")
-    blocks = F.ceil(F.greatest(F.max("members") / tile, F.max("n") / volume)).cast("int").alias("blocks")
-    spans = spans.groupBy("members", "x", "y").agg(F.min("key").alias("key"), blocks).select("key", "blocks")
-    rest = grouped.join(spans, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = rest.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "node", "component", "block", (F.col("block") != F.col("other")).alias("crossed"))
+    tiles = tile_rows(grouped, tile, volume)
     signs = tiles.join(marks.select("node", "n", "short"), "node").repartition("tile").sortWithinPartitions("tile", "node")
     near = materialise(signs.mapInArrow(near_partition(percent, least), TILES), "near")
     more = near.join(known, "node").repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(verify_partition(percent, words, volume), LINKS)
