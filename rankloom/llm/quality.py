@@ -229,29 +229,44 @@ def calibrated(values: np.ndarray, good: np.ndarray, weight: np.ndarray) -> np.n
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, most_lines: int = 200_000) -> tuple[np.ndarray, float, np.ndarray] | None:
+def lines_each(lines: np.ndarray, most: int) -> int:
+    """The largest number of lines, 1 at least, of which texts of so many lines give `most` or fewer altogether."""
+    lines = np.sort(lines)
+    # With a cap at the k-th smallest, the k before it are whole and the others give as many as the cap.
+    whole = np.cumsum(lines) - lines
+    left = np.arange(len(lines), 0, -1)
+    k = np.searchsorted(whole + lines * left > most, True)
+    return int(lines[-1]) if k == len(lines) else max(1, int((most - whole[k]) // left[k]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, most_lines: int = 60_000, longest: int = 256) -> tuple[np.ndarray, float, np.ndarray] | None:
     """A model from labels (doc_id, label 0/1) of docs (doc_id, text), or None without labels.
 
-    `sample`: labelled documents wanted of each label, chosen by a hash of their ids; of these, in the order of that hash,
-    those whose lines fit into `most_lines` together are learned from, and the first in any case. Both bound what the
-    driver holds: lines' features, not texts.
+    `sample`: labelled documents wanted of each label, chosen by a hash of their ids; all of them are learned from. A
+    document with more than `longest` lines gives a stretch of so many, begun at a place by the hash; if all have more than
+    `most_lines` lines together, the stretches are so much shorter that they fit. Both bound what the driver holds, lines'
+    features and not texts, and the time that it takes to learn.
     """
     chosen, rate = labelled_sample(docs, labels, sample, "quality")
     chosen = materialise(chosen.withColumn("h", F.xxhash64("doc_id", "text")), "quality-sample")
     n = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines")
-    order = chosen.select("h", n).orderBy("h", "lines").toPandas()
-    kept = order.loc[(order["lines"].cumsum() <= most_lines) | (np.arange(len(order)) == 0), "h"].tolist()
-    if not kept:
+    counted = chosen.select(n).toPandas()["lines"].to_numpy()
+    if not len(counted):
         return None
+    most_each = min(longest, lines_each(counted, most_lines))
+
+    def stretch(text: str, h: int) -> str:
+        lines = text.split("\n")
+        start = h % max(1, len(lines) - most_each + 1)
+        return "\n".join(lines[start : start + most_each])
 
     def featured(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, size, lines = line_features(batch.column("text").to_pylist())
+        x, size, lines = line_features([stretch(t, h) for t, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist())])
         x, stop = x.astype(np.float32), np.cumsum(lines)
         parts = [(x[e - n : e].tobytes(), size[e - n : e].astype("<i8").tobytes()) for n, e in zip(lines, stop)]
         return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label").cast(pa.int32()), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], ["h", "label", "x", "size"])
 
-    wanted = docs.sparkSession.createDataFrame([(h,) for h in kept], "h long").distinct()
-    held = in_arrow(chosen.join(F.broadcast(wanted), "h"), featured, "h long, label int, x binary, size binary").toArrow().sort_by("h").to_pylist()
+    held = in_arrow(chosen, featured, "h long, label int, x binary, size binary").toArrow().sort_by("h").to_pylist()
     good = np.array([float(r["label"]) for r in held])
     size = [np.frombuffer(r["size"], "<i8") for r in held]
     lines = np.array([len(s) for s in size])
