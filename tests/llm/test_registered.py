@@ -55,6 +55,8 @@ def written(folder, rows, labels, vectors):
     columns = list(zip(*labels)) if labels else [[]] * 3
     pq.write_table(pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "quality", "toxic"), columns, (pa.int64(), pa.int32(), pa.int32()))}), folder / "labels.parquet")
     pq.write_table(pa.table({"vec_id": pa.array([v[0] for v in vectors], pa.int64()), "embedding": pa.array([v[1] for v in vectors], pa.list_(pa.float32())), "score": pa.array(["x"] * len(vectors))}), folder / "embeddings.parquet")
+    talk = [(1, 0, "user", "hello"), (1, 1, "assistant", "hello"), (5, 0, "user", "hello"), (None, None, None, None)] if rows else []
+    pq.write_table(pa.table({n: pa.array([t[k] for t in talk], kind) for k, (n, kind) in enumerate((("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())))}), folder / "conversations.parquet")
     return str(folder)
 
 
