@@ -9,10 +9,10 @@ from rankloom.operators import ranking
 
 
 def evaluate(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """n_rows, users, row_accuracy, user accuracy (mean, min, 5 % and 50 %), users whose count of positives is right."""
+    """n_rows, users, row_accuracy, user accuracy (mean, min, 5 %, 50 % and 95 %), users whose count of positives is right."""
     right = (F.col("pred") == F.col("label")).cast("int")
     users = rows.groupBy(*keys, "u").agg(F.avg(right).alias("acc"), F.sum(right).alias("right"), F.count(F.lit(1)).alias("n"), (F.sum("pred") == F.sum("label")).alias("fits"))
-    return users.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("users"), (F.sum("right") / F.sum("n")).alias("row_accuracy"), F.avg("acc").alias("user_mean"), F.min("acc").alias("user_min"), F.percentile("acc", 0.05).alias("user_p05"), F.percentile("acc", 0.5).alias("user_p50"), F.count_if(F.col("fits")).alias("fitting_users"))
+    return users.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("users"), (F.sum("right") / F.sum("n")).alias("row_accuracy"), F.avg("acc").alias("user_mean"), F.min("acc").alias("user_min"), F.percentile("acc", 0.05).alias("user_p05"), F.percentile("acc", 0.5).alias("user_p50"), F.percentile("acc", 0.95).alias("user_p95"), F.count_if(F.col("fits")).alias("fitting_users"))
 
 
 def long_axes(rows: DataFrame, scores: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators import evaluation, fusion, ranking, stats
+from rankloom.operators import evaluation, fusion, ranking, stats, variants
 from rankloom.plans.base import Base
 from rankloom.plans.registry import query
 
@@ -33,7 +33,7 @@ def label_decode(b: Base) -> DataFrame:
 
 
 EVAL = """SELECT {k} CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS users, round(sum(r) / sum(n), 6) AS row_accuracy, round(avg(acc), 6) AS user_mean, round(min(acc), 6) AS user_min, round(quantile_cont(acc, 0.05), 6) AS user_p05,
-  round(quantile_cont(acc, 0.5), 6) AS user_p50, count_if(fits) AS fitting_users FROM ({src}) {g}"""
+  round(quantile_cont(acc, 0.5), 6) AS user_p50, round(quantile_cont(acc, 0.95), 6) AS user_p95, count_if(fits) AS fitting_users FROM ({src}) {g}"""
 USERS = "SELECT u, avg(CAST({p} = label AS INT)) AS acc, sum(CAST({p} = label AS INT)) AS r, count(*) AS n, sum({p}) = sum(label) AS fits FROM preds GROUP BY u"
 
 
@@ -114,12 +114,14 @@ def recent_decay(b: Base) -> DataFrame:
 PCT = "(rank() OVER (PARTITION BY {k} ORDER BY hours) + (count(*) OVER (PARTITION BY {k}, hours) - 1) / 2) / count(*) OVER (PARTITION BY {k})"
 
 
-@query("w15_confidence", f"SELECT u, i, round(0.5 + 0.5 * {PCT.format(k='u')}, 6) AS by_user, round(0.5 + 0.5 * {PCT.format(k='i')}, 6) AS by_item FROM train")
+@query("w15_confidence", f"SELECT u, i, round(0.5 + 0.5 * {PCT.format(k='u')}, 6) AS by_user, round(0.5 + 0.5 * {PCT.format(k='i')}, 6) AS by_item, round(0.5 + 0.25 * {PCT.format(k='u')} + 0.25 * {PCT.format(k='i')}, 9) AS both FROM train")
 def confidence(b: Base) -> DataFrame:
     def pct(k: str):
-        return 0.5 + 0.5 * ranking.average_rank("hours", k) / F.count(F.lit(1)).over(Window.partitionBy(k))
+        return ranking.average_rank("hours", k) / F.count(F.lit(1)).over(Window.partitionBy(k))
 
-    return b.train().select("u", "i", r6(pct("u")).alias("by_user"), r6(pct("i")).alias("by_item"))
+    rows = b.train().select("u", "i", pct("u").alias("of_user"), pct("i").alias("of_item"))
+    part = lambda c: r6(0.5 + 0.5 * F.col(c))
+    return rows.select("u", "i", part("of_user").alias("by_user"), part("of_item").alias("by_item"), F.round(0.5 + 0.25 * F.col("of_user") + 0.25 * F.col("of_item"), 9).alias("both"))
 
 
 @query("w16_boundary_band", f"SELECT id, r1 FROM preds WHERE {BAND.format(n=2)}")
@@ -406,6 +408,15 @@ def near_duplicate_guard(b: Base) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("name", "rows_changed", F.when(F.col("rows_changed") < 0.05 * F.col("n"), "near duplicate").otherwise("distinct").alias("verdict"))
 
 
+@query("o01_choose_variants")
+def choose_variants(b: Base) -> DataFrame:
+    """step, name, n_changed, gain: up to six variants of a re-ranking by the rows near users' boundaries that each adds."""
+    rows = fusion.residual_grid(b.scored(), "s1", "s2", [0.1, 0.3, 0.5, 1.0], [1, 2, 3])
+    rows = ranking.top_half(rows, "fused", keys=("w", "band", "u")).where("pred <> base_pred")
+    near = F.round(1 / (1 + F.abs(F.col("base_rank") - F.col("k_in_user") - 0.5)), 6)
+    return variants.choose(rows.select(F.concat_ws("/", "w", "band").alias("name"), "id", near.alias("worth")), 6, 20, F.col("worth"))
+
+
 @query("o02_best_and_quota", "SELECT CAST(ts AS DATE) AS day, count(*) AS used, greatest(0, 50 - count(*)) AS left_over, max(value) AS best, arg_max(event_id, (value, -event_id)) AS best_id FROM events GROUP BY 1", frames=False)
 def best_and_quota(b: Base) -> DataFrame:
     rows = b.table("events").groupBy(F.to_date("ts").alias("day"))
