@@ -114,9 +114,13 @@ def budgeted(swaps: DataFrame, gain: str, budget: int) -> DataFrame:
 
 
 def negative_weights(rows: DataFrame, score: str, betas: list[float]) -> DataFrame:
-    """beta, weighted share of right negatives: rows with label 0 weighted by exp(beta z), z over all negatives."""
+    """beta, weighted share of right negatives: rows with label 0 weighted by exp(beta z), z over all negatives.
+
+    Each beta meets the histogram of scores, not the rows.
+    """
     neg = rows.where("label = 0")
-    scale = neg.agg(F.avg(score).alias("m"), F.stddev_pop(score).alias("s"))
-    z = neg.crossJoin(F.broadcast(scale)).withColumn("zz", (F.col(score) - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0)))
+    scale = neg.agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"))
+    hist = neg.groupBy(F.col(score).alias("value")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("pred") == 0).alias("ok"))
+    z = hist.crossJoin(F.broadcast(scale)).withColumn("zz", (F.col("value") - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0)))
     w = F.exp(F.col("beta") * F.col("zz"))
-    return z.select("*", F.explode(F.array(*map(F.lit, betas))).alias("beta")).groupBy("beta").agg((F.sum(w * (F.col("pred") == 0).cast("int")) / F.sum(w)).alias("right"))
+    return z.select("*", F.explode(F.array(*map(F.lit, betas))).alias("beta")).groupBy("beta").agg((F.sum(w * F.col("ok")) / F.sum(w * F.col("c"))).alias("right"))

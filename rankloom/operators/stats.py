@@ -135,3 +135,57 @@ def mcnemar_p(fixes: int, breaks: int) -> float:
     """p of the continuity-corrected statistic, clipped at 0."""
     n = fixes + breaks
     return math.erfc(math.sqrt(max(abs(fixes - breaks) - 1, 0) ** 2 / n / 2)) if n else 1.0
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x >= 1: Stirling's series eight places further on, right to about 1e-12."""
+    z = x + F.lit(8.0)
+    product = x.cast("double")
+    for k in range(1, 8):
+        product = product * (x + F.lit(float(k)))
+    series = F.lit(1 / 12) / z - F.lit(1 / 360) / F.pow(z, F.lit(3)) + F.lit(1 / 1260) / F.pow(z, F.lit(5)) - F.lit(1 / 1680) / F.pow(z, F.lit(7))
+    return (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(product)
+
+
+def binomial_p(fixes: Column, breaks: Column) -> Column:
+    """Exact two-sided p of a fair coin, as a column.
+
+    The largest term of the smaller tail comes from log_gamma, the others from their ratios to it. Terms fall faster than
+    exp(-2 j^2 / n) with the distance j, so 10 sqrt(n) + 100 of them leave out nothing that a double could hold.
+    """
+    n, k = (fixes + breaks).cast("double"), F.least(fixes, breaks).cast("double")
+    head = log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) - n * math.log(2)
+    steps = F.sequence(F.lit(0), F.least(k, F.floor(10 * F.sqrt(n)) + 100).cast("int"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
+    tail = F.aggregate(steps, start, lambda s, j: F.struct((s["term"] * (k - j) / (n - k + j + 1)).alias("term"), (s["total"] + s["term"]).alias("total")), lambda s: s["total"])
+    return F.least(F.lit(1.0), 2 * F.exp(head + F.log(tail)))
+
+
+def normal_tails(x: Column) -> Column:
+    """erfc(x) for x >= 0: a series of positive terms below 2.5, a continued fraction from there."""
+    start = F.struct(x.alias("term"), F.lit(0.0).alias("total"))
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, lambda s, m: F.struct((s["term"] * 2 * x * x / (2 * m + 1)).alias("term"), (s["total"] + s["term"]).alias("total")), lambda s: s["total"])
+    below = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.greatest(x, F.lit(1.0)), lambda f, m: x + m / 2.0 / f)
+    bell = F.exp(-x * x) / math.sqrt(math.pi)
+    return F.when(x < 2.5, F.greatest(1 - 2 * bell * near, F.lit(0.0))).otherwise(bell / F.greatest(below, F.lit(1.0)))
+
+
+def mcnemar_chance(fixes: Column, breaks: Column) -> Column:
+    """p of the continuity-corrected statistic, clipped at 0; 1 without a discordant row."""
+    n = (fixes + breaks).cast("double")
+    gap = F.greatest(F.abs(fixes - breaks) - 1, F.lit(0)).cast("double")
+    return F.when(n > 0, normal_tails(F.sqrt(gap * gap / F.greatest(n, F.lit(1.0)) / 2))).otherwise(1.0)
+
+
+def fisher(rows: DataFrame, p: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, tests, chi_square, combined: Fisher's combination of a group's p values, which are held between 1e-300 and 1.
+
+    A sum for each group, so its tests may be any number; nulls are left out, and no test at all gives 1.
+    """
+    logs = F.log(F.least(F.greatest(F.col(p), F.lit(1e-300)), F.lit(1.0)))
+    out = rows.groupBy(*keys).agg(F.count(p).alias("tests"), F.coalesce(-2 * F.sum(logs), F.lit(0.0)).alias("chi_square"))
+    half = F.col("chi_square") / 2
+    # Terms of exp(-x) x^j / j!, by their logarithms.
+    terms = F.transform(F.sequence(F.lit(1), F.greatest(F.col("tests").cast("int"), F.lit(1))), lambda j: (j - 1) * F.log(F.greatest(half, F.lit(1e-300))) - half - log_gamma(j.cast("double")))
+    chance = F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.exp(t))
+    return out.withColumn("combined", F.when((F.col("tests") == 0) | (F.col("chi_square") == 0), 1.0).otherwise(F.least(chance, F.lit(1.0))))

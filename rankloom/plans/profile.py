@@ -136,7 +136,7 @@ def covered(b: Base) -> DataFrame:
     items = b.interactions().groupBy("i").agg(F.count(F.lit(1)).alias("pop"))
     hist = stats.running(items.groupBy("pop").agg(F.count(F.lit(1)).alias("c")).withColumn("mass", F.col("pop") * F.col("c")), "pop", "mass", descending=True)
     r = F.row_number().over(Window.partitionBy("pop").orderBy("i"))
-    return items.join(F.broadcast(hist), "pop").withColumn("cum", F.col("upto") - F.col("mass") + r * F.col("pop")).select("i", "pop", "cum", "total")
+    return items.join(hist, "pop").withColumn("cum", F.col("upto") - F.col("mass") + r * F.col("pop")).select("i", "pop", "cum", "total")
 
 
 COVER = ", c AS (SELECT i, pop, CAST(sum(pop) OVER (ORDER BY pop DESC, i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum, CAST(sum(pop) OVER () AS BIGINT) AS total FROM (SELECT i, count(*) AS pop FROM inter GROUP BY i))"

@@ -305,4 +305,4 @@ def vector_ops(b: Base) -> DataFrame:
 def centroid_cosine(b: Base) -> DataFrame:
     rows = b.table("embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     centres = V.centroids(rows, "label", "v")
-    return rows.join(F.broadcast(centres), "label").select("vec_id", r6(V.cosine("v", "centroid")).alias("cosine"))
+    return rows.join(centres, "label").select("vec_id", r6(V.cosine("v", "centroid")).alias("cosine"))

@@ -68,6 +68,57 @@ def test_tests_of_significance():
     assert stats.chi_square_survival(2.0, 1) == pytest.approx(math.exp(-1))
 
 
+def test_chances_as_columns(spark):
+    pairs = [(0, 0), (1, 9), (5, 5), (0, 7), (900, 1100), (33, 61), (2, 400), (49_000, 51_000), (30_000, 31_000)]
+    rows = spark.createDataFrame(pairs, "a int, b int").select("a", "b", stats.binomial_p(F.col("a"), F.col("b")).alias("p"), stats.mcnemar_chance(F.col("a"), F.col("b")).alias("m"))
+    for r in rows.collect():
+        assert r.p == pytest.approx(stats.binomial_two_sided(r.a, r.b), rel=1e-7) and r.m == pytest.approx(stats.mcnemar_p(r.a, r.b), rel=1e-9, abs=1e-15)
+    x = spark.createDataFrame([(k / 8,) for k in range(48)], "x double")
+    for r in x.select("x", stats.normal_tails(F.col("x")).alias("y")).collect():
+        assert r.y == pytest.approx(math.erfc(r.x), rel=1e-9)
+    g = spark.createDataFrame([(k / 4,) for k in range(4, 200)], "x double")
+    for r in g.select("x", stats.log_gamma(F.col("x")).alias("y")).collect():
+        assert r.y == pytest.approx(math.lgamma(r.x), rel=1e-11, abs=1e-11)
+
+
+def test_fisher_combines_any_number_of_tests(spark):
+    groups = {"one": [0.03], "some": [0.2, 0.7, 0.01], "sure": [1.0, 1.0], "none": [None], "many": [0.5] * 3000, "zero": [0.0, 0.5]}
+    rows = spark.createDataFrame([(k, p) for k, ps in groups.items() for p in ps], "k string, p double")
+    found = {r.k: r for r in stats.fisher(rows, "p", ("k",)).collect()}
+    for k in ("one", "some", "sure", "zero"):
+        assert found[k].combined == pytest.approx(stats.fisher_combined(groups[k]), rel=1e-9, abs=1e-300)
+    assert found["none"].tests == 0 and found["none"].combined == 1 and 0.9999 < found["many"].combined <= 1
+    assert found["one"].combined == pytest.approx(0.03)
+    assert stats.fisher(rows.limit(0), "p").first().combined == 1
+
+
+def test_candidates_and_score_files(spark, tmp_path):
+    rows = spark.createDataFrame([(7, "u1", "g1", 0.5, "x"), (8, "u2", "g2", None, "y")], "ID long, userID string, gameID string, score_a double, note string")
+    path = str(tmp_path / "scores.csv")
+    rows.write.option("header", True).csv(path)
+    read = io.candidates(spark, path)
+    assert dict(read.dtypes)["ID"] == "int" and sorted(r.gameID for r in read.collect()) == ["g1", "g2"]
+    assert io.scores(read, prefix="new_").columns == ["ID", "userID", "gameID", "new_score_a"]
+    rows.drop("gameID").write.parquet(str(tmp_path / "short"))
+    with pytest.raises(ValueError, match="gameID"):
+        io.candidates(spark, str(tmp_path / "short"))
+    dated = spark.createDataFrame([("2015-01-02", 1), ("soon", 2)], "date string, n int")
+    dated.write.option("header", True).csv(str(tmp_path / "dated.csv"))
+    read = io.read_table(spark, str(tmp_path / "dated.csv"), "date string, n int")
+    assert sorted((r.n, r.date is None) for r in read.collect()) == [(1, False), (2, True)]
+
+
+def test_negative_weights_from_a_histogram_equal_those_of_rows(spark):
+    data = [(k % 7 / 2, k % 2, k % 3 % 2) for k in range(200)]
+    rows = spark.createDataFrame(data, "s double, label int, pred int")
+    neg = [(s, p) for s, y, p in data if y == 0]
+    mean = sum(s for s, _ in neg) / len(neg)
+    sd = (sum((s - mean) ** 2 for s, _ in neg) / len(neg)) ** 0.5
+    for r in fusion.negative_weights(rows, "s", [-1.0, 0.0, 2.5]).collect():
+        w = [(math.exp(r.beta * (s - mean) / sd), p == 0) for s, p in neg]
+        assert r.right == pytest.approx(sum(x for x, ok in w if ok) / sum(x for x, _ in w))
+
+
 def test_mcnemar_is_clipped(spark):
     df = spark.createDataFrame([(5, 5), (8, 2), (0, 0)], "a int, b int")
     assert [r[0] for r in df.select(evaluation.mcnemar(F.col("a"), F.col("b"))).collect()] == [0.0, 2.5, None]

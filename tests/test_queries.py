@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 #: One or two of each kind by default; all of them with RANKLOOM_ALL_QUERIES=1.
-NAMES = ["n08_split_checks", "n04_sqrtpop_negatives", "n05_popbin_negatives", "n09_bpr_triplets", "n12_auc_interval", "a02_user_stats", "a06_percentile_summary", "a08_popularity_cover_labels", "a10_gini", "a11_ks_two_sample", "a13_rank_auc", "a19_group_documents", "a21_components", "w08_tophalf_decode", "w10_boundary_margin", "w14_quantile_bins", "w16_gated_band", "e01_evaluate_tophalf", "b06_lcb_ucb", "b10_residual_grid", "b12_promote_rules", "k01_mixed_sort", "k07_budgeted_swaps", "u01_union_all", "u04_jaccard_matrix", "f05_clean_text", "f06_token_counts", "f10_safe_cast", "m05_bm25_weight", "m07_itemknn", "m11_userknn", "m14_turbo_filter", "m16_covisitation", "m17_temporal_overlap", "m20_tfidf_profile_cosine", "m21_item_texts", "m22_tfidf", "m23_centroid_cosine", "m23_user_centroids", "m27_layer_mean_scores", "o01_quarantine", "s05_selected_texts"]
+NAMES = ["n08_split_checks", "n04_sqrtpop_negatives", "n05_popbin_negatives", "n09_bpr_triplets", "n12_auc_interval", "a02_user_stats", "a06_percentile_summary", "a08_popularity_cover_labels", "a10_gini", "a11_ks_two_sample", "a13_rank_auc", "a19_group_documents", "a21_components", "w08_tophalf_decode", "w10_boundary_margin", "w14_quantile_bins", "w16_gated_band", "e01_evaluate_tophalf", "e04_exact_binomial", "e06_fisher_combined", "b06_lcb_ucb", "b17_negative_reweight", "b10_residual_grid", "b12_promote_rules", "k01_mixed_sort", "k07_budgeted_swaps", "u01_union_all", "u04_jaccard_matrix", "f05_clean_text", "f06_token_counts", "f10_safe_cast", "m05_bm25_weight", "m07_itemknn", "m11_userknn", "m14_turbo_filter", "m16_covisitation", "m17_temporal_overlap", "m20_tfidf_profile_cosine", "m21_item_texts", "m22_tfidf", "m23_centroid_cosine", "m23_user_centroids", "m27_layer_mean_scores", "o01_quarantine", "s05_selected_texts"]
 if os.environ.get("RANKLOOM_ALL_QUERIES"):
     NAMES = [n for n in entry.oracle_sql() if not n.startswith("op")]
 
