@@ -17,36 +17,59 @@ from .common import docs_of, shuffle_partitions
 UNIT = 4
 #: A hash and a position share a long: 32 bits of hash, then 31 bits that fall with the position.
 LOW = (1 << 31) - 1
+#: Windows of a part of a long text.
+PART = 1 << 18
 
 
-def _doubled(rows: DataFrame, columns: list[str], length: int, join) -> DataFrame:
-    """Over arrays, join of each `length` neighbours (a power of two), by joins of joined halves.
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once though use may name it more than once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    Each step is a projection of its own, as an array stands in it twice and must not be computed twice.
+
+def _doubled(values: Column, length: int, join, whole: bool) -> Column:
+    """Over an array, join of each `length` neighbours (a power of two), by joins of joined halves.
+
+    whole: where fewer than twice the step's neighbours are left nothing changes; else join takes null behind the end.
     """
+    def once(step: int):
+        if whole:
+            return lambda v: F.when(F.size(v) > step, F.zip_with(F.slice(v, 1, F.size(v) - step), F.slice(v, step + 1, 1 << 30), join)).otherwise(v)
+        return lambda v: F.zip_with(v, F.slice(v, step + 1, 1 << 30), join)
+
     step = 1
     while step < length:
-        rows = rows.withColumns({c: F.zip_with(F.col(c), F.slice(c, step + 1, 1 << 30), join) for c in columns})
+        values = _let(values, once(step))
         step *= 2
-    return rows
+    return values
 
 
-def with_keys(rows: DataFrame, texts: dict[str, str], k: int = 4, window: int = 8) -> DataFrame:
-    """Adds array<long> columns, texts naming each one's text column: (hash << 31) + (2^31 - 1 - position) for each kept
-    k-gram, in order of first choice. k and window are powers of two, in units of four signs."""
-    out, signs, reach = list(texts), UNIT * k, UNIT * window
-    rows = rows.withColumns({c: F.regexp_replace(t, r"(?U)\s+", "") for c, t in texts.items()})
+def _kept(text: Column, begin: Column, signs: int, reach: int) -> Column:
+    """The keys of a text, or of a part of one that begins at the position begin, in order of first choice."""
     # A text shorter than a k-gram is one; an empty one has none.
-    rows = rows.withColumns({c: F.when(F.char_length(c) >= signs, F.transform(F.split(F.col(c), F.lit("")), lambda p: F.xxhash64(p))).when(F.char_length(c) > 0, F.array(F.xxhash64(c))).otherwise(F.array().cast("array<bigint>")) for c in out})
-    step = 1
-    while step < signs:
-        both = {c: F.zip_with(F.slice(c, 1, F.size(c) - step), F.slice(c, step + 1, 1 << 30), lambda a, b: F.xxhash64(a, b)) for c in out}
-        rows = rows.withColumns({c: F.when(F.size(c) > step, x).otherwise(F.col(c)) for c, x in both.items()})
-        step *= 2
-    rows = rows.withColumns({c: F.transform(c, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(F.lit(LOW) - i)) for c in out})
+    grams = F.when(F.char_length(text) >= signs, F.transform(F.split(text, F.lit("")), lambda p: F.xxhash64(p))).when(F.char_length(text) > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
+    grams = _doubled(grams, signs, lambda a, b: F.xxhash64(a, b), True)
+    keys = F.transform(grams, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(F.lit(LOW) - i - begin))
     # zip_with pads with null, which least ignores: the tails are cut off after it.
-    rows = _doubled(rows, out, reach, lambda a, b: F.least(a, b))
-    return rows.withColumns({c: F.array_distinct(F.slice(c, 1, F.greatest(F.size(c) - (reach - 1), F.lit(1)))) for c in out})
+    least = _doubled(keys, reach, lambda a, b: F.least(a, b), False)
+    return _let(least, lambda v: F.array_distinct(F.slice(v, 1, F.greatest(F.size(v) - (reach - 1), F.lit(1)))))
+
+
+def with_keys(rows: DataFrame, texts: dict[str, str], k: int = 4, window: int = 8, part: int = PART) -> DataFrame:
+    """Adds array<long> columns, texts naming each one's text column: (hash << 31) + (2^31 - 1 - position) for each kept
+    k-gram, in order of first choice. k and window are powers of two, in units of four signs.
+
+    A text is gone through in parts of `part` windows, which overlap by what a window's signs reach beyond its start: so
+    the arrays of signs and hashes are those of one part at a time, whatever the text's length.
+    """
+    signs, reach = UNIT * k, UNIT * window
+    rows = rows.withColumns({c: F.regexp_replace(t, r"(?U)\s+", "") for c, t in texts.items()})
+
+    def keys(c: str) -> Column:
+        windows = F.greatest(F.char_length(c) - (signs + reach - 2), F.lit(1))
+        parts = F.transform(F.sequence(F.lit(0), windows - 1, F.lit(part)), lambda b: _kept(F.substring(F.col(c), b + 1, F.lit(part + signs + reach - 2)), b, signs, reach))
+        return F.when(windows <= part, _kept(F.col(c), F.lit(0), signs, reach)).otherwise(F.array_distinct(F.flatten(parts)))
+
+    return rows.withColumns({c: keys(c) for c in texts})
 
 
 def fingerprint_text(keys: Column) -> Column:
