@@ -283,17 +283,6 @@ def test_next_rows_over_many_ranges(spark):
         assert Counter(((x.doc_id, x.text), x.next_text) for x in found) == want
 
 
-def test_fingerprints_of_parts_are_those_of_whole_texts(spark):
-    r = random.Random(3)
-    texts = [t for _, t, *_ in corpus() if t][:12] + ["", "ab" * 300, "a" * 500, *("".join(r.choice("abcé日😀 ") for _ in range(n)) for n in (15, 16, 17, 46, 47, 48, 49, 96, 97, 98, 143, 1000, 5000))]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
-    keys = lambda part: {x.doc_id: x.own for x in winnowing.with_keys(df, {"own": "t"}, part=part).collect()}
-    whole = keys(1 << 18)
-    assert max(map(len, whole.values())) > 100
-    for part in (1, 7, 50, 64):
-        assert keys(part) == whole
-
-
 def winnowed(text, k=4, window=8):
     """Positions that winnowing keeps, by plain loops over the k-grams' own order of hashes."""
     gone = "".join(text.split())
