@@ -38,12 +38,16 @@ def with_keys(rows: DataFrame, texts: dict[str, str], k: int = 4, window: int =
     rows = rows.withColumns({c: F.regexp_replace(t, r"(?U)\s+", "") for c, t in texts.items()})
     # A text shorter than a k-gram is one; an empty one has none.
     rows = rows.withColumns({c: F.when(F.char_length(c) >= signs, F.transform(F.split(F.col(c), F.lit("")), lambda p: F.xxhash64(p))).when(F.char_length(c) > 0, F.array(F.xxhash64(c))).otherwise(F.array().cast("array<bigint>")) for c in out})
+    key = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(F.lit(LOW) - i)
     step = 1
-    while step < signs:
+    while step * 2 < signs:
         both = {c: F.zip_with(F.slice(c, 1, F.size(c) - step), F.slice(c, step + 1, 1 << 30), lambda a, b: F.xxhash64(a, b)) for c in out}
         rows = rows.withColumns({c: F.when(F.size(c) > step, x).otherwise(F.col(c)) for c, x in both.items()})
         step *= 2
-    rows = rows.withColumns({c: F.transform(c, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(F.lit(LOW) - i)) for c in out})
+    # The last joins go along with the positions: each walk over the signs is dear.
+    last = lambda c, step: F.transform(F.slice(c, 1, F.size(c) - step), lambda h, i: key(F.xxhash64(h, F.get(F.col(c), i + step)), i))
+    both = {c: last(c, step) for c in out}
+    rows = rows.withColumns({c: F.when(F.size(c) > step, x).otherwise(F.transform(c, key)) for c, x in both.items()})
     # zip_with pads with null, which least ignores: the tails are cut off after it.
     rows = _doubled(rows, out, reach, lambda a, b: F.least(a, b))
     return rows.withColumns({c: F.array_distinct(F.slice(c, 1, F.greatest(F.size(c) - (reach - 1), F.lit(1)))) for c in out})
@@ -103,6 +107,45 @@ def fingerprints(docs: DataFrame, k: int = 4, window: int = 8) -> DataFrame:
     return with_keys(docs_of(docs), {"own": "text"}, k, window).select("doc_id", fingerprint_text(F.col("own")).alias("fingerprint"))
 
 
+def _chosen_within(keys: Column, signs: Column, gram: int, reach: int) -> Column:
+    """Of a text's kept keys those that a window inside its first `signs` signs keeps.
+
+    Kept keys stand in the order of their first windows: a key that isn't above the one before it is kept as soon as a
+    window reaches it, any other once the one before it has fallen out. Texts without a whole window must not ask.
+    """
+    place = lambda x: F.lit(LOW) - x.bitwiseAND(F.lit(LOW))
+    hashed = lambda x: F.shiftrightunsigned(x, 31)
+
+    def inside(x: Column, p: Column) -> Column:
+        last = F.get(keys, p - 1)
+        first = F.when(p == 0, F.lit(0)).when(hashed(x) <= hashed(last), place(x) - (reach - 1)).otherwise(place(last) + 1)
+        return first + (gram + reach - 1) <= signs
+
+    return F.filter(keys, inside)
+
+
+def with_joined_keys(rows: DataFrame, k: int = 4, window: int = 8) -> DataFrame:
+    """Adds `new`, the keys of the text made of head and tail, which begin the texts with the keys own and next_own.
+
+    Windows inside the head keep what they keep in its text, those inside the tail what they keep in theirs, further on;
+    only windows with signs of both are hashed anew. The result is with_keys() of the joined text.
+    """
+    gram, reach = UNIT * k, UNIT * window
+    span = gram + reach - 1
+    rows = rows.withColumns({f"{c}_signs": F.regexp_replace(c, r"(?U)\s+", "") for c in ("head", "tail")})
+    rows = rows.withColumns({f"{c}_n": F.char_length(f"{c}_signs") for c in ("head", "tail")})
+    a, b = F.col("head_n"), F.col("tail_n")
+    # Less than a whole window is one window, all of it.
+    met = (a + b < span) | ((a > 0) & (b > 0))
+    border = F.when(met, F.concat(F.substring("head_signs", 1 - span, span - 1), F.substring("tail_signs", 1, span - 1))).otherwise("")
+    rows = with_keys(rows.withColumn("border", border).drop("head_signs", "tail_signs"), {"met": "border"}, k, window)
+    before = _chosen_within(F.col("own"), a, gram, reach)
+    after = _chosen_within(F.col("next_own"), b, gram, reach)
+    between = F.transform("met", lambda x: x - F.greatest(a - (span - 1), F.lit(0)))
+    joined = F.array_distinct(F.concat(before, between, F.transform(after, lambda x: x - a)))
+    return rows.withColumn("new", joined).drop("met", "border", "head_n", "tail_n")
+
+
 def edited_fingerprints(docs: DataFrame, k: int = 4, window: int = 8) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
@@ -112,8 +155,8 @@ def edited_fingerprints(docs: DataFrame, k: int = 4, window: int = 8) -> DataFra
     """
     rows = with_next(docs_of(docs), ["text", "own"], lambda x: with_keys(x, {"own": "text"}, k, window))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("half")), F.substring("next_text", F.lit(1), F.col("half"))))
-    rows = with_keys(rows.drop("text", "next_text"), {"new": "edited"}, k, window)
+    rows = rows.withColumns({"head": F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("half")), "tail": F.substring("next_text", F.lit(1), F.col("half"))})
+    rows = with_joined_keys(rows.drop("text", "next_text").withColumn("edited", F.concat("head", "tail")), k, window).drop("head", "tail")
     rows = rows.withColumns({f"{c}_hashes": hashes_of(F.col(c)) for c in ("own", "new", "next_own")})
     near = {f"near_{b}": likeness(F.col("own_hashes"), F.col(f"{a}_hashes")) for a, b in (("new", "edited"), ("next_own", "next"))}
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint_text(F.col("own")).alias("fingerprint"), fingerprint_text(F.col("new")).alias("edited_fingerprint"), *[x.alias(c) for c, x in near.items()])
