@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import factors, grid
+from rankloom.operators import factors, graph, grid
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,11 @@ def test_sums_spread_out_in_steps_are_the_same(spark):
     np.add.at(plain, target, x[source] * weight[:, None])
     for step in (1, 7, 1000):
         assert np.allclose(grid.summed(target, source, weight, x, 9, step), plain)
+
+
+def test_layers_send_no_vector_for_each_edge(spark):
+    rows = spark.range(60).select((F.col("id") % 10).alias("u"), F.floor(F.col("id") / 10).alias("i"), F.lit(0.5).alias("wu"), F.lit(0.25).alias("wi"))
+    vectors = lambda key, n: spark.range(n).select(F.col("id").alias(key), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    up, down = graph.layer(rows, vectors("u", 10), vectors("i", 6), 2)
+    assert {tuple(r.v) for r in up.collect()} == {(7.5, 3.0)} and {tuple(r.v) for r in down.collect()} == {(11.25, 2.5)}
+    assert "Join" not in up._jdf.queryExecution().optimizedPlan().toString()
