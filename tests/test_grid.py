@@ -54,3 +54,38 @@ def test_layers_send_no_vector_for_each_edge(spark):
     up, down = graph.layer(rows, vectors("u", 10), vectors("i", 6), 2)
     assert {tuple(r.v) for r in up.collect()} == {(7.5, 3.0)} and {tuple(r.v) for r in down.collect()} == {(11.25, 2.5)}
     assert "Join" not in up._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_cell_is_packed_in_places_and_its_entries_carry_no_keys(spark, entries):
+    """Strings and weights: four bytes for an entry's place, eight for its weight; rows end with a user and come in any order."""
+    dense, rows = entries
+    cells = grid.cells(rows.select("u", F.concat(F.lit("a long key of item "), "i").alias("i"), "w"), sides=2)
+    stored = cells.packed.collect()
+    n = int((dense > 0).sum())
+    assert sum(len(r["places"]) for r in stored) == 4 * n and sum(len(r["w"]) for r in stored) == 8 * n
+    assert sum(len(r["users"]) for r in stored) == cells.sums["u"] <= 2 * 40
+    table = spark.createDataFrame([(f"u{a % 7}", a % 11, float(a), 0, 0) for a in range(50)], "u string, i int, w double, bu int, bi int").toArrow()
+    packed = grid.packed_cell(table, ("w",), 6)
+    assert len(packed) > 3 and max(len(x.as_py()) for x in packed["places"]) <= 4 * (6 + 8)
+    vectors = {b: [float(b), 1.0] for b in range(11)}
+    found = grid.cell_product(packed.take([3, 0, 2, 1, *range(4, len(packed))]), grid.pa.table({"i": grid.pa.array(list(vectors), "int32"), "v": list(vectors.values())}), "u", "w")
+    for u, v in zip(found["u"].to_pylist(), found["v"].to_pylist()):
+        assert v == [sum(float(a * (a % 11)) for a in range(50) if f"u{a % 7}" == u), sum(float(a) for a in range(50) if f"u{a % 7}" == u)]
+
+
+def test_edges_of_layers_go_without_weights_and_scores_share_the_sums(spark):
+    rng = np.random.default_rng(7)
+    m = (rng.random((12, 9)) < 0.4).astype(float)
+    m[0], m[:, 0] = 1, 1
+    x, y = rng.normal(size=(12, 4)), rng.normal(size=(9, 4))
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(*m.nonzero())], "u long, i long")
+    users, items = (spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(z)], f"{key} long, v array<double>") for key, z in (("u", x), ("i", y)))
+    cand = spark.createDataFrame([(12 * b + a, a, b) for a in range(12) for b in range(9)], "id long, u long, i long")
+    unit = lambda z: z / np.linalg.norm(z, axis=1)[:, None]
+    n = m / np.sqrt(m.sum(1))[:, None] / np.sqrt(m.sum(0))
+    mean = unit(0.7 * x + 0.3 * (m @ y) / m.sum(1)[:, None]) @ unit(0.7 * y + 0.3 * (m.T @ x) / m.sum(0)[:, None]).T
+    a, b = 0.7 * x + 0.3 * n @ y, 0.7 * y + 0.3 * n.T @ x
+    for r in graph.aggregated_scores(cand, edges, users, items, 4, 0.3).collect():
+        u, i = r["id"] % 12, r["id"] // 12
+        assert np.allclose([r["mean_unit"], r["sym_unit"], r["sym"]], [mean[u, i], (unit(a) @ unit(b).T)[u, i], a[u] @ b[i]])
+    assert set(grid.cells(edges, ()).packed.columns) == {"bu", "bi", "row", "users", "counts", "items", "places"}
